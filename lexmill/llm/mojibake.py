@@ -170,6 +170,10 @@ def _repair_all(values: pa.Array) -> pa.Array:
     )
 
 
+#: Not to be evaluated again where a filter on its result is moved below it.
+_repair_all = _repair_all.asNondeterministic()
+
+
 def repaired(column: Column) -> Column:
     """Struct (restored, garbled_places, is_restored) of a string column.
 
