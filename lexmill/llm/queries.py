@@ -8,7 +8,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.llm.containment import contained_items
+from lexmill.llm.equivalents import collapse
+from lexmill.llm.mixing import counted, mix, plan, shares
 from lexmill.llm.mojibake import repaired
+from lexmill.llm.splitting import split_oversized
 from lexmill.llm.unify import is_mixed, unified
 from lexmill.sources.tables import table
 
@@ -57,8 +61,64 @@ def p6_unified(spark: SparkSession, folder: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _copies(spark: SparkSession, folder: str) -> DataFrame:
+    return collapse(table(spark, folder, "definitions"), "definition_id", ["term", "definition_text"])
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Records that are a copy of an earlier one."""
+    found = _copies(spark, folder).where(F.col("key") != F.col("keep"))
+    return found.select(F.col("keep").alias("keep_id"), F.col("key").alias("dup_id")).distinct()
+
+
+def p5_collapsed(spark: SparkSession, folder: str) -> DataFrame:
+    """Each group of copies once, with its number of copies."""
+    return _copies(spark, folder).where(F.col("key") == F.col("keep")).select(F.col("keep").alias("keep_id"), "copies").distinct()
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with the evaluation items they contain."""
+    pairs = contained_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"), "doc_id", "text", "item_id", "text")
+    return pairs.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).distinct()
+
+
+def p7_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaked items with the number of documents that contain each."""
+    return p7_found(spark, folder).groupBy("item_id").agg(F.count("*").alias("n_documents"))
+
+
+MIX_LEVELS = ["source", "lang"]
+
+
+def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """The training mixture, one row per use of a document."""
+    sizes = counted(table(spark, folder, "documents"), "doc_id", "text", MIX_LEVELS)
+    budget = plan(sizes, table(spark, folder, "mix_targets"), MIX_LEVELS, "target_share", "max_repeats")
+    return mix(sizes, budget, MIX_LEVELS).withColumnRenamed("key", "doc_id")
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Shares wanted and reached by source."""
+    return shares(p8_mixture(spark, folder), table(spark, folder, "mix_targets"), "source", "target_share")
+
+
+def _pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return split_oversized(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that had to be cut."""
+    return _pieces(spark, folder).where(F.col("n_pieces") > 1).select("doc_id").distinct()
+
+
+def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """All pieces of all documents."""
+    return _pieces(spark, folder)
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_restored": p1_restored, "p6_found": p6_found, "p6_unified": p6_unified}
+    own = (p1_found, p1_restored, p5_found, p5_collapsed, p6_found, p6_unified, p7_found, p7_items, p8_mixture, p8_shares, p9_found, p9_pieces)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
