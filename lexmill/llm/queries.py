@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.containment import contained_items
 from lexmill.llm.equivalents import collapse
+from lexmill.llm.matching import TAILS, UNMATCHED, match_names
 from lexmill.llm.mixing import counted, mix, plan, shares
 from lexmill.llm.mojibake import repaired
 from lexmill.llm.splitting import split_oversized
@@ -47,6 +48,27 @@ def p1_restored(spark: SparkSession, folder: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
+#: The federation's own name may follow that of a federal law.
+FEDERAL_TAILS = (*TAILS, ("ondaria",))
+
+
+def _doubtful(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "citations").where(F.col("resolution_confidence").isin("low", "unresolved"))
+
+
+def p2_names(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct raw names of doubtful citations with the law each names, or `unmatched`."""
+    others = [F.array("short"), F.col("aliases")]
+    return match_names(_doubtful(spark, folder), "target_law_raw", table(spark, folder, "law_registry"), "law_id", "name", others, tails=FEDERAL_TAILS)
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Doubtful citations with the law each names, or `unmatched`."""
+    named = p2_names(spark, folder).where(F.col("matched") != UNMATCHED)
+    cited = _doubtful(spark, folder).select("citation_id", "target_law_raw").distinct()
+    return cited.join(named, "target_law_raw", "left").select("citation_id", F.coalesce("matched", F.lit(UNMATCHED)).alias("law_id")).distinct()
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Records with characters that should be others, or be absent."""
     parts = [df.where(is_mixed(F.col("text"))).select("table_name", "record_id") for df in _fields(spark, folder, MIXED_FIELDS)]
@@ -117,7 +139,7 @@ def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (p1_found, p1_restored, p5_found, p5_collapsed, p6_found, p6_unified, p7_found, p7_items, p8_mixture, p8_shares, p9_found, p9_pieces)
+    own = (p1_found, p1_restored, p2_found, p2_names, p5_found, p5_collapsed, p6_found, p6_unified, p7_found, p7_items, p8_mixture, p8_shares, p9_found, p9_pieces)
     return {f.__name__: f for f in own}
 
 
