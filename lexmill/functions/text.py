@@ -14,7 +14,7 @@ GARBLED_PAIRS = [
     ("Ã¡", "á"), ("Ã©", "é"), ("Ã\xad", "í"), ("Ã³", "ó"), ("Ãº", "ú"), ("Ã±", "ñ"), ("Ã¼", "ü"), ("Ã\xa0", "Á"), ("Ã‰", "É"),
     ("Ã\x8d", "Í"), ("Ã“", "Ó"), ("Ãš", "Ú"), ("Ã‘", "Ñ"), ("Ãœ", "Ü"), ("Â¿", "¿"), ("Â¡", "¡"), ("Â°", "°"), ("Ã\x81", "Á"),
 ]
-ACCENTED, PLAIN = "áàäâãéèëêíìïîóòöôõúùüûñç", "aaaaaeeeeiiiiooooouuuunc"
+ACCENTED, PLAIN = "áàäéèëíìïóòöúùüñ", "aaaeeeiiiooouuun"
 
 
 def clean_text(column: Column) -> Column:
@@ -29,9 +29,9 @@ def clean_text(column: Column) -> Column:
 
 def slugify(column: Column, most: int = 60) -> Column:
     """Lower-case letters, digits and hyphens of a name, accents folded, at most `most` characters, no hyphen at an end."""
-    text = F.regexp_replace(F.translate(F.lower(column), ACCENTED, PLAIN), r"[^a-z0-9\s\-]", "")
-    text = F.regexp_replace(F.regexp_replace(F.trim(text), r"\s+", "-"), r"-+", "-")
-    return F.regexp_replace(F.substring(text, 1, most), r"-+$", "")
+    text = F.regexp_replace(F.translate(F.trim(F.lower(column)), ACCENTED, PLAIN), r"[^a-z0-9\s\-]", "")
+    text = F.regexp_replace(F.regexp_replace(text, r"[\s\-]+", "-"), "^-|-$", "")
+    return F.regexp_replace(F.substring(text, 1, most), "-+$", "")
 
 
 def code_slug(column: Column) -> Column:

@@ -29,7 +29,7 @@ def find_all(text: Column, expression: str, groups: int = 1) -> Column:
     gaps = F.split(text, expression, -1)
     sums = lambda parts, n: F.aggregate(F.slice(parts, 1, n), F.lit(0), lambda a, x: a + F.length(x))
     return F.transform(
-        F.sequence(F.lit(1), F.size(found)) if groups < 0 else F.when(F.size(found) > 0, F.sequence(F.lit(1), F.size(found))).otherwise(F.array().cast("array<int>")),
+        F.when(F.size(found) > 0, F.sequence(F.lit(1), F.size(found))).otherwise(F.array().cast("array<int>")),
         lambda i: F.struct(
             (sums(gaps, i) + sums(found, i - 1)).alias("offset"), F.get(found, i - 1).alias("found"), *[F.get(c, i - 1).alias(f"g{k + 1}") for k, c in enumerate(captured)]
         ),
@@ -50,6 +50,18 @@ def articles_or_text(laws: DataFrame) -> DataFrame:
     return listed.select("source_law", F.col("a.number").alias("source_article"), F.col("a.text").alias("text")).unionByName(whole)
 
 
+def _matches(text: Column, order: int, name: str, group: str, confidence: str, expression: str) -> Column:
+    """All matches of one citation pattern, with what is known of the pattern."""
+    groups = 0 if name == "constitucion_bare" else 1
+    known = {"pattern_order": order, "pattern_name": name, "pattern_group": group, "confidence": confidence}
+
+    def one(m: Column) -> Column:
+        own = [m["offset"].alias("char_offset"), m["found"].alias("found"), (m["g1"] if groups else F.lit("")).alias("g1")]
+        return F.struct(*[F.lit(v).alias(k) for k, v in known.items()], *own)
+
+    return F.transform(find_all(text, P.FLAGS + expression, groups), one)
+
+
 def extract_citations(articles: DataFrame, constitution: tuple[str, str] | None = None, names: list[str] | None = None) -> DataFrame:
     """All citations in `articles` (source_law, source_article, text), with pattern, confidence, context and offset; not deduplicated.
 
@@ -58,23 +70,7 @@ def extract_citations(articles: DataFrame, constitution: tuple[str, str] | None
     """
     target_id, target_name = constitution or ("constitucion", "Constitución")
     rows = articles.where(F.col("text").rlike(P.FLAGS + P.CITATION_HINT))
-    parts = []
-    for order, (name, group, confidence, expression) in enumerate(P.CITATION_PATTERNS):
-        if names and name not in names:
-            continue
-        groups = 0 if name == "constitucion_bare" else 1
-        found = find_all(F.col("text"), P.FLAGS + expression, groups)
-        fields = [F.col("m.offset").alias("char_offset"), F.col("m.found").alias("found"), (F.col("m.g1") if groups else F.lit("")).alias("g1")]
-        parts.append(
-            F.transform(
-                found,
-                lambda m, o=order, n=name, g=group, c=confidence, k=groups: F.struct(
-                    F.lit(o).alias("pattern_order"), F.lit(n).alias("pattern_name"), F.lit(g).alias("pattern_group"), F.lit(c).alias("confidence"),
-                    m["offset"].alias("char_offset"), m["found"].alias("found"), (m["g1"] if k else F.lit("")).alias("g1"),
-                ),
-            )
-        )
-        del fields
+    parts = [_matches(F.col("text"), order, *pattern) for order, pattern in enumerate(P.CITATION_PATTERNS) if not names or pattern[0] in names]
     each = rows.select("source_law", "source_article", "text", F.explode(F.concat(*parts)).alias("m")).select("source_law", "source_article", "text", "m.*")
     constitutional = F.col("pattern_group") == "constitutional"
     named = F.nullif(F.regexp_extract("found", P.FLAGS + P.ARTICLE_REFERENCE, 1), F.lit(""))

@@ -86,7 +86,7 @@ def find_orphans(
     """Rows of `refs` whose key has no parent valid at `time` (start <= time < end; a null end never comes).
 
     Keys are compared as they stand, by a 64-bit hash. A null key part or a
-    null time refers to nothing and is no orphan. A parent with a null key part
+    null time refers to nothing and is no orphan; such rows don't come back. A parent with a null key part
     or a null start is never valid. With no parents every reference is an
     orphan. Repeated references stay repeated; all columns of `refs` come back.
     """
@@ -100,7 +100,7 @@ def find_orphans(
         )
     )
     named = refs.where(F.col(time).isNotNull()).dropna(subset=ref_key)
-    keyed = named.select("*", _key_hash([F.col(c) for c in ref_key]).alias("__h"), _micros(F.col(time)).alias("__t"))
+    keyed = named.select("*", _key_hash([F.col(c) for c in ref_key]).alias("__orphan_hash"), _micros(F.col(time)).alias("__orphan_time"))
     count = sorted_from.count()
     if count <= most_broadcast:
         local = sorted_from.toPandas()  # within the bound just counted
@@ -111,7 +111,7 @@ def find_orphans(
         def missing(hashes: pa.Array, times: pa.Array) -> pa.Array:
             return pa.array(sent.value.miss(hashes.to_numpy(zero_copy_only=False), times.to_numpy(zero_copy_only=False)), pa.bool_())
 
-        return keyed.where(missing("__h", "__t")).drop("__h", "__t")
+        return keyed.where(missing("__orphan_hash", "__orphan_time")).drop("__orphan_hash", "__orphan_time")
     return _probe_ranges(keyed, sorted_from, count, per_task)
 
 
@@ -120,27 +120,27 @@ def _probe_ranges(keyed: DataFrame, parents: DataFrame, count: int, per_task: in
     bits = max(4, min(16, int(np.ceil(np.log2(max(2, count / 200_000))))))
     range_of = lambda h: F.shiftrightunsigned(h, 64 - bits).cast("int")
     # one row per range: at most 2 ** 16, whatever the input
-    splits = keyed.groupBy(range_of(F.col("__h")).alias("__range")).agg(F.ceil(F.count("*") / per_task).cast("int").alias("__splits"))
+    splits = keyed.groupBy(range_of(F.col("__orphan_hash")).alias("__orphan_range")).agg(F.ceil(F.count("*") / per_task).cast("int").alias("__orphan_splits"))
     splits = F.broadcast(splits)
     left = (
-        keyed.withColumn("__range", range_of(F.col("__h")))
-        .join(splits, "__range")
-        .withColumn("__salt", F.pmod(F.xxhash64("__t", F.monotonically_increasing_id()), F.col("__splits")).cast("int"))
-        .drop("__splits")
+        keyed.withColumn("__orphan_range", range_of(F.col("__orphan_hash")))
+        .join(splits, "__orphan_range")
+        .withColumn("__orphan_salt", F.pmod(F.xxhash64("__orphan_time", F.monotonically_increasing_id()), F.col("__orphan_splits")).cast("int"))
+        .drop("__orphan_splits")
     )
     right = (
-        parents.withColumn("__range", range_of(F.col("h")))
-        .join(splits, "__range")
-        .select("h", "s", "e", "__range", F.explode(F.sequence(F.lit(0), F.col("__splits") - 1)).alias("__salt"))
+        parents.withColumn("__orphan_range", range_of(F.col("h")))
+        .join(splits, "__orphan_range")
+        .select("h", "s", "e", "__orphan_range", F.explode(F.sequence(F.lit(0), F.col("__orphan_splits") - 1)).alias("__orphan_salt"))
     )
     schema = left.schema
 
     def probe(batches: Iterator[pd.DataFrame], own: pd.DataFrame) -> pd.DataFrame:
         index = SortedParents(*(own[c].to_numpy(np.int64) for c in "hse"))
-        return batches[index.miss(batches["__h"].to_numpy(np.int64), batches["__t"].to_numpy(np.int64))]
+        return batches[index.miss(batches["__orphan_hash"].to_numpy(np.int64), batches["__orphan_time"].to_numpy(np.int64))]
 
-    grouped = left.groupBy("__range", "__salt").cogroup(right.groupBy("__range", "__salt"))
-    return grouped.applyInPandas(probe, schema).drop("__h", "__t", "__range", "__salt")
+    grouped = left.groupBy("__orphan_range", "__orphan_salt").cogroup(right.groupBy("__orphan_range", "__orphan_salt"))
+    return grouped.applyInPandas(probe, schema).drop("__orphan_hash", "__orphan_time", "__orphan_range", "__orphan_salt")
 
 
 def orphans_by_period(orphans: DataFrame, key: str, field: str, time: str, period: str = "month") -> DataFrame:

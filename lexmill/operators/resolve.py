@@ -54,19 +54,41 @@ def _bag(texts: list[str]) -> np.ndarray:
     return out
 
 
-def best_ratio(name: str, own: np.ndarray, aliases: list[str], bags: np.ndarray, least: float) -> tuple[int, float]:
+def _masks(text: str) -> dict[str, int]:
+    """Bit i of a character's mask is set where the text has it at place i."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(text):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def common_length(name: str, masks: dict[str, int], length: int) -> int:
+    """Length of the longest common subsequence with the text of `masks`, by bit-parallel addition."""
+    full = (1 << length) - 1
+    row = full
+    for c in name:
+        if m := masks.get(c):
+            hit = row & m
+            row = ((row + hit) | (row - hit)) & full
+    return length - row.bit_count()
+
+
+def best_ratio(name: str, own: np.ndarray, aliases: list[str], bags: np.ndarray, masks: list[dict[str, int]], least: float) -> tuple[int, float]:
     """Place of the alias with the largest matcher ratio of at least `least`, the first of equals; -1 if there is none.
 
-    Pairs are tried in order of the bound that their characters set, until no bound can beat the best.
+    Two bounds come before the matcher, and neither can be under its ratio: the characters in common, by
+    which the aliases are ordered, and the longest common subsequence.
     """
-    lengths = bags.sum(1)
-    bound = 2.0 * np.minimum(bags, own).sum(1) / np.maximum(lengths + own.sum(), 1)
-    order = np.lexsort((np.arange(len(aliases)), -bound))
+    bound = 2.0 * np.minimum(bags, own).sum(1) / np.maximum(bags.sum(1) + own.sum(), 1)
+    open_ = np.flatnonzero(bound >= least - 1e-12)
     best, score = -1, 0.0
-    for i in order:
-        if bound[i] < max(least, score) - 1e-12:
+    for i in open_[np.lexsort((open_, -bound[open_]))]:
+        if bound[i] < score - 1e-12:
             break
-        ratio = SequenceMatcher(None, name, aliases[i]).ratio()
+        alias = aliases[i]
+        if 2.0 * common_length(name, masks[i], len(alias)) / (len(name) + len(alias)) < max(least, score) - 1e-12:
+            continue
+        ratio = SequenceMatcher(None, name, alias).ratio()
         if ratio >= least and (ratio > score or (ratio == score and i < best)):
             best, score = int(i), ratio
     return best, score
@@ -81,15 +103,15 @@ def resolve_fuzzy(names: DataFrame, aliases: DataFrame, least: float = FUZZY) ->
     if count > MOST_BROADCAST_ALIASES:
         raise ValueError(f"{count} aliases; use the set-similarity join for lists beyond {MOST_BROADCAST_ALIASES}")
     rows = [(r["alias"], r["law_id"]) for r in aliases.orderBy("ord").collect()]
-    sent = names.sparkSession.sparkContext.broadcast((rows, _bag([a for a, _ in rows])))
+    sent = names.sparkSession.sparkContext.broadcast((rows, _bag([a for a, _ in rows]), [_masks(a) for a, _ in rows]))
     kind = T.StructType([T.StructField("law_id", T.StringType()), T.StructField("matched_alias", T.StringType()), T.StructField("score", T.DoubleType())])
 
     @arrow_udf(kind)
     def match(values: pa.Array) -> pa.Array:
-        entries, bags = sent.value
+        entries, bags, masks = sent.value
         listed = [a for a, _ in entries]
         texts = values.to_pylist()
-        found = [best_ratio(t, b, listed, bags, least) if entries else (-1, 0.0) for t, b in zip(texts, _bag(texts), strict=True)]
+        found = [best_ratio(t, b, listed, bags, masks, least) if entries else (-1, 0.0) for t, b in zip(texts, _bag(texts), strict=True)]
         columns = [[entries[i][1] if i >= 0 else None for i, _ in found], [entries[i][0] if i >= 0 else None for i, _ in found], [s if i >= 0 else None for i, s in found]]
         return pa.StructArray.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.float64())], kind.names)
 
@@ -127,7 +149,7 @@ def resolve_names(names: DataFrame, aliases: DataFrame, corpus: DataFrame | None
     A corpus match replaces a fuzzy, prefix or missing one if its score is not lower. With `prefix_first` a
     prefix keeps its fixed score against the corpus; else it counts with the true ratio of the two names. Names that nothing resolves come back as unresolved.
     """
-    names = names.select("raw").where("raw is not null").distinct()
+    names = names.select("raw").where("raw is not null").distinct().persist()
     kind = "raw string, law_id string, confidence string, score double, matched_alias string, method string"
     by_hand = F.create_map(*[F.lit(x) for k, v in (manual or {"": ""}).items() for x in (k, v)])
     row = lambda df, confidence, score, method: df.select("raw", "law_id", confidence.alias("confidence"), score.alias("score"), "matched_alias", F.lit(method).alias("method"))
@@ -135,12 +157,13 @@ def resolve_names(names: DataFrame, aliases: DataFrame, corpus: DataFrame | None
     done = row(hand, F.lit("high"), F.lit(1.0), "manual")
     exact = resolve_exact(names.join(done, "raw", "left_anti"), aliases)
     done = done.unionByName(row(exact, F.lit("high"), F.lit(1.0), "exact"))
-    rest = names.join(done, "raw", "left_anti")
+    done = done.persist()
+    rest = names.join(done, "raw", "left_anti").persist()
     fuzzy = resolve_fuzzy(rest, aliases)
-    fuzzy = row(fuzzy, F.when(F.col("score") >= FUZZY_HIGH, "high").otherwise("medium"), F.col("score"), "fuzzy")
+    fuzzy = row(fuzzy, F.when(F.col("score") >= FUZZY_HIGH, "high").otherwise("medium"), F.col("score"), "fuzzy").persist()
     prefix = resolve_prefix(rest.join(fuzzy, "raw", "left_anti"), aliases)
     prefix = row(prefix, F.lit("low"), F.lit(PREFIX_SCORE), "prefix")
-    found = done.unionByName(fuzzy).unionByName(prefix)
+    found = done.unionByName(fuzzy).unionByName(prefix).persist()
     if corpus is not None:
         weak = names.join(found.where("confidence = 'high'"), "raw", "left_anti")
         own = row(resolve_exact(weak, corpus), F.lit("high"), F.lit(1.0), "corpus_exact")
@@ -149,6 +172,7 @@ def resolve_names(names: DataFrame, aliases: DataFrame, corpus: DataFrame | None
         again = resolve_exact(left.select(F.col("t").alias("raw")).distinct(), corpus).withColumnRenamed("raw", "t")
         own = own.unionByName(row(left.join(again, "t"), F.lit("high"), F.lit(1.0), "corpus_exact"))
         near = resolve_fuzzy(left.select(F.col("t").alias("raw")).distinct().join(again.select(F.col("t").alias("raw")), "raw", "left_anti"), corpus).withColumnRenamed("raw", "t")
+        near = near.persist()
         own = own.unionByName(row(left.join(near, "t"), F.when(F.col("score") >= FUZZY_HIGH, "high").otherwise("medium"), F.col("score"), "corpus_fuzzy"))
         first = Window.partitionBy("raw").orderBy(F.col("score").desc(), F.col("stage").desc(), "law_id")
         both = found.withColumn("stage", F.lit(0)).unionByName(own.withColumn("stage", F.lit(1)))
