@@ -78,8 +78,8 @@ def cut(text: str, count: TokenCounter, limit: int = LIMIT, overlap: int = OVERL
     """(start, end, tokens, boundary at the end) of the pieces of `text`; one piece where it is within the limit.
 
     Offsets are in code points. Neighbours overlap by at least `overlap`
-    tokens, and by no more than the word at the cut makes it; every piece but
-    the last is cut at the strongest boundary between half the limit and the limit.
+    tokens, and by no more than the word at the cut makes it (inside a word of
+    more than a sixteenth of the limit, tokens are counted by its small parts); every piece but the last is cut at the strongest boundary between half the limit and the limit.
     """
     if not 0 <= overlap < limit * LEAST_SHARE / 2:
         raise ValueError("the overlap must be under a quarter of the limit")
