@@ -191,10 +191,19 @@ def reachability(edges: DataFrame, most: int = 10_000) -> DataFrame:
 
 
 def cascade_scores(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
-    """Number of other nodes from which each node can be reached, itself not counted; nodes that nothing reaches have 0."""
+    """Number of other nodes from which each node can be reached, itself not counted; nodes that nothing reaches have 0.
+
+    All nodes of a strongly connected component have the same answer, so reachability is only worked out
+    between components, whose sizes are then summed.
+    """
     nodes = vertices.select("id").distinct() if vertices is not None else vertices_of(edges)
-    reach = reachability(edges.where("src <> dst")).where("id <> reached")
-    return nodes.join(reach.groupBy(F.col("reached").alias("id")).agg(F.count("*").alias("cascade")), "id", "left").fillna(0, ["cascade"])
+    parts = checkpointed(components(edges))
+    sizes = parts.groupBy("component").agg(F.count("*").alias("size"))
+    ends = edges.join(parts.select(F.col("id").alias("src"), F.col("component").alias("a")), "src").join(parts.select(F.col("id").alias("dst"), F.col("component").alias("b")), "dst")
+    between = reachability(ends.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    above = between.join(sizes, between["id"] == sizes["component"]).groupBy(F.col("reached").alias("component")).agg(F.sum("size").alias("above"))
+    whole = sizes.join(above, "component", "left").select("component", (F.coalesce("above", F.lit(0)) + F.col("size") - 1).alias("cascade"))
+    return nodes.join(parts.join(whole, "component").select("id", "cascade"), "id", "left").fillna(0, ["cascade"])
 
 
 def cascade_top(edges: DataFrame, top: int = 30, samples: int = 5) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import arrow_udf
 
 from lexmill.functions.text import strip_trailing_junk
+from lexmill.session import spread
 
 UNRESOLVED = "unresolved"
 FUZZY, FUZZY_HIGH, PREFIX_SCORE = 0.75, 0.90, 0.85
@@ -115,7 +116,7 @@ def resolve_fuzzy(names: DataFrame, aliases: DataFrame, least: float = FUZZY) ->
         columns = [[entries[i][1] if i >= 0 else None for i, _ in found], [entries[i][0] if i >= 0 else None for i, _ in found], [s if i >= 0 else None for i, s in found]]
         return pa.StructArray.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.float64())], kind.names)
 
-    held = names.where(cleaned_name(F.col("raw")) != "")
+    held = spread(names.where(cleaned_name(F.col("raw")) != ""))
     return held.select("raw", match.asNondeterministic()(cleaned_name(F.col("raw"))).alias("m")).where("m.law_id is not null").select("raw", "m.*")
 
 

@@ -8,40 +8,35 @@ from pyspark.sql import functions as F
 from lexmill.functions import patterns as P
 
 _TRIM = r"(?U)^\s+|\s+$"
+_LINE_ENDS = r"(?Udm)^[^\S\n]+|[^\S\n]+$"
 
 
-def _lines(text: Column) -> Column:
-    return F.transform(F.split(text, "\n", -1), lambda x: F.regexp_replace(x, _TRIM, ""))
+def _segments(text: Column, begins: str, heading: str, title) -> Column:
+    """Array of (number, title, text): a segment runs from its heading, which it holds, to the next one; lines before the first go.
 
+    `begins` matches where a heading's line begins; splitting there takes one pass over the text.
+    """
+    pieces = F.filter(F.split(text, f"{P.LINE_FLAGS}(?={begins})", -1), lambda x: x.rlike(f"{P.FLAGS}{begins}"))
 
-def _segments(lines: Column, heading: str, title) -> Column:
-    """Array of (number, title, text): a segment runs from its heading, which it holds, to the next one; lines before the first go."""
-    numbered = F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    heads = F.filter(numbered, lambda s: s["x"].rlike(heading))
-    number = lambda line: F.regexp_extract(line, heading, 1)
-    rest = lambda line: F.regexp_replace(F.regexp_extract(line, heading, 2), _TRIM, "")
+    def one(piece: Column) -> Column:
+        line = F.regexp_extract(piece, "^[^\n]*", 0)
+        number, rest = F.regexp_extract(line, heading, 1), F.regexp_replace(F.regexp_extract(line, heading, 2), _TRIM, "")
+        return F.struct(number.alias("number"), title(number, rest).alias("title"), F.regexp_replace(piece, _TRIM, "").alias("text"))
 
-    def one(head: Column, k: Column) -> Column:
-        until = F.coalesce(F.get(heads, k + 1)["i"], F.size(lines))
-        body = F.array_join(F.slice(lines, head["i"] + 1, until - head["i"]), "\n")
-        return F.struct(number(head["x"]).alias("number"), title(number(head["x"]), rest(head["x"])).alias("title"), F.regexp_replace(body, _TRIM, "").alias("text"))
-
-    return F.transform(heads, one)
+    return F.transform(pieces, one)
 
 
 def article_segments(text: Column) -> Column:
     """Articles of a text up to the heading of its transitory part; empty without a heading, null for null."""
-    lines = _lines(text)
-    numbered = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: s["x"].rlike(P.FLAGS + P.TRANSITORY))
-    stop = F.get(numbered, F.lit(0))["i"]
-    kept = F.when(stop.isNull(), lines).otherwise(F.slice(lines, F.lit(1), stop))
+    trimmed = F.regexp_replace(text, _LINE_ENDS, "")
+    kept = F.get(F.split(trimmed, P.LINE_FLAGS + P.TRANSITORY.replace(r"\s*", r"[^\S\n]*").replace(r"\s+", r"[^\S\n]+"), 2), F.lit(0))
     title = lambda n, rest: F.concat(F.lit("Artículo "), n, F.when(rest != "", F.concat(F.lit(" — "), rest)).otherwise(F.lit("")))
-    return _segments(kept, P.FLAGS + P.ARTICLE_HEADING, title)
+    return _segments(kept, r"^(?:Art[ií]culo|Art\.)[^\S\n]+\d", P.FLAGS + P.ARTICLE_HEADING, title)
 
 
 def section_segments(text: Column) -> Column:
     """Numbered sections of a text; a text without any is one section 0."""
-    found = _segments(_lines(text), "(?d)" + P.SECTION_HEADING, lambda n, rest: rest)
+    found = _segments(F.regexp_replace(text, _LINE_ENDS, ""), r"^\d+(?:\.\d+)*[^\S\n]*(?:[.\-]|[^\S\n])", "(?d)" + P.SECTION_HEADING, lambda n, rest: rest)
     whole = F.array(F.struct(F.lit("0").alias("number"), F.lit("").alias("title"), F.regexp_replace(text, _TRIM, "").alias("text")))
     return F.when(text.isNull(), F.lit(None)).when(F.size(found) > 0, found).otherwise(whole)
 

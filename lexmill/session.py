@@ -38,3 +38,14 @@ def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
         named = context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "lexmill-checkpoints"))
     return df.checkpoint(eager)
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """`df` over as many partitions as the session shuffles into, for work in Python that is long for its bytes.
+
+    Adaptive execution joins partitions that are small in bytes, which would leave such work to one task; it
+    keeps a number of partitions that is asked for.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *columns)

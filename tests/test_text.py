@@ -48,10 +48,10 @@ def test_citations(spark):
 
 
 def test_norms(spark):
-    articles = spark.createDataFrame([("l", "1", "según la NOM-043-SSA2-2012 y NOM-001-STPS-2008; la Norma Oficial Mexicana"), ("l", "2", None)], "source_law string, source_article string, text string")
+    articles = spark.createDataFrame([("l", "1", "según la NOM-043-SSA2-2012 y NOM-001-STPS-2008; las Normas Oficiales Mexicanas"), ("l", "2", None)], "source_law string, source_article string, text string")
     registry = spark.createDataFrame([("NOM-043-SSA2-2015", "a"), ("NOM-043-SSA2-2013", "b")], "code string, nom_id string")
     got = sorted((r.target_nom_raw, r.target_nom_id, r.confidence, r.char_offset) for r in extract.extract_norm_citations(articles, registry).collect())
-    assert got == [("NOM-001-STPS-2008", "unresolved", "medium", 31), ("NOM-043-SSA2-2012", "a", "high", 10), ("Norma Oficial Mexicana", "generic", "low", 53)]
+    assert got == [("NOM-001-STPS-2008", "unresolved", "medium", 29), ("NOM-043-SSA2-2012", "a", "high", 9), ("Normas Oficiales Mexicanas", "generic", "low", 52)]
     norms = spark.createDataFrame([("a", "NOM-001-X-2020", "ver NOM-002-Y-2021 y NOM-001-X-2020"), ("b", "NOM-002-Y-2021", None)], "id string, code string, full_text string")
     assert [tuple(r) for r in extract.norm_to_norm(norms).collect()] == [("a", "b")]
 
