@@ -34,10 +34,10 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 _SKIP = 0xFFFFFFFF
 
 
-def _fold_table() -> np.ndarray:
+def _fold_table(points: int = 0x30000) -> np.ndarray:
     """Per code point: the folded letter or digit, 0 for what separates words, and a skip sign for marks and invisible characters."""
     table = np.zeros(0x110000, np.uint32)
-    for point in range(0x30000):
+    for point in range(points):
         c = chr(point)
         kind = unicodedata.category(c)
         if kind[0] == "M" or kind == "Cf":

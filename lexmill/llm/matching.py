@@ -23,6 +23,7 @@ from pyspark.sql.pandas.functions import arrow_udf
 from lexmill.llm.containment import _fold_table
 from lexmill.llm.mojibake import repair
 from lexmill.llm.unify import unify
+from lexmill.session import spread
 
 #: Least Jaccard similarity of the trigram sets.
 THRESHOLD = 0.4
@@ -81,8 +82,7 @@ _FOLD: list[np.ndarray] = []
 
 def _folded(text: str) -> str:
     if not _FOLD:
-        table = _fold_table()[:0x3000].copy()
-        _FOLD.append(table)
+        _FOLD.append(_fold_table(0x3000))
     table = _FOLD[0]
     return "".join(chr(f) if (f := int(table[o])) and f < 0x3000 else "" if f else " " for c in text if (o := ord(c)) < 0x3000)
 
@@ -209,8 +209,8 @@ def similar_pairs(names: DataFrame, entries: DataFrame, threshold: float = THRES
     both = both.where((F.col("r_n") >= F.col("l_n") * threshold - 1e-9) & (F.col("l_n") >= F.col("r_n") * threshold - 1e-9))
     both = both.where(F.least(F.col("l_n") - F.col("l_at"), F.col("r_n") - F.col("r_at")) >= need)
     # of all shared prefix tokens only the rarest one yields the pair, so no pair comes twice
-    first = F.get(F.array_intersect("l_ranks", "r_ranks"), F.lit(0))
-    shared = both.where(first == F.col("token")).withColumn("shared", F.size(F.array_intersect("l_ranks", "r_ranks")))
+    rarer = F.arrays_overlap(F.slice("l_ranks", F.lit(1), F.col("l_at")), F.slice("r_ranks", F.lit(1), F.col("r_at")))
+    shared = both.where(~rarer).withColumn("shared", F.size(F.array_intersect("l_ranks", "r_ranks")))
     scored = shared.select(F.col("l_name").alias("name"), F.col("r_name").alias("entry"), (F.col("shared") / (F.col("l_n") + F.col("r_n") - F.col("shared"))).alias("jaccard"))
     return scored.where(F.col("jaccard") >= threshold - 1e-9)
 
@@ -249,10 +249,10 @@ def match_names(raw: DataFrame, field: str, registry: DataFrame, key: str, name:
     fewest slips is taken, then the most similar; two entries that are equal in
     both are ambiguous and so unmatched. An empty list matches nothing.
     """
-    values = raw.select(F.col(field).alias("raw")).distinct()
+    values = spread(raw.select(F.col(field).alias("raw")).distinct())
     canon = values.select("raw", canonical_names(F.col("raw"), tails).alias("name")).persist()
     entries = entry_names(registry, key, name, others, tails).persist()
-    names = canon.select("name").where(F.col("name") != "").distinct()
+    names = spread(canon.select("name").where(F.col("name") != "").distinct())
     pairs = similar_pairs(names, entries, threshold)
     checked = pairs.withColumn("slips", _same("name", "entry")).where(F.col("slips") >= 0)
     by_id = checked.join(F.broadcast(entries.select(F.col("name").alias("entry"), "id")), "entry")
