@@ -95,7 +95,7 @@ def canonical(name: str | None, tails: tuple[tuple[str, ...], ...] = TAILS) -> s
     """Words that carry the name, folded, without `tails` and words without weight, abbreviations in full; an acronym as one word."""
     if not name:
         return ""
-    text = _folded(unify(repair(name)[0]))
+    text = _folded(unify(repair(name, prose=False)[0]))
     words = _WORDS.findall(text)
     if len(words) > 1 and all(len(w) == 1 for w in words):
         return "".join(words)

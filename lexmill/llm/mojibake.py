@@ -134,8 +134,11 @@ def _map_back(text: str, table: dict[int, str], found: list[tuple[int, int]]) ->
     return text[:start] + text[start:end].translate(table) + text[end:]
 
 
-def repair(text: str) -> tuple[str, int, bool]:
-    """The text as it was meant, the number of garbled places, and whether all of them could be restored."""
+def repair(text: str, prose: bool = True) -> tuple[str, int, bool]:
+    """The text as it was meant, the number of garbled places, and whether all of them could be restored.
+
+    Only in `prose` can a no-break space be a letter: between the words of names, spaces of all kinds stand for blanks.
+    """
     places, plain = 0, text
     for _ in range(MOST_ROUNDS):
         plain, n = _decode_spans(plain)
@@ -145,7 +148,7 @@ def repair(text: str) -> tuple[str, int, bool]:
     mac = [m.span() for m in _MAC_SURE.finditer(plain)]
     plain = _map_back(plain, _FROM_MAC, mac)
     dos = [m.span() for m in _DOS_SURE.finditer(plain)]
-    if "\xa0" in plain and not _BLANKS.search(plain):
+    if prose and "\xa0" in plain and not _BLANKS.search(plain):
         dos += [m.span() for m in _DOS_SPACE.finditer(plain)]
     plain = _map_back(plain, _FROM_DOS, dos)
     places += len(mac) + len(dos)

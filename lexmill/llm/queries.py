@@ -71,15 +71,16 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Records with characters that should be others, or be absent."""
-    parts = [df.where(is_mixed(F.col("text"))).select("table_name", "record_id") for df in _fields(spark, folder, MIXED_FIELDS)]
+    fields = zip(MIXED_FIELDS, _fields(spark, folder, MIXED_FIELDS), strict=True)
+    parts = [df.where(is_mixed(F.col("text"), prose=name == "laws")).select("table_name", "record_id") for (name, *_), df in fields]
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
 def p6_unified(spark: SparkSession, folder: str) -> DataFrame:
     """All texts of problem 6 in one form."""
-    parts = [
-        df.select("table_name", "record_id", unified(repaired(F.col("text")).restored).alias("text")) for df in _fields(spark, folder, MIXED_FIELDS)
-    ]
+    fields = zip(MIXED_FIELDS, _fields(spark, folder, MIXED_FIELDS), strict=True)
+    meant = lambda name: repaired(F.col("text")).restored if name == "laws" else F.col("text")
+    parts = [df.select("table_name", "record_id", unified(meant(name)).alias("text")) for (name, *_), df in fields]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -109,16 +109,18 @@ def unified(column: Column) -> Column:
     return F.when(column.rlike(SUSPECT), _unify_all(F.when(column.rlike(SUSPECT), column))).otherwise(column)
 
 
-@arrow_udf(T.BooleanType())
-def _differs(values: pa.Array) -> pa.Array:
-    out = []
-    for t in values.to_pylist():
-        if t is not None:
-            t, _, _ = repair(t)
-        out.append(t is not None and unify(t) != t)
-    return pa.array(out, pa.bool_())
-
-
-def is_mixed(column: Column) -> Column:
-    """Whether a string column holds characters that `unified` would change, other than through a wrong decoding; null gives false."""
-    return F.coalesce(F.when(column.rlike(SUSPECT), _differs(F.when(column.rlike(SUSPECT), column))), F.lit(False))
+def _differing(prose: bool):
+    @arrow_udf(T.BooleanType())
+    def differs(values: pa.Array) -> pa.Array:
+        texts = [None if t is None else repair(t, prose)[0] for t in values.to_pylist()]
+        return pa.array([t is not None and unify(t) != t for t in texts], pa.bool_())
+
+    return differs
+
+
+def is_mixed(column: Column, prose: bool = True) -> Column:
+    """Whether a string column holds characters that `unified` would change, other than through a wrong decoding; null gives false.
+
+    For names rather than `prose`, a no-break space is never taken for a wrongly decoded letter.
+    """
+    return F.coalesce(F.when(column.rlike(SUSPECT), _differing(prose)(F.when(column.rlike(SUSPECT), column))), F.lit(False))

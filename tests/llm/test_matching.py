@@ -12,7 +12,7 @@ CASES = {
     "Veredas Territoriales, Ley Orgánica de": "l2", "Ley General de Veerdas Territorales": "l1", "L.G.V.T.": "l1", "l g v t": "l1", "lovt": "l2", "Ley Zamcuzl": "l1", "Veredas Territoriales": "unmatched",
     "Faros & Balizas Fluviales": "l3", "Cód. de Faros y Balizas Fluviales, según su útima reforma": "l3", "Ley de Muelles Comunales": "l4", "Ley Federal de Muelles Comunales (en adelante, la Ley)": "l4",
     "Ley General de Muelles Comunales": "unmatched", "Ley Federal de Muelles Comunales del Estado de Talximón": "unmatched", "la ley del ramo": "unmatched", "s/n": "unmatched", "": "unmatched", None: "unmatched",
-    "\uFF2C\uFF45\uFF59 Fedеral de Muelles\u00A0Comunales": "l4", "la  ley federal d muelles comunales ": "l4", "CFBX": "unmatched", "Ley Federal de Muelles Comunales; y su reglamento": "l4", "x" * 5000: "unmatched",
+    "\uFF2C\uFF45\uFF59 Fedеral de Muelles\u00A0Comunales": "l4", "la  ley federal d muelles comunales ": "l4", "CFBX": "unmatched", "la ley federal d\u00A0muelles\u2007comunales ": "l4", "Ley Federal de Muelles Comunales; y su reglamento": "l4", "x" * 5000: "unmatched",
 }
 
 

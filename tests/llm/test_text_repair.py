@@ -59,6 +59,12 @@ def test_unify(text, wanted):
     assert unify(text) == wanted and unify(unify(text)) == unify(text)
 
 
+def test_blanks_between_the_words_of_names(spark):
+    name = "la ley d\u00A0veredas"
+    assert repair(name, prose=False)[1] == 0
+    assert spark.createDataFrame([(name,)], "t string").select(is_mixed(F.col("t"), prose=False).alias("m")).first().m
+
+
 def test_mapping_has_no_conflict():
     check_mapping(TABLE | LOOKALIKES)
     with pytest.raises(ValueError):
