@@ -542,6 +542,72 @@ def community_analysis(spark, folder):
     return graph.community_analysis(graph.louvain(edges), edges, sectors)
 
 
+# --- scores from several measures, on the graph of suppliers
+
+_NODES_SQL = f"""{LINES_SQL}, {VERTICES_SQL}, reach(id, reached) AS (SELECT src, dst FROM strong UNION SELECT r.id, s.dst FROM reach r JOIN strong s ON r.reached = s.src),
+ca AS (SELECT vs.id, CAST(count(r.id) AS BIGINT) AS cascade FROM vs LEFT JOIN (SELECT * FROM reach WHERE id <> reached) r ON r.reached = vs.id GROUP BY 1),
+de AS (SELECT id, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree FROM (SELECT src AS id, 1 AS o, 0 AS i FROM strong UNION ALL SELECT dst, 0, 1 FROM strong) GROUP BY 1),
+mp AS (SELECT x.src AS a, x.dst AS b FROM strong x JOIN strong y ON x.src = y.dst AND x.dst = y.src WHERE x.src < x.dst), cy AS (SELECT id, count(*) AS cycles FROM (SELECT a AS id FROM mp UNION ALL SELECT b FROM mp) GROUP BY 1),
+nodes AS (SELECT id, in_degree, out_degree, cascade, CAST(coalesce(cycles, 0) AS BIGINT) AS cycles, CAST(0 AS BIGINT) AS conflicts, r_name AS sector
+  FROM de JOIN ca USING (id) LEFT JOIN cy USING (id) JOIN supplier ON s_suppkey = id JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey)"""
+
+
+def _nodes(spark: SparkSession, folder: str) -> DataFrame:
+    edges = supplier_edges(spark, folder)
+    none = spark.createDataFrame([], f"id {edges.schema['src'].dataType.simpleString()}")
+    region = table(spark, folder, "nation").join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    sector = table(spark, folder, "supplier").join(region, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("id"), F.col("r_name").alias("sector"))
+    parts = reports.participation(graph.mutual_pairs(edges), none)
+    rows = graph.degree_metrics(edges).join(graph.cascade_scores(edges), "id").join(parts, "id", "left").fillna(0, ["cycles", "conflicts"]).join(sector, "id")
+    return rows.select("id", "in_degree", "out_degree", "cascade", "cycles", "conflicts", "sector")
+
+
+@query(f"WITH RECURSIVE {_NODES_SQL} SELECT * FROM nodes")
+def node_measures(spark, folder):
+    return _nodes(spark, folder)
+
+
+@query(f"""WITH RECURSIVE {_NODES_SQL} SELECT id, round_even((1 - in_degree / 316.0::DOUBLE) * 50 + (1 - cascade / 317.0::DOUBLE) * 35 + (1 - cycles / greatest((SELECT max(cycles) FROM nodes), 1)::DOUBLE) * 15, 1) AS safety FROM nodes""")
+def removal_safety(spark, folder):
+    return reports.removal_safety(_nodes(spark, folder))
+
+
+@query(f"""WITH RECURSIVE {_NODES_SQL} SELECT a, b, round_even(CASE WHEN x.sector = y.sector THEN 30.0::DOUBLE ELSE 0 END + least(40.0::DOUBLE, 800.0::DOUBLE / greatest(x.out_degree + y.out_degree, 1)) + greatest(0, 20 - (x.in_degree + y.in_degree) // 4)
+  + CASE WHEN x.cycles > 0 AND y.cycles > 0 THEN 10.0::DOUBLE ELSE 0 END, 1) AS score FROM mp JOIN nodes x ON x.id = a JOIN nodes y ON y.id = b ORDER BY score DESC, a, b LIMIT 40""")
+def merger_candidates(spark, folder):
+    return reports.merger_candidates(graph.mutual_pairs(supplier_edges(spark, folder)), _nodes(spark, folder))
+
+
+@query(f"""WITH RECURSIVE {_NODES_SQL}, s AS (SELECT *, CAST(15 * cycles + 20 * conflicts + least(30, (in_degree + cascade // 10) // 5) AS BIGINT) AS score FROM nodes)
+SELECT id, score, concat_ws('; ', CASE WHEN cycles > 0 THEN cycles || ' cycles' END, CASE WHEN conflicts > 0 THEN conflicts || ' conflicts' END, CASE WHEN in_degree > 0 THEN 'cited by ' || in_degree END) AS rationale
+FROM s WHERE score >= 10 ORDER BY score DESC, id LIMIT 40""")
+def reform_priority(spark, folder):
+    return reports.reform_priority(_nodes(spark, folder))
+
+
+@query(f"""WITH RECURSIVE {_NODES_SQL}, s AS (SELECT *, (1 - in_degree / 316.0::DOUBLE) * 50 + (1 - cascade / 317.0::DOUBLE) * 35 + (1 - cycles / greatest((SELECT max(cycles) FROM nodes), 1)::DOUBLE) * 15 AS safety FROM nodes)
+SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (round_even(safety, 1) >= 60) AS BIGINT) AS removable, CAST(count(*) FILTER (in_degree = 0 AND out_degree <= 2) AS BIGINT) AS isolated,
+  CAST(count(*) FILTER (cycles > 0) AS BIGINT) AS in_cycles FROM s""")
+def simplification_summary(spark, folder):
+    nodes = _nodes(spark, folder)
+    safe = reports.removal_safety(nodes)
+    return nodes.join(safe, "id").agg(
+        F.count("*").alias("total"), F.count_if(F.col("safety") >= 60).alias("removable"), F.count_if((F.col("in_degree") == 0) & (F.col("out_degree") <= 2)).alias("isolated"),
+        F.count_if(F.col("cycles") > 0).alias("in_cycles"),
+    )
+
+
+@query()
+def metric_suite(spark, folder):
+    """All measures of the nodes in one table."""
+    edges = supplier_edges(spark, folder)
+    parts = [graph.degree_metrics(edges), graph.pagerank(edges, iterations=10), graph.hits(edges, 6), graph.clustering(edges).drop("degree"), graph.cascade_scores(edges), graph.components(edges)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(part, "id", "left")
+    return out.withColumns({c: F.round(c, 8) for c in ("pagerank", "hub", "authority")})
+
+
 def queries() -> dict[str, Query]:
     return core_problems.queries() | _QUERIES
 
