@@ -18,9 +18,9 @@ def citation_orphans(spark: SparkSession, folder: str) -> DataFrame:
     keep = ["citation_id", "extracted_at"]
     refs = table(spark, folder, "citations").select(*keep, "target_law_id", "target_article")
     laws, articles = table(spark, folder, "law_registry"), table(spark, folder, "registry_articles")
-    named = refs.where(F.col("target_law_id") != UNRESOLVED)
-    lost_laws = find_orphans(named, laws, ["target_law_id"], ["law_id"], "extracted_at", "registered_at", "withdrawn_at")
-    each = split_articles(named.where(F.col("target_article").isNotNull()), "target_article")
+    lost_laws = find_orphans(refs.where(F.col("target_law_id") != UNRESOLVED), laws, ["target_law_id"], ["law_id"], "extracted_at", "registered_at", "withdrawn_at")
+    # an article of a law that nobody could name isn't there either
+    each = split_articles(refs.where(F.col("target_article").isNotNull()), "target_article")
     lost = find_orphans(each, articles, ["target_law_id", "article"], ["law_id", "article"], "extracted_at", "in_force_from", "repealed_at")
     return lost_laws.select(*keep, F.lit("target_law_id").alias("ref_field")).unionByName(
         lost.select(*keep, F.lit("target_article").alias("ref_field"))
