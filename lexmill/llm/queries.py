@@ -144,5 +144,14 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in own}
 
 
+def _copies_sql() -> str:
+    leaf = lambda c: rf"replace(lower(upper(regexp_replace(nfc_normalize(coalesce({c}, '')), '[^\p{{L}}\p{{N}}\p{{M}}]+', '', 'g'))), 'ς', 'σ')"
+    return f"""WITH k AS (SELECT definition_id AS id, list_sort([{leaf("term")}, {leaf("definition_text")}]) AS k FROM definitions),
+g AS (SELECT k, min(id) AS keep_id, CAST(count(*) AS BIGINT) AS copies FROM k GROUP BY 1 HAVING count(*) > 1)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p5_found": f"{_copies_sql()} SELECT DISTINCT keep_id, id AS dup_id FROM k JOIN g USING (k) WHERE id <> keep_id",
+        "p5_collapsed": f"{_copies_sql()} SELECT keep_id, copies FROM g",
+    }
