@@ -29,6 +29,8 @@ from pyspark.sql import types as T
 WINDOW, SHINGLE = 20, 5
 #: Words of all items that may travel to every executor: 8 bytes each and as much for fingerprints.
 MOST_BROADCAST_WORDS = 2_000_000
+#: Characters of documents that are worked on at once.
+BLOCK_CHARACTERS = 1_500_000
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 _SKIP = 0xFFFFFFFF
@@ -229,6 +231,18 @@ def contained_items(
     return out
 
 
+def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about BLOCK_CHARACTERS together: the arrays over a block take some 50 bytes a character."""
+    start = size = 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= BLOCK_CHARACTERS:
+            yield start, i + 1
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def _probe(source: DataFrame, index: ItemIndex, schema: T.StructType) -> DataFrame:
     sent = source.sparkSession.sparkContext.broadcast(index)
     kinds = [pa.int64() if isinstance(f.dataType, T.LongType) else None for f in schema.fields]
@@ -236,14 +250,12 @@ def _probe(source: DataFrame, index: ItemIndex, schema: T.StructType) -> DataFra
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                rows = batch.slice(at, 1000)
-                hashes, counts = word_hashes(rows.column(1).to_pylist())
+            texts = batch.column(1).to_pylist()
+            for start, end in _blocks(texts):
+                hashes, counts = word_hashes(texts[start:end])
                 pairs = sorted(find_items(own, hashes, np.concatenate([[0], np.cumsum(counts)])))
                 if pairs:
-                    ids = rows.column(0)
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array([d for d, _ in pairs], pa.int64())), pa.array([own.ids[i] for _, i in pairs], kinds[1])], ["doc", "item"]
-                    )
+                    ids = batch.column(0).take(pa.array([start + d for d, _ in pairs], pa.int64()))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([own.ids[i] for _, i in pairs], kinds[1])], ["doc", "item"])
 
     return source.mapInArrow(probe, schema)
