@@ -122,10 +122,12 @@ def _probe_ranges(keyed: DataFrame, parents: DataFrame, count: int, per_task: in
     # one row per range: at most 2 ** 16, whatever the input
     splits = keyed.groupBy(range_of(F.col("__orphan_hash")).alias("__orphan_range")).agg(F.ceil(F.count("*") / per_task).cast("int").alias("__orphan_splits"))
     splits = F.broadcast(splits)
+    # a salt of the row's own values, so that a task that runs again puts it in the same place
+    own = [F.col(f"`{c}`") for c, kind in keyed.dtypes if "map<" not in kind and kind != "variant"]
     left = (
         keyed.withColumn("__orphan_range", range_of(F.col("__orphan_hash")))
         .join(splits, "__orphan_range")
-        .withColumn("__orphan_salt", F.pmod(F.xxhash64("__orphan_time", F.monotonically_increasing_id()), F.col("__orphan_splits")).cast("int"))
+        .withColumn("__orphan_salt", F.pmod(F.xxhash64(F.lit("salt"), *own), F.col("__orphan_splits")).cast("int"))
         .drop("__orphan_splits")
     )
     right = (

@@ -12,6 +12,7 @@ from lexmill.functions import text as X
 from lexmill.operators import extract, graph, reports, resolve, segment
 from lexmill.plans import core_problems
 from lexmill.plans.relations import (
+    ARTICLE_EDGE_COLUMNS,
     ARTICLE_EDGES_SQL,
     CITATIONS_SQL,
     EDGES_SQL,
@@ -161,7 +162,7 @@ def article_drilldown(spark, folder):
 k AS (SELECT id FROM d ORDER BY degree DESC, id LIMIT 5000), h AS (SELECT * FROM e ORDER BY weight DESC, src, dst LIMIT 40000)
 SELECT src, dst, weight FROM h WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k) ORDER BY weight DESC, src, dst LIMIT 20000""")
 def article_graph_capped(spark, folder):
-    return graph.article_graph_capped(current_citations(spark, folder))
+    return graph.article_graph_capped(current_citations(spark, folder, *ARTICLE_EDGE_COLUMNS))
 
 
 _FOCUS = "constitucion-politica-de-la-federacion-de-ondaria"
@@ -192,18 +193,18 @@ def neighbourhood(spark, folder):
 SELECT 'pattern' AS kind, pattern_name AS name, n FROM g WHERE g = 3 UNION ALL SELECT 'confidence', confidence, n FROM g WHERE g = 5
 UNION ALL SELECT * FROM (SELECT 'raw_name', target_law_raw, n FROM g WHERE g = 6 ORDER BY n DESC, target_law_raw NULLS FIRST LIMIT 20)""")
 def citation_summary(spark, folder):
-    return reports.citation_summary(current_citations(spark, folder))
+    return reports.citation_summary(current_citations(spark, folder, "pattern_name", "confidence", "target_law_raw"))
 
 
 @query(f"""WITH {CITATIONS_SQL}, r AS (SELECT coalesce(resolution_confidence, 'unresolved') AS resolution_confidence, CAST(count(*) AS BIGINT) AS n,
   CAST(count(*) FILTER (target_law_id <> 'unresolved') AS BIGINT) AS resolved FROM cit GROUP BY 1) SELECT *, round(n / CAST(sum(n) OVER () AS DOUBLE), 4) AS share FROM r""")
 def resolution_report(spark, folder):
-    return reports.resolution_report(current_citations(spark, folder))
+    return reports.resolution_report(current_citations(spark, folder, "resolution_confidence", "target_law_id"))
 
 
 @query(f"WITH {CITATIONS_SQL} SELECT target_law_id, CAST(count(*) AS BIGINT) AS n FROM cit WHERE target_law_id <> 'unresolved' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 30")
 def top_targets(spark, folder):
-    return reports.top_targets(current_citations(spark, folder))
+    return reports.top_targets(current_citations(spark, folder, "target_law_id"))
 
 
 @query("""SELECT term, CAST(count(*) AS BIGINT) AS n_laws, count(DISTINCT lower(trim(regexp_replace(substring(definition_text, 1, 100), '\\s+', ' ', 'g'), ' '))) AS n_variants
@@ -215,7 +216,7 @@ def definition_conflicts(spark, folder):
 @query(f"""WITH {CITATIONS_SQL} SELECT trim(target_law_raw, ' ') AS raw_name, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (confidence = 'low') AS BIGINT) AS n_low
 FROM cit WHERE target_law_id = 'unresolved' GROUP BY 1 ORDER BY 2 DESC, 1 NULLS FIRST LIMIT 150""")
 def fragility(spark, folder):
-    return reports.fragility(current_citations(spark, folder))
+    return reports.fragility(current_citations(spark, folder, "target_law_id", "target_law_raw", "confidence"))
 
 
 # --- dependency classes
@@ -233,7 +234,7 @@ dep AS (SELECT *, {_rules_sql()} AS dependency_type FROM x)"""
 
 
 def _dependencies(spark: SparkSession, folder: str) -> DataFrame:
-    return reports.classified(current_citations(spark, folder))
+    return reports.classified(current_citations(spark, folder, "source_law", "source_article", "target_law_id", "target_law_raw", "citation_text", "pattern_name", "confidence", "resolution_method"))
 
 
 @query(f"WITH {_DEPENDENCIES_SQL} SELECT citation_id, dependency_type FROM dep")
@@ -256,7 +257,7 @@ def dependency_by_pair(spark, folder):
 SELECT CASE WHEN contains(f, 'constituci') OR contains(f, 'reglamento') OR contains(f, 'código') OR contains(f, 'ley') THEN 'layer_1_normative_core'
   WHEN contains(f, 'decreto') OR contains(f, 'transitorio') OR contains(f, 'acuerdo') THEN 'layer_2_change_layer' ELSE 'layer_3_interpretive_prepared' END AS layer, CAST(count(*) AS BIGINT) AS n FROM l GROUP BY 1""")
 def corpus_layers(spark, folder):
-    return current_laws(spark, folder).groupBy(X.corpus_layer(F.col("name"), F.col("short_name")).alias("layer")).agg(F.count("*").alias("n"))
+    return current_laws(spark, folder, "name", "short_name").groupBy(X.corpus_layer(F.col("name"), F.col("short_name")).alias("layer")).agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {_DEPENDENCIES_SQL}, i AS (SELECT target_law_id AS law_id, count(*) AS inbound, count(DISTINCT source_article) AS touchpoints FROM dep GROUP BY 1),
@@ -292,46 +293,46 @@ def validate_dependencies(spark, folder):
   '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'), '[ \\t]{{2,}}', ' ', 'g'), '\\n{{4,}}', chr(10) || chr(10) || chr(10), 'g'), '\\A\\s+|\\s+\\z', '', 'g') AS text
 FROM (SELECT id, {"".join("replace(" for _ in X.GARBLED_PAIRS)}full_text{"".join(f", '{a}', '{b}')" for a, b in X.GARBLED_PAIRS)} AS x FROM law)""")
 def clean_text(spark, folder):
-    return current_laws(spark, folder).select("id", X.clean_text(F.col("full_text")).alias("text"))
+    return current_laws(spark, folder, "full_text").select("id", X.clean_text(F.col("full_text")).alias("text"))
 
 
 @query(f"""WITH {LAWS_SQL} SELECT id, rtrim(substring(trim(regexp_replace(regexp_replace(translate(trim(lower(name), ' '), '{X.ACCENTED}', '{X.PLAIN}'), '[^a-z0-9\\s\\-]', '', 'g'), '[\\s\\-]+', '-', 'g'), '-'), 1, 60), '-') AS slug FROM law""")
 def slugify(spark, folder):
-    return current_laws(spark, folder).select("id", X.slugify(F.col("name")).alias("slug"))
+    return current_laws(spark, folder, "name").select("id", X.slugify(F.col("name")).alias("slug"))
 
 
 @query(f"""WITH {LAWS_SQL} SELECT id, list_min(list_filter(list_transform(regexp_extract_all(substring(full_text, 1, 2000), '(?:^|[^0-9A-Za-z_])(19[4-9][0-9]|20[0-2][0-9])', 1), lambda y: CAST(y AS INTEGER)), lambda y: y BETWEEN 1917 AND 2030)) AS year FROM law
 WHERE full_text IS NOT NULL AND NOT regexp_matches(substring(full_text, 1, 3000), 'D\\.?O\\.?F') AND NOT regexp_matches(substring(full_text, 1, 2000), '(19[4-9][0-9]|20[0-2][0-9])[\\p{{L}}0-9_]')""")
 def year_extract(spark, folder):
     # rows whose years RE2 can't tell apart (no look-ahead) are left out on both sides
-    laws = current_laws(spark, folder).where(F.col("full_text").isNotNull() & ~F.substring("full_text", 1, 3000).rlike(r"D\.?O\.?F"))
+    laws = current_laws(spark, folder, "full_text").where(F.col("full_text").isNotNull() & ~F.substring("full_text", 1, 3000).rlike(r"D\.?O\.?F"))
     laws = laws.where(~F.substring("full_text", 1, 2000).rlike(r"(19[4-9][0-9]|20[0-2][0-9])[\p{L}0-9_]"))
     return laws.select("id", X.year_enacted(F.col("full_text")).alias("year"))
 
 
 @query(f"WITH {LAWS_SQL} SELECT id, 'sha256:' || sha256(full_text) AS checksum FROM law WHERE full_text IS NOT NULL")
 def checksum(spark, folder):
-    return current_laws(spark, folder).where("full_text is not null").select("id", X.checksum(F.col("full_text")).alias("checksum"))
+    return current_laws(spark, folder, "full_text").where("full_text is not null").select("id", X.checksum(F.col("full_text")).alias("checksum"))
 
 
 @query()
 def segment_articles(spark, folder):
-    return segment.segmented(current_laws(spark, folder), "id", "full_text")
+    return segment.segmented(current_laws(spark, folder, "full_text"), "id", "full_text")
 
 
 @query()
 def segment_sections(spark, folder):
-    return segment.segmented(current_laws(spark, folder), "id", "full_text", "sections")
+    return segment.segmented(current_laws(spark, folder, "full_text"), "id", "full_text", "sections")
 
 
 @query(f"""WITH {CITATIONS_SQL}, n AS (SELECT DISTINCT target_law_raw AS raw FROM cit) SELECT raw, nullif(regexp_extract(raw, '(?i)art[ií]culos?\\s+([0-9]+[\\p{{L}}\\p{{N}}_\\-]*)', 1), '') AS article FROM n WHERE raw IS NOT NULL""")
 def first_article(spark, folder):
-    return current_citations(spark, folder).where("target_law_raw is not null").select(F.col("target_law_raw").alias("raw")).distinct().withColumn("article", X.first_article(F.col("raw")))
+    return _names(spark, folder).withColumn("article", X.first_article(F.col("raw")))
 
 
 @query()
 def clean_name(spark, folder):
-    raw = current_citations(spark, folder).select(F.col("target_law_raw").alias("raw")).distinct()
+    raw = _names(spark, folder)
     return raw.select("raw", X.clean_law_name(F.col("raw")).alias("name"), X.strip_trailing_junk(F.col("raw")).alias("trimmed"))
 
 
@@ -339,12 +340,12 @@ def clean_name(spark, folder):
 
 
 def _articles(spark: SparkSession, folder: str) -> DataFrame:
-    return extract.articles_or_text(current_laws(spark, folder))
+    return extract.articles_or_text(current_laws(spark, folder, "articles", "full_text"))
 
 
 def _contexts(spark: SparkSession, folder: str) -> DataFrame:
     """The texts around citations as articles: the laws of the test tables cite only themselves."""
-    return current_citations(spark, folder).select("source_law", "source_article", F.col("citation_text").alias("text"))
+    return current_citations(spark, folder, "source_law", "source_article", "citation_text").select("source_law", "source_article", F.col("citation_text").alias("text"))
 
 
 @query()
@@ -367,19 +368,19 @@ def extract_pipeline(spark, folder):
     """Extraction, deduplication and removal of self references, one after the other."""
     found = extract.extract_citations(_contexts(spark, folder).unionByName(_articles(spark, folder)))
     once = extract.deduplicate_citations(found, ["pattern_order", "char_offset", "citation_text"]).drop("pattern_order")
-    return extract.drop_self_references(once, current_laws(spark, folder))
+    return extract.drop_self_references(once, current_laws(spark, folder, "name", "short_name"))
 
 
 @query(f"""WITH {CITATIONS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY source_law, source_article, substring(lower(target_law_raw), 1, 50) ORDER BY {RANK_SQL.format(c='confidence')} DESC, char_offset, citation_id) AS n FROM cit)
 SELECT citation_id, source_law, source_article, target_law_raw, confidence FROM r WHERE n = 1""")
 def citation_dedup(spark, folder):
-    once = extract.deduplicate_citations(current_citations(spark, folder), ["char_offset", "citation_id"])
+    once = extract.deduplicate_citations(current_citations(spark, folder, "source_law", "source_article", "target_law_raw", "confidence", "char_offset"), ["char_offset", "citation_id"])
     return once.select("citation_id", "source_law", "source_article", "target_law_raw", "confidence")
 
 
 @query(f"""WITH {CITATIONS_SQL}, {LAWS_SQL} SELECT citation_id FROM cit WHERE target_law_raw IS NULL OR NOT EXISTS (SELECT 1 FROM law WHERE law.id = cit.source_law AND lower(cit.target_law_raw) IN (lower(law.name), lower(law.short_name)))""")
 def self_reference_filter(spark, folder):
-    return extract.drop_self_references(current_citations(spark, folder), current_laws(spark, folder)).select("citation_id")
+    return extract.drop_self_references(current_citations(spark, folder, "source_law", "target_law_raw"), current_laws(spark, folder, "name", "short_name")).select("citation_id")
 
 
 @query()
@@ -430,7 +431,7 @@ def resolve_fuzzy(spark, folder):
 
 @query()
 def resolve_cascade(spark, folder):
-    return resolve.resolve_names(_names(spark, folder), _aliases(spark, folder), resolve.corpus_map(current_laws(spark, folder)))
+    return resolve.resolve_names(_names(spark, folder), _aliases(spark, folder), resolve.corpus_map(current_laws(spark, folder, "name", "short_name")))
 
 
 @query()
@@ -445,13 +446,13 @@ def sector_lookup(spark, folder):
 
 @query(f"WITH {CITATIONS_SQL} SELECT citation_id, epoch_us(ingested_at) AS ingested_us, target_law_id FROM cit")
 def latest_version_dedup(spark, folder):
-    return current_citations(spark, folder).select("citation_id", F.unix_micros("ingested_at").alias("ingested_us"), "target_law_id")
+    return current_citations(spark, folder, "target_law_id").select("citation_id", F.unix_micros("ingested_at").alias("ingested_us"), "target_law_id")
 
 
 @query(f"""WITH {LAWS_SQL}, seen AS (SELECT id, doc_checksum FROM law WHERE year_enacted < 2000) SELECT DISTINCT l.id FROM laws l
 WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.id = l.id AND (l.doc_checksum IS NULL OR l.doc_checksum = s.doc_checksum))""")
 def incremental_skip(spark, folder):
-    seen = current_laws(spark, folder).where("year_enacted < 2000")
+    seen = current_laws(spark, folder, "year_enacted", "doc_checksum").where("year_enacted < 2000")
     return reports.new_rows(table(spark, folder, "laws"), seen, "id", "doc_checksum").select("id").distinct()
 
 

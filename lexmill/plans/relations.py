@@ -10,6 +10,7 @@ from lexmill.sources.tables import table
 
 CITATIONS_SQL = "cit AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY citation_id ORDER BY ingested_at DESC) AS rn FROM citations) WHERE rn = 1)"
 LAWS_SQL = "law AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY processed_at DESC) AS rn FROM laws) WHERE rn = 1)"
+ARTICLE_EDGE_COLUMNS = ("source_law", "source_article", "target_law_id", "target_article", "resolution_confidence", "char_offset")
 RANK_SQL = "CASE {c} WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END"
 EDGES_SQL = f"""{CITATIONS_SQL}, kept AS (
   SELECT source_law AS src, target_law_id AS dst, source_article, {RANK_SQL.format(c='confidence')} AS rank FROM cit
@@ -28,20 +29,24 @@ strong AS (SELECT * FROM counted WHERE weight >= 1.5 * (SELECT avg(weight) FROM
 VERTICES_SQL = "vs AS (SELECT src AS id FROM strong UNION SELECT dst FROM strong)"
 
 
-def current_citations(spark: SparkSession, folder: str) -> DataFrame:
-    return reports.latest(table(spark, folder, "citations"), "citation_id", "ingested_at")
+def current_citations(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """The last delivery of each citation; with `columns` only those, so that texts aren't shuffled where nobody reads them."""
+    rows = table(spark, folder, "citations")
+    return reports.latest(rows.select("citation_id", "ingested_at", *columns) if columns else rows, "citation_id", "ingested_at")
 
 
-def current_laws(spark: SparkSession, folder: str) -> DataFrame:
-    return reports.latest(table(spark, folder, "laws"), "id", "processed_at")
+def current_laws(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """The last parse of each law; with `columns` only those."""
+    rows = table(spark, folder, "laws")
+    return reports.latest(rows.select("id", "processed_at", *columns) if columns else rows, "id", "processed_at")
 
 
 def law_edges(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.edge_aggregation(current_citations(spark, folder))
+    return graph.edge_aggregation(current_citations(spark, folder, "source_law", "source_article", "target_law_id", "confidence"))
 
 
 def article_edges(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.article_edges(current_citations(spark, folder))
+    return graph.article_edges(current_citations(spark, folder, *ARTICLE_EDGE_COLUMNS))
 
 
 def supplier_lines(spark: SparkSession, folder: str) -> DataFrame:
