@@ -301,13 +301,11 @@ def slugify(spark, folder):
     return current_laws(spark, folder, "name").select("id", X.slugify(F.col("name")).alias("slug"))
 
 
-@query(f"""WITH {LAWS_SQL} SELECT id, list_min(list_filter(list_transform(regexp_extract_all(substring(full_text, 1, 2000), '(?:^|[^0-9A-Za-z_])(19[4-9][0-9]|20[0-2][0-9])', 1), lambda y: CAST(y AS INTEGER)), lambda y: y BETWEEN 1917 AND 2030)) AS year FROM law
-WHERE full_text IS NOT NULL AND NOT regexp_matches(substring(full_text, 1, 3000), 'D\\.?O\\.?F') AND NOT regexp_matches(substring(full_text, 1, 2000), '(19[4-9][0-9]|20[0-2][0-9])[\\p{{L}}0-9_]')""")
+@query(f"""WITH {LAWS_SQL}, y AS (SELECT id, regexp_extract(substring(full_text, 1, 3000), '(?i)publicad[ao]\\s+en\\s+el\\s+D\\.?O\\.?F\\.?[^0-9]*([0-9]{{1,2}}\\s+de\\s+[\\p{{L}}\\p{{N}}_]+\\s+de\\s+[0-9]{{4}})', 1) AS d,
+  regexp_extract_all(substring(full_text, 1, 2000), '(?:^|[^\\p{{L}}\\p{{N}}_])((?:19[4-9][0-9]|20[0-2][0-9])[\\p{{L}}\\p{{N}}_]?)', 1) AS found FROM law)
+SELECT id, coalesce(TRY_CAST(right(d, 4) AS INTEGER), list_min(list_transform(list_filter(found, lambda y: length(y) = 4), lambda y: CAST(y AS INTEGER)))) AS year FROM y""")
 def year_extract(spark, folder):
-    # rows whose years RE2 can't tell apart (no look-ahead) are left out on both sides
-    laws = current_laws(spark, folder, "full_text").where(F.col("full_text").isNotNull() & ~F.substring("full_text", 1, 3000).rlike(r"D\.?O\.?F"))
-    laws = laws.where(~F.substring("full_text", 1, 2000).rlike(r"(19[4-9][0-9]|20[0-2][0-9])[\p{L}0-9_]"))
-    return laws.select("id", X.year_enacted(F.col("full_text")).alias("year"))
+    return current_laws(spark, folder, "full_text").select("id", X.year_enacted(F.col("full_text")).alias("year"))
 
 
 @query(f"WITH {LAWS_SQL} SELECT id, 'sha256:' || sha256(full_text) AS checksum FROM law WHERE full_text IS NOT NULL")
