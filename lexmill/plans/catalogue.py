@@ -313,7 +313,19 @@ def checksum(spark, folder):
     return current_laws(spark, folder, "full_text").where("full_text is not null").select("id", X.checksum(F.col("full_text")).alias("checksum"))
 
 
-@query()
+#: White space by Unicode, for RE2.
+_W = r"[\t-\r \x{85}\p{Z}]"
+
+
+@query(f"""WITH {LAWS_SQL}, x AS (SELECT id, string_split(full_text, chr(10)) AS ls FROM law WHERE full_text IS NOT NULL),
+l AS (SELECT id, generate_subscripts(ls, 1) AS i, regexp_replace(unnest(ls), '^{_W}+|{_W}+$', '', 'g') AS line FROM x),
+z AS (SELECT id, min(i) AS z FROM l WHERE regexp_full_match(line, '(?i)(?:art[ií]culos?{_W}+)?transitorios?\\.?{_W}*') GROUP BY 1),
+k AS (SELECT l.*, regexp_matches(line, '(?i)^(?:art[ií]culo|art\\.){_W}+[0-9]') AS head FROM l LEFT JOIN z USING (id) WHERE z IS NULL OR i < z),
+g AS (SELECT *, CAST(sum(head::INT) OVER (PARTITION BY id ORDER BY i) AS INTEGER) AS pos FROM k),
+t AS (SELECT id, pos, arg_min(line, i) AS first, regexp_replace(string_agg(line, chr(10) ORDER BY i), '^{_W}+|{_W}+$', '', 'g') AS segment_text FROM g WHERE pos > 0 GROUP BY 1, 2),
+n AS (SELECT *, regexp_extract(first, '(?i)^(?:art[ií]culo|art\\.){_W}+([0-9]+[\\p{{L}}\\p{{M}}\\p{{N}}_\\-]*)', 1) AS number,
+  regexp_replace(regexp_extract(first, '(?i)^(?:art[ií]culo|art\\.){_W}+[0-9]+[\\p{{L}}\\p{{M}}\\p{{N}}_\\-]*(?:[.\\-–]|{_W})*(.*)$', 1), '^{_W}+|{_W}+$', '', 'g') AS rest FROM t)
+SELECT id, pos, number, 'Artículo ' || number || CASE WHEN rest <> '' THEN ' — ' || rest ELSE '' END AS title, segment_text FROM n""")
 def segment_articles(spark, folder):
     return segment.segmented(current_laws(spark, folder, "full_text"), "id", "full_text")
 
