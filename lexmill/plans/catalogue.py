@@ -340,10 +340,22 @@ def first_article(spark, folder):
     return _names(spark, folder).withColumn("article", X.first_article(F.col("raw")))
 
 
-@query()
+def _re2(expression: str) -> str:
+    return "(?i)" + expression.replace(r"\s", _W).replace(r"\w", r"[\p{L}\p{M}\p{N}_]")
+
+
+def _clean_name_sql() -> str:
+    name = "trim(raw, ' ')"
+    for tail in P.NAME_TAILS:
+        name = f"regexp_replace({name}, '{_re2(tail)}', '', 'g')"
+    name = f"rtrim({name}, '.,;: ' || chr(9) || chr(10))"
+    trimmed = f"trim(regexp_replace(raw, '{_re2(P.TRAILING_JUNK)}', '', 'g'), ' ')"
+    return f"WITH n AS (SELECT DISTINCT target_law_raw AS raw FROM citations WHERE target_law_raw IS NOT NULL) SELECT raw, {name} AS name, {trimmed} AS trimmed FROM n"
+
+
+@query(_clean_name_sql())
 def clean_name(spark, folder):
-    raw = _names(spark, folder)
-    return raw.select("raw", X.clean_law_name(F.col("raw")).alias("name"), X.strip_trailing_junk(F.col("raw")).alias("trimmed"))
+    return _names(spark, folder).select("raw", X.clean_law_name(F.col("raw")).alias("name"), X.strip_trailing_junk(F.col("raw")).alias("trimmed"))
 
 
 # --- extraction
