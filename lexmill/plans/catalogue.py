@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from lexmill.plans.relations import (
     LINES_SQL,
     RANK_SQL,
     VERTICES_SQL,
+    WHOLE_LINES_SQL,
+    all_supplier_edges,
     article_edges,
     current_citations,
     current_laws,
@@ -81,8 +84,8 @@ def density_summary(spark, folder):
 
 
 @query(f"""WITH {LINES_SQL} SELECT x.src AS a, x.dst AS b, x.weight AS a_to_b, y.weight AS b_to_a FROM strong x JOIN strong y ON x.src = y.dst AND x.dst = y.src WHERE x.src < x.dst""")
-def mutual_pairs(spark, folder):
-    return graph.mutual_pairs(supplier_edges(spark, folder))
+def mutual_pairs(spark, folder, edges=supplier_edges):
+    return graph.mutual_pairs(edges(spark, folder))
 
 
 _LINE_CITATIONS_SQL = """lc AS (SELECT src, dst, CASE l_returnflag WHEN 'R' THEN 'high' WHEN 'A' THEN 'medium' ELSE 'low' END AS confidence,
@@ -94,13 +97,13 @@ r AS (SELECT lc.*, {RANK_SQL.format(c='confidence')} AS k FROM lc JOIN m USING (
 once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src, dst, t ORDER BY k DESC, char_offset, citation_id) AS n FROM r) WHERE n = 1),
 top AS (SELECT src, dst, CAST(row_number() OVER (PARTITION BY src, dst ORDER BY k DESC, char_offset, citation_id) AS INTEGER) AS rank, citation_id, confidence FROM once)
 SELECT * FROM top WHERE rank <= 3""")
-def mutual_pairs_evidence_top3(spark, folder):
+def mutual_pairs_evidence_top3(spark, folder, edges=supplier_edges):
     flag = F.col("l_returnflag")
     lines = supplier_lines(spark, folder).select(
         F.col("src").alias("source_law"), F.col("dst").alias("target_law_id"), F.when(flag == "R", "high").when(flag == "A", "medium").otherwise("low").alias("confidence"),
         F.col("l_linenumber").alias("char_offset"), F.col("l_orderkey").alias("citation_id"), F.concat_ws("-", flag, F.col("l_partkey").cast("string")).alias("citation_text"),
     )
-    return graph.mutual_evidence(graph.mutual_pairs(supplier_edges(spark, folder)), lines)
+    return graph.mutual_evidence(graph.mutual_pairs(edges(spark, folder)), lines)
 
 
 @query(f"""WITH {EDGES_SQL} SELECT src, dst, citation_count, CASE WHEN name IS NULL THEN 'unknown' ELSE 'withdrawn' END AS kind
@@ -478,18 +481,18 @@ def incremental_skip(spark, folder):
     return reports.new_rows(table(spark, folder, "laws"), seen, "id", "doc_checksum").select("id").distinct()
 
 
-# --- graph algorithms, on the graph of suppliers
+# --- graph algorithms, on the graph of suppliers; those with `edges` on its strong edges, and on all of them as NAME_whole
 
 
 @query(f"""WITH RECURSIVE {LINES_SQL}, {VERTICES_SQL}, reach(id, reached) AS (SELECT src, dst FROM strong UNION SELECT r.id, s.dst FROM reach r JOIN strong s ON r.reached = s.src)
 SELECT vs.id, CAST(count(r.id) AS BIGINT) AS cascade FROM vs LEFT JOIN (SELECT * FROM reach WHERE id <> reached) r ON r.reached = vs.id GROUP BY 1""")
-def cascade_scores(spark, folder):
-    return graph.cascade_scores(supplier_edges(spark, folder))
+def cascade_scores(spark, folder, edges=supplier_edges):
+    return graph.cascade_scores(edges(spark, folder))
 
 
 @query()
 def cascade_top(spark, folder):
-    return graph.cascade_top(supplier_edges(spark, folder))
+    return graph.cascade_top(all_supplier_edges(spark, folder))
 
 
 def _pagerank_sql(steps: int, alpha: float = 0.85) -> str:
@@ -501,8 +504,8 @@ def _pagerank_sql(steps: int, alpha: float = 0.85) -> str:
 
 
 @query(_pagerank_sql(10))
-def pagerank_fixed_iters(spark, folder):
-    return graph.pagerank(supplier_edges(spark, folder), iterations=10).select("id", F.round("pagerank", 8).alias("pagerank"))
+def pagerank_fixed_iters(spark, folder, edges=supplier_edges):
+    return graph.pagerank(edges(spark, folder), iterations=10).select("id", F.round("pagerank", 8).alias("pagerank"))
 
 
 @query()
@@ -521,31 +524,31 @@ def _hits_sql(steps: int) -> str:
 
 
 @query(_hits_sql(6))
-def hits_fixed_iters(spark, folder):
-    return graph.hits(supplier_edges(spark, folder), 6).select("id", F.round("hub", 8).alias("hub"), F.round("authority", 8).alias("authority"))
+def hits_fixed_iters(spark, folder, edges=supplier_edges):
+    return graph.hits(edges(spark, folder), 6).select("id", F.round("hub", 8).alias("hub"), F.round("authority", 8).alias("authority"))
 
 
 @query(f"""WITH RECURSIVE {LINES_SQL}, {VERTICES_SQL}, reach(id, reached) AS (SELECT id, id FROM vs UNION SELECT r.id, s.dst FROM reach r JOIN strong s ON r.reached = s.src)
 SELECT x.id, min(x.reached) AS component FROM reach x JOIN reach y ON x.id = y.reached AND x.reached = y.id GROUP BY 1""")
-def scc(spark, folder):
-    return graph.components(supplier_edges(spark, folder))
+def scc(spark, folder, edges=supplier_edges):
+    return graph.components(edges(spark, folder))
 
 
 @query(f"""WITH {LINES_SQL}, f AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM strong), d AS (SELECT id, count(*) AS degree FROM (SELECT a AS id FROM f UNION ALL SELECT b FROM f) GROUP BY 1),
 t AS (SELECT x.a, x.b, y.b AS c FROM f x JOIN f y ON x.b = y.a JOIN f z ON z.a = x.a AND z.b = y.b), n AS (SELECT id, count(*) AS triangles FROM (SELECT unnest([a, b, c]) AS id FROM t) GROUP BY 1)
 SELECT id, CAST(degree AS BIGINT) AS degree, CAST(coalesce(triangles, 0) AS BIGINT) AS triangles, CASE WHEN degree > 1 THEN round(2.0::DOUBLE * coalesce(triangles, 0) / (degree * (degree - 1)), 6) ELSE 0 END AS clustering FROM d LEFT JOIN n USING (id)""")
-def clustering_coefficient(spark, folder):
-    return graph.clustering(supplier_edges(spark, folder))
+def clustering_coefficient(spark, folder, edges=supplier_edges):
+    return graph.clustering(edges(spark, folder))
 
 
 @query()
 def betweenness(spark, folder):
-    return graph.betweenness(supplier_edges(spark, folder)).select("id", F.round("betweenness", 8).alias("betweenness"))
+    return graph.betweenness(all_supplier_edges(spark, folder)).select("id", F.round("betweenness", 8).alias("betweenness"))
 
 
 @query()
 def betweenness_sampled(spark, folder):
-    return graph.betweenness(supplier_edges(spark, folder), sources=50).select("id", F.round("betweenness", 8).alias("betweenness"))
+    return graph.betweenness(all_supplier_edges(spark, folder), sources=50).select("id", F.round("betweenness", 8).alias("betweenness"))
 
 
 @query()
@@ -575,8 +578,8 @@ nodes AS (SELECT id, in_degree, out_degree, cascade, CAST(coalesce(cycles, 0) AS
   FROM de JOIN ca USING (id) LEFT JOIN cy USING (id) JOIN supplier ON s_suppkey = id JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey)"""
 
 
-def _nodes(spark: SparkSession, folder: str) -> DataFrame:
-    edges = supplier_edges(spark, folder)
+def _nodes(spark: SparkSession, folder: str, edges: Query = supplier_edges) -> DataFrame:
+    edges = edges(spark, folder)
     none = spark.createDataFrame([], f"id {edges.schema['src'].dataType.simpleString()}")
     region = table(spark, folder, "nation").join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     sector = table(spark, folder, "supplier").join(region, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("id"), F.col("r_name").alias("sector"))
@@ -591,14 +594,14 @@ def node_measures(spark, folder):
 
 
 @query(f"""WITH RECURSIVE {_NODES_SQL} SELECT id, round_even((1 - in_degree / 316.0::DOUBLE) * 50 + (1 - cascade / 317.0::DOUBLE) * 35 + (1 - cycles / greatest((SELECT max(cycles) FROM nodes), 1)::DOUBLE) * 15, 1) AS safety FROM nodes""")
-def removal_safety(spark, folder):
-    return reports.removal_safety(_nodes(spark, folder))
+def removal_safety(spark, folder, edges=supplier_edges):
+    return reports.removal_safety(_nodes(spark, folder, edges))
 
 
 @query(f"""WITH RECURSIVE {_NODES_SQL} SELECT a, b, round_even(CASE WHEN x.sector = y.sector THEN 30.0::DOUBLE ELSE 0 END + least(40.0::DOUBLE, 800.0::DOUBLE / greatest(x.out_degree + y.out_degree, 1)) + greatest(0, 20 - (x.in_degree + y.in_degree) // 4)
   + CASE WHEN x.cycles > 0 AND y.cycles > 0 THEN 10.0::DOUBLE ELSE 0 END, 1) AS score FROM mp JOIN nodes x ON x.id = a JOIN nodes y ON y.id = b ORDER BY score DESC, a, b LIMIT 40""")
-def merger_candidates(spark, folder):
-    return reports.merger_candidates(graph.mutual_pairs(supplier_edges(spark, folder)), _nodes(spark, folder))
+def merger_candidates(spark, folder, edges=supplier_edges):
+    return reports.merger_candidates(graph.mutual_pairs(edges(spark, folder)), _nodes(spark, folder, edges))
 
 
 @query(f"""WITH RECURSIVE {_NODES_SQL}, s AS (SELECT *, CAST(15 * cycles + 20 * conflicts + least(30, (in_degree + cascade // 10) // 5) AS BIGINT) AS score FROM nodes)
@@ -611,8 +614,8 @@ def reform_priority(spark, folder):
 @query(f"""WITH RECURSIVE {_NODES_SQL}, s AS (SELECT *, (1 - in_degree / 316.0::DOUBLE) * 50 + (1 - cascade / 317.0::DOUBLE) * 35 + (1 - cycles / greatest((SELECT max(cycles) FROM nodes), 1)::DOUBLE) * 15 AS safety FROM nodes)
 SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (round_even(safety, 1) >= 60) AS BIGINT) AS removable, CAST(count(*) FILTER (in_degree = 0 AND out_degree <= 2) AS BIGINT) AS isolated,
   CAST(count(*) FILTER (cycles > 0) AS BIGINT) AS in_cycles FROM s""")
-def simplification_summary(spark, folder):
-    nodes = _nodes(spark, folder)
+def simplification_summary(spark, folder, edges=supplier_edges):
+    nodes = _nodes(spark, folder, edges)
     safe = reports.removal_safety(nodes)
     return nodes.join(safe, "id").agg(
         F.count("*").alias("total"), F.count_if(F.col("safety") >= 60).alias("removable"), F.count_if((F.col("in_degree") == 0) & (F.col("out_degree") <= 2)).alias("isolated"),
@@ -623,7 +626,7 @@ def simplification_summary(spark, folder):
 @query()
 def metric_suite(spark, folder):
     """All measures of the nodes in one table."""
-    edges = supplier_edges(spark, folder)
+    edges = all_supplier_edges(spark, folder)
     parts = [graph.degree_metrics(edges), graph.pagerank(edges, iterations=10), graph.hits(edges, 6), graph.clustering(edges).drop("degree"), graph.cascade_scores(edges), graph.components(edges)]
     out = parts[0]
     for part in parts[1:]:
@@ -631,6 +634,14 @@ def metric_suite(spark, folder):
     return out.withColumns({c: F.round(c, 8) for c in ("pagerank", "hub", "authority")})
 
 
+for _run in (
+    mutual_pairs, mutual_pairs_evidence_top3, cascade_scores, pagerank_fixed_iters, hits_fixed_iters, scc, clustering_coefficient,
+    removal_safety, merger_candidates, simplification_summary,
+):
+    _QUERIES[f"{_run.__name__}_whole"] = partial(_run, edges=all_supplier_edges)
+    _SQL[f"{_run.__name__}_whole"] = _SQL[_run.__name__].replace(LINES_SQL, WHOLE_LINES_SQL)
+
+
 def queries() -> dict[str, Query]:
     return core_problems.queries() | _QUERIES
 

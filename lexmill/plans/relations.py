@@ -26,6 +26,8 @@ LINES_SQL = """lines AS (SELECT l_orderkey, l_linenumber, l_suppkey AS src, l_pa
 pairs AS (SELECT * FROM lines WHERE dst IS NOT NULL AND dst <> src),
 counted AS (SELECT src, dst, CAST(count(*) AS BIGINT) AS weight FROM pairs GROUP BY 1, 2),
 strong AS (SELECT * FROM counted WHERE weight >= 1.5 * (SELECT avg(weight) FROM counted))"""
+#: The same relations with all edges in place of the strong ones.
+WHOLE_LINES_SQL = LINES_SQL[: LINES_SQL.index("strong AS")] + "strong AS (SELECT * FROM counted)"
 VERTICES_SQL = "vs AS (SELECT src AS id FROM strong UNION SELECT dst FROM strong)"
 
 
@@ -56,8 +58,12 @@ def supplier_lines(spark: SparkSession, folder: str) -> DataFrame:
     return rows.where("dst is not null and dst <> src")
 
 
+def all_supplier_edges(spark: SparkSession, folder: str) -> DataFrame:
+    return supplier_lines(spark, folder).groupBy("src", "dst").agg(F.count("*").alias("weight"))
+
+
 def supplier_edges(spark: SparkSession, folder: str) -> DataFrame:
     """The edges of at least 1.5 times the mean weight."""
-    counted = supplier_lines(spark, folder).groupBy("src", "dst").agg(F.count("*").alias("weight"))
+    counted = all_supplier_edges(spark, folder)
     mean = counted.agg(F.avg("weight").alias("mean"))
     return counted.crossJoin(F.broadcast(mean)).where("weight >= 1.5 * mean").drop("mean")  # one row
