@@ -57,6 +57,11 @@ def definition_conflicts(definitions: DataFrame) -> DataFrame:
     return rows.where("n_laws > 1 and n_variants > 1")
 
 
+def conflicting_definitions(definitions: DataFrame) -> DataFrame:
+    """The definitions (law_id, term) of the terms in definition_conflicts, each row of a law counting once more."""
+    return definitions.select("law_id", "term").join(definition_conflicts(definitions).select("term"), "term", "left_semi")
+
+
 def classified(citations: DataFrame) -> DataFrame:
     """Resolved citations with their dependency class; the confidence and method of the citation itself stay under other names."""
     kept = citations.where("target_law_id <> 'unresolved'").withColumn("cls", classify(F.col("citation_text"), F.col("target_law_raw"), F.col("pattern_name")))

@@ -30,6 +30,7 @@ from lexmill.plans.relations import (
     supplier_edges,
     supplier_lines,
 )
+from lexmill.session import checkpointed
 from lexmill.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -593,6 +594,40 @@ def node_measures(spark, folder):
     return _nodes(spark, folder)
 
 
+# The same on the law graph, where laws have definitions.
+
+_CONFLICTS_SQL = """terms AS (SELECT term FROM definitions GROUP BY 1 HAVING count(*) > 1 AND count(DISTINCT lower(trim(regexp_replace(substring(definition_text, 1, 100), '\\s+', ' ', 'g'), ' '))) > 1),
+dc AS (SELECT law_id AS id, count(*) AS conflicts FROM definitions WHERE term IN (SELECT term FROM terms) GROUP BY 1)"""
+_LAW_NODES_SQL = f"""{_DEGREES_SQL}, {_CONFLICTS_SQL}, reach(id, reached) AS (SELECT src, dst FROM edges UNION SELECT r.id, e.dst FROM reach r JOIN edges e ON r.reached = e.src),
+ca AS (SELECT reached AS id, count(*) AS cascade FROM reach WHERE id <> reached GROUP BY 1),
+mp AS (SELECT x.src AS a, x.dst AS b FROM edges x JOIN edges y ON x.src = y.dst AND x.dst = y.src WHERE x.src < x.dst), cy AS (SELECT id, count(*) AS cycles FROM (SELECT a AS id FROM mp UNION ALL SELECT b FROM mp) GROUP BY 1),
+nodes AS (SELECT d.id, in_degree, out_degree, CAST(coalesce(cascade, 0) AS BIGINT) AS cascade, CAST(coalesce(cycles, 0) AS BIGINT) AS cycles, CAST(coalesce(conflicts, 0) AS BIGINT) AS conflicts, coalesce(r.sector, 'unknown') AS sector
+  FROM degrees d LEFT JOIN ca USING (id) LEFT JOIN cy USING (id) LEFT JOIN dc USING (id) LEFT JOIN law_registry r ON r.law_id = d.id)"""
+
+
+def _law_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    edges = checkpointed(law_edges(spark, folder))
+    sector = table(spark, folder, "law_registry").select(F.col("law_id").alias("id"), "sector")
+    parts = reports.participation(graph.mutual_pairs(edges), reports.conflicting_definitions(table(spark, folder, "definitions")).select(F.col("law_id").alias("id")))
+    rows = graph.degree_metrics(edges).join(graph.cascade_scores(edges), "id").join(parts, "id", "left").fillna(0, ["cycles", "conflicts"]).join(sector, "id", "left").fillna("unknown", ["sector"])
+    return rows.select("id", "in_degree", "out_degree", "cascade", "cycles", "conflicts", "sector")
+
+
+@query(f"WITH RECURSIVE {_LAW_NODES_SQL} SELECT * FROM nodes")
+def law_node_measures(spark, folder):
+    return _law_nodes(spark, folder)
+
+
+_REFORM_SQL = """s AS (SELECT *, CAST(15 * cycles + 20 * conflicts + least(30, (in_degree + cascade // 10) // 5) AS BIGINT) AS score FROM nodes)
+SELECT id, score, concat_ws('; ', CASE WHEN cycles > 0 THEN cycles || ' cycles' END, CASE WHEN conflicts > 0 THEN conflicts || ' conflicts' END, CASE WHEN in_degree > 0 THEN 'cited by ' || in_degree END) AS rationale
+FROM s WHERE score >= 10 ORDER BY score DESC, id LIMIT 40"""
+
+
+@query(f"WITH RECURSIVE {_LAW_NODES_SQL}, {_REFORM_SQL}")
+def law_reform_priority(spark, folder):
+    return reports.reform_priority(_law_nodes(spark, folder))
+
+
 @query(f"""WITH RECURSIVE {_NODES_SQL} SELECT id, round_even((1 - in_degree / 316.0::DOUBLE) * 50 + (1 - cascade / 317.0::DOUBLE) * 35 + (1 - cycles / greatest((SELECT max(cycles) FROM nodes), 1)::DOUBLE) * 15, 1) AS safety FROM nodes""")
 def removal_safety(spark, folder, edges=supplier_edges):
     return reports.removal_safety(_nodes(spark, folder, edges))
