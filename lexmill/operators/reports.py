@@ -133,6 +133,27 @@ def article_drilldown(edges: DataFrame, laws: int = 60, articles: int = 80) -> D
     return kept.select("law", "article", "cited", F.row_number().over(Window.partitionBy("law").orderBy(*order)).alias("pos"))
 
 
+def article_activity(edges: DataFrame, laws: int = 60, articles: int = 80, partners: int = 10) -> DataFrame:
+    """For the laws with most citations in and out, their articles with most of both: in and out counts, and the laws each cites and is cited by most.
+
+    Articles of equal counts: the unknown one last, then by number, then by name.
+    """
+    law, article = (lambda c: F.split(c, "::")[0]), (lambda c: F.split(c, "::")[1])
+    side = lambda own, other, name: F.struct(law(own).alias("law"), article(own).alias("article"), F.lit(name).alias("side"), law(other).alias("partner"))
+    rows = edges.select(F.explode(F.array(side("src", "dst", "out"), side("dst", "src", "in"))).alias("e"), "weight").groupBy("e").agg(F.sum("weight").alias("n")).select("e.*", "n")
+    first = rows.groupBy("law").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "law").limit(laws).select("law")
+    own = rows.join(F.broadcast(first), "law")
+    count = lambda name: F.coalesce(F.sum(F.when(F.col("side") == name, F.col("n"))), F.lit(0))
+    number = F.when(F.col("article").rlike("^[0-9]{1,9}$"), F.expr("try_cast(article as int)")).otherwise(0)
+    order = [F.desc(F.col("in_degree") + F.col("out_degree")), F.col("article") == "?", number, F.col("article")]
+    ranked = own.groupBy("law", "article").agg(count("in").alias("in_degree"), count("out").alias("out_degree")).withColumn("pos", F.row_number().over(Window.partitionBy("law").orderBy(*order)))
+    r = F.row_number().over(Window.partitionBy("law", "article", "side").orderBy(F.desc("n"), "partner"))
+    top = own.withColumn("r", r).where(F.col("r") <= partners)
+    named = lambda name: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == name, F.struct("r", "partner", "n")))), lambda x: F.concat_ws("=", x["partner"], x["n"].cast("string"))), ",")
+    lists = top.groupBy("law", "article").agg(named("out").alias("cites"), named("in").alias("cited_by"))
+    return ranked.where(F.col("pos") <= articles).join(lists, ["law", "article"]).select("law", "article", "in_degree", "out_degree", "pos", "cites", "cited_by")
+
+
 def complexity(article_rows: DataFrame, top: int = 15) -> DataFrame:
     """Laws by the degrees of all their articles."""
     law = F.split("node_id", "::")[0].alias("law_id")

@@ -162,6 +162,19 @@ def article_drilldown(spark, folder):
     return reports.article_drilldown(article_edges(spark, folder))
 
 
+@query(f"""WITH {ARTICLE_EDGES_SQL}, b AS (SELECT law, article, side, partner, CAST(sum(weight) AS BIGINT) AS n FROM (
+  SELECT split_part(src, '::', 1) AS law, split_part(src, '::', 2) AS article, 'out' AS side, split_part(dst, '::', 1) AS partner, weight FROM aedges
+  UNION ALL SELECT split_part(dst, '::', 1), split_part(dst, '::', 2), 'in', split_part(src, '::', 1), weight FROM aedges) GROUP BY 1, 2, 3, 4),
+t AS (SELECT law FROM b GROUP BY 1 ORDER BY sum(n) DESC, 1 LIMIT 60), o AS (SELECT b.* FROM b JOIN t USING (law)),
+a AS (SELECT law, article, CAST(coalesce(sum(n) FILTER (side = 'in'), 0) AS BIGINT) AS in_degree, CAST(coalesce(sum(n) FILTER (side = 'out'), 0) AS BIGINT) AS out_degree,
+  CAST(row_number() OVER (PARTITION BY law ORDER BY sum(n) DESC, article = '?', CASE WHEN regexp_full_match(article, '[0-9]{{1,9}}') THEN TRY_CAST(article AS INTEGER) ELSE 0 END, article) AS INTEGER) AS pos FROM o GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY law, article, side ORDER BY n DESC, partner) AS r FROM o),
+l AS (SELECT law, article, coalesce(string_agg(partner || '=' || n, ',' ORDER BY r) FILTER (side = 'out'), '') AS cites, coalesce(string_agg(partner || '=' || n, ',' ORDER BY r) FILTER (side = 'in'), '') AS cited_by FROM r WHERE r <= 10 GROUP BY 1, 2)
+SELECT law, article, in_degree, out_degree, pos, cites, cited_by FROM a JOIN l USING (law, article) WHERE pos <= 80""")
+def article_drilldown_both(spark, folder):
+    return reports.article_activity(article_edges(spark, folder))
+
+
 @query(f"""WITH {ARTICLE_EDGES_SQL}, e AS (SELECT * FROM aedges WHERE src <> dst), d AS (SELECT id, sum(weight) AS degree FROM (SELECT src AS id, weight FROM e UNION ALL SELECT dst, weight FROM e) GROUP BY 1),
 k AS (SELECT id FROM d ORDER BY degree DESC, id LIMIT 5000), h AS (SELECT * FROM e ORDER BY weight DESC, src, dst LIMIT 40000)
 SELECT src, dst, weight FROM h WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k) ORDER BY weight DESC, src, dst LIMIT 20000""")
