@@ -86,11 +86,17 @@ def reform_impact(dependencies: DataFrame, top: int = 100) -> DataFrame:
 
 
 def definition_trace(dependencies: DataFrame) -> DataFrame:
-    """Targets of definitional dependencies: their number and the laws that depend on them (distinct, in order, as text)."""
+    """Targets of definitional dependencies: their number, the number of laws that depend on them, and the first of these; dependent_provisions has them all."""
     rows = dependencies.where("dependency_type = 'definitional'").groupBy("target_law_id", "source_law").agg(F.count("*").alias("n"))
     return rows.groupBy("target_law_id").agg(F.sum("n").alias("n"), F.count("*").alias("n_laws"), F.min("source_law").alias("first_law"))
 
 
+def dependent_provisions(dependencies: DataFrame) -> DataFrame:
+    """Every definitional dependency as a row: the target, and the provision that depends on it."""
+    columns = ("target_law_id", "citation_id", "source_law", "source_article", "target_article", "dependency_subtype", "confidence")
+    return dependencies.where("dependency_type = 'definitional'").select(*columns)
+
+
 def harmonization(dependencies: DataFrame, top: int = 100, considered: int = 250) -> DataFrame:
     """Unordered pairs of laws with at least two dependencies: count, number of classes, priority, and counts by class."""
     a, b = F.least("source_law", "target_law_id").alias("a"), F.greatest("source_law", "target_law_id").alias("b")

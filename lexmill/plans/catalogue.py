@@ -251,7 +251,7 @@ dep AS (SELECT *, {_rules_sql()} AS dependency_type FROM x)"""
 
 
 def _dependencies(spark: SparkSession, folder: str) -> DataFrame:
-    return reports.classified(current_citations(spark, folder, "source_law", "source_article", "target_law_id", "target_law_raw", "citation_text", "pattern_name", "confidence", "resolution_method"))
+    return reports.classified(current_citations(spark, folder, "source_law", "source_article", "target_law_id", "target_article", "target_law_raw", "citation_text", "pattern_name", "confidence", "resolution_method"))
 
 
 @query(f"WITH {_DEPENDENCIES_SQL} SELECT citation_id, dependency_type FROM dep")
@@ -291,6 +291,12 @@ def definition_trace(spark, folder):
     return reports.definition_trace(_dependencies(spark, folder))
 
 
+@query(f"""WITH {_DEPENDENCIES_SQL} SELECT target_law_id, citation_id, source_law, source_article, target_article,
+  'term_definition_reference' AS dependency_subtype, 'high' AS confidence FROM dep WHERE dependency_type = 'definitional'""")
+def definition_provisions(spark, folder):
+    return reports.dependent_provisions(_dependencies(spark, folder))
+
+
 @query(f"""WITH {_DEPENDENCIES_SQL}, b AS (SELECT least(source_law, target_law_id) AS a, greatest(source_law, target_law_id) AS b, dependency_type, count(*) AS n FROM dep WHERE source_law <> target_law_id GROUP BY 1, 2, 3),
 r AS (SELECT a, b, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_types, string_agg(dependency_type || '=' || n, ',' ORDER BY dependency_type || '=' || n) AS by_type FROM b GROUP BY 1, 2 HAVING sum(n) >= 2 ORDER BY 3 DESC, 1, 2 LIMIT 100)
 SELECT *, round(n + 1.5 * n_types, 2) AS priority FROM r""")

@@ -11,3 +11,11 @@ def test_article_activity(spark):
     assert {r.law for r in reports.article_activity(df, laws=1).collect()} == {"a"}  # 8 out and none in, before 7 of b
     assert {(r.law, r.article) for r in reports.article_activity(df, articles=1).collect()} == {("a", "1"), ("b", "2"), ("c", "9")}
     assert {r.cites for r in reports.article_activity(df, partners=1).where("law = 'a'").collect()} == {"b=4"}
+
+
+def test_dependent_provisions(spark):
+    """Every definitional citation is a row, with the values that the SQL of definition_provisions has as constants."""
+    columns = "citation_id long, source_law string, source_article string, target_law_id string, target_article string, target_law_raw string, citation_text string, pattern_name string, confidence string, resolution_method string"
+    rows = [(i, law, str(i), "t", "5", "Ley T", text, "p", "medium", "exact") for i, law, text in ((1, "b", "para efectos de la Ley"), (2, "a", "se entenderá por agua"), (3, "b", "definiciones de la Ley"), (4, "c", "una multa"))]
+    got = reports.dependent_provisions(reports.classified(spark.createDataFrame(rows, columns))).collect()
+    assert {tuple(r) for r in got} == {("t", i, law, str(i), "5", "term_definition_reference", "high") for i, law in ((1, "b"), (2, "a"), (3, "b"))}
