@@ -138,17 +138,26 @@ def pagerank(edges: DataFrame, vertices: DataFrame | None = None, weighted: bool
     return ranks.select("id", F.col("r").alias("pagerank"))
 
 
-def hits(edges: DataFrame, iterations: int = 20) -> DataFrame:
-    """Hubs and authorities, each summing to 1, after so many steps from a uniform start; uniform where a graph has no edges."""
+def hits(edges: DataFrame, iterations: int | None = 20, tolerance: float = 1e-8, most: int = 1000) -> DataFrame:
+    """Hubs and authorities, each summing to 1, from a uniform start; uniform where a graph has no edges.
+
+    With `iterations` that many steps, else until the hubs change by less than `tolerance` in all.
+    """
     e = checkpointed(edges.select("src", "dst").distinct())
     nodes = checkpointed(vertices_of(e))
     n = max(nodes.count(), 1)
     hub = nodes.select("id", F.lit(1.0 / n).alias("hub"))
     share = lambda df, c: df.crossJoin(F.broadcast(df.agg(F.sum(c).alias("t")))).select("id", (F.col(c) / F.col("t")).alias(c))
-    for step in range(1, iterations + 1):
+    for step in range(1, (iterations or most) + 1):
+        old = hub
         authority = share(e.join(hub, e["src"] == hub["id"]).groupBy(F.col("dst").alias("id")).agg(F.sum("hub").alias("authority")), "authority")
         hub = share(e.join(authority, e["dst"] == authority["id"]).groupBy(F.col("src").alias("id")).agg(F.sum("authority").alias("hub")), "hub")
-        if step % 2 == 0:
+        if iterations is None:
+            hub = checkpointed(hub)
+            pair = hub.join(old.withColumnRenamed("hub", "old"), "id", "full").fillna(0.0)
+            if (pair.agg(F.sum(F.abs(F.col("hub") - F.col("old")))).first()[0] or 0.0) < tolerance:
+                break
+        elif step % 2 == 0:
             hub = checkpointed(hub)
     authority = share(e.join(hub, e["src"] == hub["id"]).groupBy(F.col("dst").alias("id")).agg(F.sum("hub").alias("authority")), "authority")
     return nodes.join(hub, "id", "left").join(authority, "id", "left").fillna(0.0)

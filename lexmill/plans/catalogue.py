@@ -140,6 +140,18 @@ def article_metrics(spark, folder):
     return graph.article_metrics(article_edges(spark, folder))
 
 
+@query()
+def article_pagerank(spark, folder):
+    """The weighted article graph, until the ranks hardly change."""
+    return graph.pagerank(article_edges(spark, folder), weighted=True, tolerance=1e-9).select(F.col("id").alias("node_id"), F.round("pagerank", 8).alias("pagerank"))
+
+
+@query()
+def article_betweenness(spark, folder):
+    """From 100 sources, with weights as lengths."""
+    return graph.betweenness(article_edges(spark, folder), sources=100, weighted=True).select(F.col("id").alias("node_id"), F.round("betweenness", 8).alias("betweenness"))
+
+
 @query(f"""WITH {ARTICLE_EDGES_SQL}, d AS (SELECT split_part(n, '::', 1) AS law_id, d FROM (SELECT src AS n, count(*) AS d FROM aedges GROUP BY 1 UNION ALL SELECT dst, count(*) FROM aedges GROUP BY 1))
 SELECT law_id, CAST(sum(d) AS BIGINT) AS complexity FROM d GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15""")
 def complexity_top(spark, folder):
@@ -534,6 +546,11 @@ def pagerank_converged(spark, folder):
     return graph.pagerank(law_edges(spark, folder), weighted=True).select("id", F.round("pagerank", 6).alias("pagerank"))
 
 
+@query()
+def hub_top(spark, folder):
+    return pagerank_converged(spark, folder).orderBy(F.desc("pagerank"), "id").limit(20)
+
+
 def _hits_sql(steps: int) -> str:
     out = f"WITH {LINES_SQL}, {VERTICES_SQL}, h0 AS (SELECT id, 1.0::DOUBLE AS hub FROM vs)"
     for i in range(1, steps + 2):
@@ -679,13 +696,16 @@ def simplification_summary(spark, folder, edges=supplier_edges):
 
 @query()
 def metric_suite(spark, folder):
-    """All measures of the nodes in one table."""
-    edges = all_supplier_edges(spark, folder)
-    parts = [graph.degree_metrics(edges), graph.pagerank(edges, iterations=10), graph.hits(edges, 6), graph.clustering(edges).drop("degree"), graph.cascade_scores(edges), graph.components(edges)]
+    """All measures of the nodes in one table; PageRank and HITS until they hardly change."""
+    edges = checkpointed(all_supplier_edges(spark, folder))
+    parts = [
+        graph.degree_metrics(edges), graph.pagerank(edges, weighted=True, tolerance=1e-9), graph.hits(edges, None), graph.clustering(edges).drop("degree"), graph.cascade_scores(edges),
+        graph.components(edges), graph.betweenness(edges), graph.louvain(edges),
+    ]
     out = parts[0]
     for part in parts[1:]:
         out = out.join(part, "id", "left")
-    return out.withColumns({c: F.round(c, 8) for c in ("pagerank", "hub", "authority")})
+    return out.withColumns({c: F.round(c, 8) for c in ("pagerank", "hub", "authority", "betweenness")})
 
 
 for _run in (
