@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import arrow_udf
 
 #: Text without any of these is never garbled and stays in the JVM: characters outside ASCII other than the letters and quotes
-#: of Spanish, or such a letter in lower case beside capitals (a DOS capital read as Latin-1).
-SUSPECT = r"[^\x{0}-\x{7F}áéíóúüñÁÉÍÓÚÜÑ«»]|\p{Lu}[éà]\p{Lu}"
+#: of Spanish, such a letter in lower case beside capitals (a DOS capital read as Latin-1), or a question mark between letters (a lost one).
+SUSPECT = r"[^\x{0}-\x{7F}áéíóúüñÁÉÍÓÚÜÑ«»]|\p{Lu}[éà]\p{Lu}|\p{Ll}\?\p{Ll}"
 
 #: Well-formed UTF-8 of two to four bytes, one or more in a row.
 _WELL_FORMED = regex.compile(
