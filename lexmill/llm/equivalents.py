@@ -12,6 +12,7 @@ import unicodedata
 from collections.abc import Callable
 
 import pyarrow as pa
+import regex
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,20 +39,54 @@ def leaf(column: Column) -> Column:
     return F.translate(F.lower(F.upper(F.regexp_replace(text, r"[^\p{L}\p{N}\p{M}]+", ""))), "ς", "σ")
 
 
+def _content(value: object, kind: T.DataType, ordered: bool, bags: frozenset[str], path: str) -> str:
+    """A nested value as text: leaves normalised, parts in brackets, sorted where their node has no order. Empty and null are alike."""
+    if value is None:
+        return ""
+    if isinstance(kind, T.StructType):
+        parts = [_content(value[f.name], f.dataType, ordered, bags, f"{path}.{f.name}") for f in kind]
+        parts = parts if ordered else sorted(parts)
+    elif isinstance(kind, T.ArrayType):
+        parts = [_content(x, kind.elementType, ordered, bags, path) for x in value]
+        parts = sorted(parts) if path in bags else parts
+    elif isinstance(kind, T.MapType):
+        sides = ((_content(k, kind.keyType, ordered, bags, path), _content(v, kind.valueType, ordered, bags, path)) for k, v in value)
+        parts = sorted("=".join(x) for x in sides)
+    else:
+        text = unicodedata.normalize("NFC", value if isinstance(value, str) else str(value))
+        return regex.sub(r"[^\p{L}\p{N}\p{M}]+", "", text).upper().lower().replace("ς", "σ")
+    return f"[{'|'.join(parts)}]" if any(parts) else ""
+
+
+def tree(column: Column, kind: T.DataType, ordered: bool, bags: frozenset[str], path: str) -> Column:
+    """Content of a field: a leaf in the JVM, a struct, array or map by its schema."""
+    if not isinstance(kind, T.StructType | T.ArrayType | T.MapType):
+        return leaf(column)
+
+    @arrow_udf(T.StringType())
+    def content(values: pa.Array) -> pa.Array:
+        return pa.array([_content(v, kind, ordered, bags, path) for v in values.to_pylist()], pa.string())
+
+    return content(column)
+
+
 def node(children: list[Column], ordered: bool = False) -> Column:
     """Digest of a node over its children's digests; without order they are sorted first. 128 bits as text."""
     digests = F.array(*children)
     return F.md5(F.array_join(digests if ordered else F.array_sort(digests), "|"))
 
 
-def collapse(df: DataFrame, key: str, fields: list[str], ordered: bool = False, heavy: int = HEAVY_GROUP) -> DataFrame:
+def collapse(df: DataFrame, key: str, fields: list[str], ordered: bool = False, heavy: int = HEAVY_GROUP, bags: frozenset[str] = frozenset()) -> DataFrame:
     """Members of each group of records that are equal in form: key, `keep` (smallest key of the group) and `copies` (rows of the group).
 
+    Fields can be nested. Structs at any depth have the order that `ordered` says; lists keep theirs, but for those named
+    by path in `bags` ("field" or "field.inner"); maps have none.
+
     Records with a repeated key are one record each in the count. Empty and
     null fields are alike; records with nothing but empty fields form a group
     as any other. Other columns don't matter and don't come back.
     """
-    leaves = [leaf(F.col(f"`{f}`")) for f in fields]
+    leaves = [tree(F.col(f"`{f}`"), df.schema[f].dataType, ordered, bags, f) for f in fields]
     hashed = df.select(F.col(f"`{key}`").alias("key"), F.array(*leaves).alias("leaves"))
     if not ordered:
         hashed = hashed.withColumn("leaves", F.array_sort("leaves"))
