@@ -14,12 +14,14 @@ UNRESOLVED = "unresolved"
 
 
 def citation_orphans(spark: SparkSession, folder: str) -> DataFrame:
-    """Orphan references of citations: `citation_id`, `ref_field`, `extracted_at`, a row for each missing law or article."""
+    """Orphan references of citations: `citation_id`, `ref_field`, `extracted_at`, a row for each missing law or article.
+
+    A citation of a law that nobody could name refers to nothing that could be missing.
+    """
     keep = ["citation_id", "extracted_at"]
-    refs = table(spark, folder, "citations").select(*keep, "target_law_id", "target_article")
+    refs = table(spark, folder, "citations").select(*keep, "target_law_id", "target_article").where(F.col("target_law_id") != UNRESOLVED)
     laws, articles = table(spark, folder, "law_registry"), table(spark, folder, "registry_articles")
-    lost_laws = find_orphans(refs.where(F.col("target_law_id") != UNRESOLVED), laws, ["target_law_id"], ["law_id"], "extracted_at", "registered_at", "withdrawn_at")
-    # an article of a law that nobody could name isn't there either
+    lost_laws = find_orphans(refs, laws, ["target_law_id"], ["law_id"], "extracted_at", "registered_at", "withdrawn_at")
     each = split_articles(refs.where(F.col("target_article").isNotNull()), "target_article")
     lost = find_orphans(each, articles, ["target_law_id", "article"], ["law_id", "article"], "extracted_at", "in_force_from", "repealed_at")
     return lost_laws.select(*keep, F.lit("target_law_id").alias("ref_field")).unionByName(

@@ -22,7 +22,9 @@ def test_p3_found(spark):
     there = lambda held, at: held is not None and held[0] <= at and (held[1] is None or held[1] > at)
     wanted = set()
     for id_, law, field, at in rows("select citation_id, target_law_id, target_article, epoch_us(extracted_at) from '@/citations.parquet'"):
-        if law != "unresolved" and not there(laws.get(law), at):
+        if law == "unresolved":
+            continue
+        if not there(laws.get(law), at):
             wanted.add((id_, "target_law_id"))
         elif any(not there(articles.get((law, a)), at) for a, _ in articles_of(field)):
             wanted.add((id_, "target_article"))
