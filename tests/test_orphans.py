@@ -1,7 +1,10 @@
 import datetime as dt
 import random
 
-from lexmill.operators.orphans import find_orphans, orphans_by_period
+import numpy as np
+import pyarrow as pa
+
+from lexmill.operators.orphans import SortedParents, find_orphans, orphans_by_period
 
 REFS = "id long, law string, art string, at timestamp, h string"
 PARENTS = "law string, art string, start timestamp, stop timestamp, at string"
@@ -37,6 +40,23 @@ def test_against_brute_force(spark):
         assert run(spark, refs, parents, most_broadcast=0, per_task=20) == wanted
 
 
+def test_keys_of_one_hash_are_told_apart():
+    """Hits are verified by the key, so that a collision of hashes hides no orphan."""
+    hashes = np.array([5, 5, 7], np.int64)
+    held = SortedParents(hashes, pa.array(["a", "b", "c"]), np.array([0, 50, 0], np.int64), np.array([10, 60, 9], np.int64))
+    keys = pa.array(["a", "b", "b", "x", "c", "d"])
+    missed = held.miss(np.array([5, 5, 5, 5, 7, 7], np.int64), keys, np.array([5, 5, 55, 5, 5, 5], np.int64))
+    assert missed.tolist() == [False, True, False, True, False, True]
+
+
+def test_large_parents_match_small(spark):
+    rng = random.Random(3)
+    parents = [(rng.choice("abc"), str(rng.randrange(400)), day(0), rng.choice([None, day(30)]), "") for _ in range(600)]
+    refs = [(i, rng.choice("abc"), str(rng.randrange(450)), day(rng.randrange(60)), "") for i in range(2000)]
+    wanted = brute(refs, parents)
+    assert run(spark, refs, parents) == wanted == run(spark, refs, parents, most_broadcast=0, per_task=30, per_range=20)
+
+
 def test_empty_tables(spark):
     refs, parents = make(9)
     assert run(spark, refs, []) == brute(refs, [])
