@@ -66,13 +66,47 @@ def many(part: Expression) -> Expression:
     return run
 
 
-def optional(part: Expression) -> Expression:
-    return lambda text, at: part(text, at) or (at, [])
+def nested(item: Expression, pairs: dict[str, str], alone: object) -> Expression:
+    """Items, and items enclosed by `pairs` of marks at any depth; a mark without its partner yields `alone` at its place.
+
+    At a mark the alternatives are, in this order: it closes the nearest open
+    mark of its kind, it opens a pair, it stands alone. A pair whose partner
+    never comes has failed, and the parser goes back to its opening mark and
+    takes that alone. What stands behind the mark reads the same either way, so it is kept and not
+    parsed again; open marks are held on a stack of their own. Each mark is
+    put on it and taken off it once, so the time is linear in the text whatever the marks.
+    Characters that neither an item nor a mark explains are passed over.
+    """
+    closing = frozenset(pairs.values())
 
+    def run(text: str, at: int) -> Result:
+        values: list = []
+        open_: list[tuple[str, int]] = []  # the partner that is waited for, and the place of the mark among the values
+        waited = dict.fromkeys(closing, 0)
+        while at < len(text):
+            found = item(text, at)
+            if found is not None and found[0] > at:
+                at = found[0]
+                values += found[1]
+                continue
+            mark = text[at]
+            at += 1
+            if waited.get(mark):
+                while True:
+                    partner, place = open_.pop()
+                    waited[partner] -= 1
+                    if partner == mark:
+                        values[place] = None
+                        break
+            elif mark in pairs:
+                open_.append((pairs[mark], len(values)))
+                waited[pairs[mark]] += 1
+                values.append(alone)
+            elif mark in closing:
+                values.append(alone)
+        return at, [v for v in values if v is not None]
 
-def unless(part: Expression) -> Expression:
-    """Matches where `part` doesn't, and takes nothing."""
-    return lambda text, at: (at, []) if part(text, at) is None else None
+    return run
 
 
 def mapped(part: Expression, change: Callable[[list], list]) -> Expression:
@@ -81,8 +115,3 @@ def mapped(part: Expression, change: Callable[[list], list]) -> Expression:
         return None if found is None else (found[0], change(found[1]))
 
     return run
-
-
-def later(get: Callable[[], Expression]) -> Expression:
-    """A reference to an expression that is defined further down."""
-    return lambda text, at: get()(text, at)

@@ -2,8 +2,8 @@
 
 The field is read by a parsing expression grammar with ordered alternatives
 for bracketed, quoted and bare values. An opening quote or bracket without its
-partner doesn't match its alternative; the parser then backtracks, skips the
-mark alone and flags the values after it.
+partner doesn't match its alternative; the parser then backtracks, takes the
+mark alone and flags the values after it. The time is linear in the text.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import arrow_udf
 
-from lexmill.functions.peg import Expression, choice, later, many, mapped, optional, sequence, token, unless
+from lexmill.functions.peg import Expression, choice, mapped, nested, token
 
 # Ordinals that name transitory articles, and the nouns for parts of an article.
 ORDINALS = "Primero Segundo Tercero Cuarto Quinto Sexto Séptimo Octavo Noveno Décimo Undécimo Duodécimo Único".split()
@@ -59,23 +59,8 @@ def article_grammar() -> Expression:
     part = choice(plural, placed, single)
     space = token(r"[\s,;|/+&\-–—:.]+|\b[yeoau]\b|\bal\b")
     word = token(r"[\p{L}\p{M}]+\.?|\p{N}+")
-    value = choice(part, number, ordinal)
-    body = later(lambda: items)
-    enclosed = choice(*(sequence(token(rf"\{a}"), body, token(rf"\{b}")) for a, b in PAIRS.items()))
-    closing = token("|".join(rf"\{b}" for b in sorted(set(PAIRS.values()) | set(PAIRS))))
-    mark = token(r"[\"'“”«»‘’\[\](){}]", lambda m: ("", "unbalanced"))
-    items = many(choice(enclosed, value, space, sequence(unless(closing), choice(word, token(r"[^\"'“”«»‘’\[\](){}]")))))
-    return mapped(sequence(many(choice(items_or(items), mark)), optional(token(r"\s+"))), _flagged)
-
-
-def items_or(items: Expression) -> Expression:
-    """`items` that take at least one character."""
-
-    def run(text: str, at: int):
-        found = items(text, at)
-        return None if found is None or found[0] == at else found
-
-    return run
+    value = choice(part, number, ordinal, space, word)
+    return mapped(nested(value, PAIRS, ("", "unbalanced")), _flagged)
 
 
 def _flagged(values: list) -> list:

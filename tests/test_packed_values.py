@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from lexmill.functions.peg import choice, many, sequence, token
@@ -29,6 +31,22 @@ def test_very_long_field():
     assert len(articles_of(", ".join(map(str, range(5000))))) == 5000
 
 
+@pytest.mark.parametrize("text, n", [
+    (", ".join(f'"{i}"' for i in range(10_000)), 10_000), ("(" * 10_000 + "7", 1), ("7" + ")" * 10_000, 1), ('"' * 9_999 + "7", 1),
+    ("([{" * 3_000 + "7" + "}])" * 3_000, 1), ("\"(" * 5_000 + "7", 1), ("'1" * 10_001, 10_001),
+])
+def test_time_is_linear_in_the_marks(text, n):
+    began = time.process_time()
+    assert len(articles_of(text)) == n
+    assert time.process_time() - began < 1
+
+
+def test_marks_pair_across_depths():
+    assert articles_of('("1", [2]) 3') == (("1", ""), ("2", ""), ("3", ""))
+    assert articles_of('"1 (2" 3') == (("1", ""), ("2", "unbalanced"), ("3", "unbalanced"))
+    assert articles_of("(9, inciso a), 10) y 11") == (("9", ""), ("10", ""), ("11", ""))
+
+
 def test_rows(spark):
     rows = [(1, "1 y 2", "x"), (1, "1 y 2", "x"), (2, None, "x"), (3, "", "x"), (4, "5", "x"), (5, "que antecede", "x")]
     df = spark.createDataFrame(rows, "id int, field string, pos string")
