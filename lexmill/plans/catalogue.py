@@ -721,4 +721,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return core_problems.oracle_sql() | _SQL

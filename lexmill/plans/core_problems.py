@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.operators.orphans import find_orphans, orphans_by_period
-from lexmill.operators.packed_values import split_articles
+from lexmill.operators.packed_values import ORDINALS, PARTS, split_articles
 from lexmill.sources.tables import table
 
 #: Stands in citations for a law that nobody could name.
@@ -39,7 +39,9 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_by_month(spark: SparkSession, folder: str) -> DataFrame:
-    return orphans_by_period(_first_field(citation_orphans(spark, folder)), "citation_id", "ref_field", "extracted_at")
+    """Orphans by field and month (its first day)."""
+    counts = orphans_by_period(_first_field(citation_orphans(spark, folder)), "citation_id", "ref_field", "extracted_at")
+    return counts.withColumn("period", F.col("period").cast("date"))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -55,3 +57,40 @@ def p4_flags(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict:
     return {"p3_found": p3_found, "p3_by_month": p3_by_month, "p4_found": p4_found, "p4_flags": p4_flags}
+
+
+def _articles_sql() -> str:
+    """`named(citation_id, target_law_id, extracted_at, pos, article)`: the field cut into tokens by one expression, tokens of numbers and ordinals kept."""
+    ordinals, places = "|".join(ORDINALS), "|".join([*ORDINALS, "últim[oa]", "final", "penúltimo", "primer", "tercer", "segunda", "primera", "tercera"])
+    nouns = "|".join(sorted(PARTS, key=len, reverse=True))
+    link = r"\s*(?:,\s*(?:[yeo]\s+)?|\s[yeo]\s)\s*"
+    kinds = (r"\b[IVXLC]+\b", r"(?:[A-Za-z]\)|\b[A-Z]\b)", r"[0-9]+[º°]?")
+    lists = "|".join(f"{k}(?:{link}{k})*" for k in kinds)
+    several = rf"(?i:fracciones|apartados|párrafos|incisos|numerales|subincisos|bases|puntos)\s+(?:{lists})"
+    one = rf"(?i:{nouns})\.?\s+(?:\b[IVXLC]+\b|[A-Za-z]\)|\b[A-Z]\b|(?i:{places})\b|[0-9]+[º°]?)"
+    mark, bis = r"(?:\s?[º°ª]|[oa]\.?)?", "(?i:bis|ter|quáter|quater|quinquies)"
+    number = rf"[0-9]+{mark}(?:-[A-Za-z]\b)?(?:\s*{bis}\b)?"
+    ordinal = rf"(?:{ordinals})\b(?:\s+(?i:transitorio)s?\b)?|(?i:{ordinals})\s+(?i:transitorio)s?\b"
+    token = rf"{several}|(?i:{places})\s+(?i:{nouns})\b|{one}|{number}|{ordinal}|\p{{L}}[\p{{L}}\p{{M}}\p{{N}}]*"
+    title = "upper({0}[1]) || lower({0}[2:])".format
+    kept = rf"list_filter(regexp_extract_all(target_article, '{token}'), lambda t: regexp_matches(t, '^[0-9]') OR regexp_full_match(t, '{ordinal}'))"
+    letter, suffix = rf"regexp_extract(t, '^[0-9]+{mark}-([A-Za-z])', 1)", rf"regexp_extract(t, '({bis})$', 1)"
+    name = rf"""CASE WHEN regexp_matches(t, '^[0-9]') THEN regexp_extract(t, '^[0-9]+') || CASE WHEN {letter} <> '' THEN '-' || upper({letter}) ELSE '' END
+      || CASE WHEN {suffix} <> '' THEN ' ' || {title(suffix)} ELSE '' END ELSE {title(r"regexp_extract(t, '^[^ ]+')")} END"""
+    return f"""fields AS (SELECT citation_id, target_law_id, extracted_at, {kept} AS ts FROM citations WHERE target_article IS NOT NULL),
+named AS (SELECT citation_id, target_law_id, extracted_at, CAST(pos AS INTEGER) AS pos, len(ts) AS n, {name} AS article FROM (SELECT *, unnest(ts) AS t, generate_subscripts(ts, 1) AS pos FROM fields))"""
+
+
+_ORPHANS_SQL = """missing_law AS (SELECT DISTINCT citation_id, 'target_law_id' AS ref_field, extracted_at FROM citations c WHERE target_law_id <> 'unresolved' AND NOT EXISTS (
+  SELECT 1 FROM law_registry r WHERE r.law_id = c.target_law_id AND r.registered_at <= c.extracted_at AND (r.withdrawn_at IS NULL OR r.withdrawn_at > c.extracted_at))),
+missing_article AS (SELECT DISTINCT citation_id, 'target_article' AS ref_field, extracted_at FROM named n WHERE target_law_id <> 'unresolved' AND NOT EXISTS (
+  SELECT 1 FROM registry_articles a WHERE a.law_id = n.target_law_id AND a.article = n.article AND a.in_force_from <= n.extracted_at AND (a.repealed_at IS NULL OR a.repealed_at > n.extracted_at))),
+orphans AS (SELECT * FROM missing_law UNION ALL SELECT * FROM missing_article WHERE citation_id NOT IN (SELECT citation_id FROM missing_law))"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "p3_found": f"WITH {_articles_sql()}, {_ORPHANS_SQL} SELECT citation_id, ref_field FROM orphans",
+        "p3_by_month": f"WITH {_articles_sql()}, {_ORPHANS_SQL} SELECT ref_field, CAST(date_trunc('month', make_timestamp(epoch_us(extracted_at))) AS DATE) AS period, count(DISTINCT citation_id) AS n_orphans FROM orphans GROUP BY 1, 2",
+        "p4_found": f"WITH {_articles_sql()} SELECT DISTINCT citation_id, pos, article FROM named WHERE n >= 2",
+    }
