@@ -31,9 +31,6 @@ _WELL_FORMED = regex.compile(
     rb"(?:[\xC2-\xDF][\x80-\xBF]|\xE0[\xA0-\xBF][\x80-\xBF]|[\xE1-\xEC\xEE\xEF][\x80-\xBF]{2}|\xED[\x80-\x9F][\x80-\xBF]"
     rb"|\xF0[\x90-\xBF][\x80-\xBF]{2}|[\xF1-\xF3][\x80-\xBF]{3}|\xF4[\x80-\x8F][\x80-\xBF]{2})+"
 )
-#: Times that one text may have been garbled, one over the other.
-MOST_ROUNDS = 4
-
 
 def _page(codec: str) -> np.ndarray:
     """Byte by code point: ASCII stands for itself, C1 controls too where the codec leaves them out, any other character the page lacks is 0."""
@@ -123,15 +120,54 @@ _BLANKS = regex.compile(r"[\u00AD\u2000-\u200F\u202F\u205F-\u2064\u3000\uFEFF]")
 #: Leads that the automaton left and that nothing but a wrong decoding writes, a lead at the very end, the replacement character, and control characters.
 _STRAY = regex.compile(r"[\uFFFD\x80-\x84\x86-\x9F├┬╬╨╤╧╞╟╠]|\p{L}√|√\p{L}{2}|\p{Ll}[ÃÂ](?!\p{Ll})|\p{Ll}\?\p{Ll}|[â]€")
 
+#: A lead that stands alone at the very end, where a garbled text was cut.
+_CUT_OFF = regex.compile(r"(?<!\p{L})[ÃÂ]\Z")
+#: Signs as a misread gives them, where they hug what the sign that was meant would hug. They count only between misread words.
+_MAC_SIGNS = regex.compile(r"´(?=[\p{L}\p{N}])|(?<=[\p{L}\p{N}.,])ª(?![\p{L}\p{N}])|ø(?=\p{L})|°(?=\p{L})|(?<=\d)[∫™]|⁄(?=\p{Lu}{2})")
+_DOS_SIGNS = regex.compile(
+    r"[éàµ¥Ö\x90](?=\p{Lu}{2})|\x90(?=\p{Ll})|®(?=[\p{L}\p{N}])|(?<=[\p{L}\p{N}.,])¯|¨(?=\p{L})|\xAD(?=\p{Lu})|(?<=\d)[§¦]|(?<!\p{L})[‚¡](?=\p{Ll})|(?<=\p{Ll})\x81|\xA0(?=\p{Ll})|(?<=\p{Ll})\xA0"
+)
+#: Shapes that a word can have; a letter in any other place isn't one that was misread.
+_WORD_SHAPE = regex.compile(r"\P{L}*(?!Ñ[^\WAEIOUaeiouáéíóú])(?:\p{Lu}?\p{Ll}{2,}|\p{Lu}\p{Ll}|\p{Lu}{2,})\P{L}*")
+_BLANK = regex.compile(r"[ \n\t\r]")
+_ODD_WORDS = regex.compile(r"[^ \n\t\r]*[^\x00-\x7F \n\t\r][^ \n\t\r]*")
+_SIGN_INSIDE = regex.compile(r"\p{L}[^\p{L}\p{M}\p{N}\s\x00-\x7F’]+\p{L}")
+
+
+def _map_back(text: str, table: dict[int, str], sure: list[tuple[int, int]], signs: regex.Pattern) -> tuple[str, int]:
+    """`text` with its surely misread words mapped back; between the first and the last of them also signs that hug a word, and words with a sign inside.
 
-def _map_back(text: str, table: dict[int, str], found: list[tuple[int, int]]) -> str:
-    """`text` mapped back from the first to the last of the surely misread words, quotes and signs between them included."""
-    if not found:
-        return text
-    first, last = min(found)[0], max(found)[1]
-    start = max(text.rfind(" ", 0, first + 1), text.rfind("\n", 0, first + 1)) + 1
-    end = min([i for i in (text.find(" ", last - 1), text.find("\n", last - 1)) if i >= 0], default=len(text))
-    return text[:start] + text[start:end].translate(table) + text[end:]
+    The number counts the words between that may be misread as well, but that nothing proves to be; they stay.
+    """
+    if not sure:
+        return text, 0
+    spans: list[tuple[int, int]] = []  # of the words that hold a sure place
+    for first, last in sorted(sure):
+        if spans and last <= spans[-1][1]:
+            continue
+        start = max(text.rfind(c, 0, first + 1) for c in " \n\t\r") + 1
+        ends = [m.start() for m in (_BLANK.search(text, last),) if m]
+        spans.append((max(start, spans[-1][1] if spans else 0), ends[0] if ends else len(text)))
+    parts, at, doubtful = [], spans[0][0], 0
+    for start, end in spans:
+        between = text[at:start]
+        if not between.isascii():
+            words = []
+
+            def meant(m: regex.Match, words: list = words) -> str:
+                word, plain = m[0], m[0].translate(table)
+                if plain == word or not _WORD_SHAPE.fullmatch(plain):
+                    return word
+                if _SIGN_INSIDE.search(word):  # no word as it stands
+                    return plain
+                words.append(word)
+                return word
+
+            between = signs.sub(lambda m: m[0].translate(table), _ODD_WORDS.sub(meant, between))
+            doubtful += len(words)
+        parts += [between, text[start:end].translate(table)]
+        at = end
+    return "".join([text[: spans[0][0]], *parts, text[at:]]), doubtful
 
 
 def repair(text: str, prose: bool = True) -> tuple[str, int, bool]:
@@ -140,20 +176,21 @@ def repair(text: str, prose: bool = True) -> tuple[str, int, bool]:
     Only in `prose` can a no-break space be a letter: between the words of names, spaces of all kinds stand for blanks.
     """
     places, plain = 0, text
-    for _ in range(MOST_ROUNDS):
+    while True:  # text garbled several times over; each round makes it shorter
         plain, n = _decode_spans(plain)
         places += n
         if not n:
             break
     mac = [m.span() for m in _MAC_SURE.finditer(plain)]
-    plain = _map_back(plain, _FROM_MAC, mac)
+    plain, open_mac = _map_back(plain, _FROM_MAC, mac, _MAC_SIGNS)
     dos = [m.span() for m in _DOS_SURE.finditer(plain)]
     if prose and "\xa0" in plain and not _BLANKS.search(plain):
         dos += [m.span() for m in _DOS_SPACE.finditer(plain)]
-    plain = _map_back(plain, _FROM_DOS, dos)
+    plain, open_dos = _map_back(plain, _FROM_DOS, dos, _DOS_SIGNS)
     places += len(mac) + len(dos)
     left = sum(1 for _ in _STRAY.finditer(plain))
-    return plain, places + left, left == 0
+    cut_off = places > 0 and _CUT_OFF.search(plain) is not None
+    return plain, places + left, left == 0 and not open_mac and not open_dos and not cut_off
 
 
 @lru_cache(maxsize=4096)

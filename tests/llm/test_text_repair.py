@@ -35,6 +35,40 @@ def test_single_byte_pages():
     assert repair("La\u00A0ventanilla única\u00A0de obras")[1] == 0
 
 
+BETWEEN = "La presentación de la “Ley” —art. 5 · nota… y la aplicación"
+
+
+@pytest.mark.parametrize("page", ["cp1252", "latin-1", "mac_roman", "cp437", "cp850"])
+def test_correct_text_between_misread_words_stays(page):
+    """Only the words that were misread change: quotes, dashes and ellipses between them are as they were."""
+    words = {w: w.encode().decode(page) for w in ("presentación", "aplicación")}
+    garbled = BETWEEN
+    for plain, wrong in words.items():
+        garbled = garbled.replace(plain, wrong)
+    assert repair(garbled)[0] == BETWEEN and repair(garbled)[1] > 0
+
+
+def test_single_byte_misreads_between_correct_text():
+    assert repair("La presentaciÛn de la “Ley” —art. 5 · nota… y la aplicaciÛn")[0] == BETWEEN
+    assert repair("La presentaci¢n de la “Ley” —art. 5 · nota… y la aplicaci¢n")[0] == BETWEEN
+    text = "El artículo «quinto» señala: ¿cuál órgano? SECCIÓN ÚNICA, según la 3ª resolución de 2º grado. La marca «AÇÃO», también así"
+    assert repair(text.encode("cp1252").decode("mac_roman"))[0] == text
+    whole = "El artículo «quinto» señala: ¿cuál órgano? SECCIÓN ÚNICA, también así"
+    assert repair(whole.encode("cp850").decode("cp1252"))[0] == whole
+
+
+def test_what_may_be_garbled_still_isnt_called_restored():
+    assert repair("La Ã\x8dndole dÃ³nde — “x” Ã")[2] is False
+    assert repair("La resoluciÛn de …l dice que la sanciÛn")[2] is False
+
+
+def test_text_garbled_many_times():
+    text = garbled = "revisará el padrón"
+    for _ in range(7):
+        garbled = garbled.encode().decode("latin-1")
+    assert repair(garbled)[0] == text
+
+
 def test_lost_characters_are_found_but_not_restored():
     text, places, whole = repair("la omisi\uFFFDn")
     assert places == 1 and not whole and text == "la omisi\uFFFDn"
