@@ -9,18 +9,19 @@ comparing the normalised contents in full.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
-
 import pyarrow as pa
 import regex
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import arrow_udf
 
+from lexmill.session import checkpointed
+
 #: Copies from which on the members of a group aren't brought together in one task.
 HEAVY_GROUP = 200_000
+#: Groups whose digests may travel to every executor.
+MOST_BROADCAST_GROUPS = 500_000
 
 
 @arrow_udf(T.StringType())
@@ -76,7 +77,9 @@ def node(children: list[Column], ordered: bool = False) -> Column:
     return F.md5(F.array_join(digests if ordered else F.array_sort(digests), "|"))
 
 
-def collapse(df: DataFrame, key: str, fields: list[str], ordered: bool = False, heavy: int = HEAVY_GROUP, bags: frozenset[str] = frozenset()) -> DataFrame:
+def collapse(
+    df: DataFrame, key: str, fields: list[str], ordered: bool = False, heavy: int = HEAVY_GROUP, bags: frozenset[str] = frozenset(), most_broadcast: int = MOST_BROADCAST_GROUPS
+) -> DataFrame:
     """Members of each group of records that are equal in form: key, `keep` (smallest key of the group) and `copies` (rows of the group).
 
     Fields can be nested. Structs at any depth have the order that `ordered` says; lists keep theirs, but for those named
@@ -91,18 +94,29 @@ def collapse(df: DataFrame, key: str, fields: list[str], ordered: bool = False,
     if not ordered:
         hashed = hashed.withColumn("leaves", F.array_sort("leaves"))
     hashed = hashed.withColumn("root", node([F.md5(F.get("leaves", F.lit(i))) for i in range(len(fields))], True))
-    # counted before any shuffle of members: a group of any size leaves one row per task, without its contents
+    # counted on digests alone, before any shuffle of members: a group of any size leaves one row per task, without its contents
     groups = hashed.groupBy("root").agg(F.min("key").alias("keep"), F.count("*").alias("copies")).where(F.col("copies") > 1)
-    groups = groups.persist(StorageLevel.DISK_ONLY)
-    found = _confirmed(hashed, groups.where(F.col("copies") < heavy))
-    if groups.where(F.col("copies") >= heavy).count():
-        # at most rows / heavy groups, so their side of the join is small; their members stay where they are
-        found = found.unionByName(_confirmed(hashed, F.broadcast(groups.where(F.col("copies") >= heavy)), F.broadcast))
+    groups = checkpointed(groups)
+    large = groups.where(F.col("copies") >= heavy)
+    n, n_large = groups.agg(F.count("*"), F.count_if(F.col("copies") >= heavy)).first()
+    if n <= most_broadcast:
+        # contents of records without a copy stay where they are; 32 bytes a root and as many beside it
+        return _confirmed(hashed.join(F.broadcast(groups), "root"), heavy)
+    found = _confirmed(hashed.join(groups.where(F.col("copies") < heavy), "root"), heavy)
+    if n_large:
+        # at most rows / heavy groups, each a digest, a key and a number: their members aren't brought together by root
+        found = found.unionByName(_confirmed(hashed.join(F.broadcast(large), "root"), heavy))
     return found
 
 
-def _confirmed(hashed: DataFrame, groups: DataFrame, send: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
-    """Members of `groups` whose contents are those of the record that is kept, compared in full."""
-    members = hashed.join(groups, "root")
-    kept = members.where(F.col("key") == F.col("keep")).groupBy("root").agg(F.first("leaves").alias("contents"))
-    return members.join(send(kept), "root").where(F.col("leaves") == F.col("contents")).select("key", "keep", "copies")
+def _confirmed(members: DataFrame, heavy: int) -> DataFrame:
+    """The `members` of groups whose contents are those of the record that is kept, compared in full.
+
+    The kept record of a group goes to as many tasks as the group has times `heavy` members.
+    """
+    members = checkpointed(members)  # only records that have a copy, so that they are normalised once more and not twice
+    parts = F.ceil(F.col("copies") / heavy).cast("int")
+    kept = members.where(F.col("key") == F.col("keep")).groupBy("root", "copies").agg(F.first("leaves").alias("contents"))
+    kept = kept.select("root", "contents", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    own = members.withColumn("part", F.pmod(F.xxhash64("key"), parts).cast("int"))
+    return own.join(kept, ["root", "part"]).where(F.col("leaves") == F.col("contents")).select("key", "keep", "copies")

@@ -28,8 +28,8 @@ def test_against_brute_force(spark):
     for seed in range(3):
         rows = make(seed)
         df = spark.createDataFrame([(*r, "k", "r") for r in rows], "id long, term string, body string, key string, root string")
-        for heavy in (10**6, 20):
-            got = sorted((r.key, r.keep, r.copies) for r in collapse(df, "id", ["term", "body"], heavy=heavy).collect())
+        for heavy, most in ((10**6, 10**6), (20, 10**6), (20, 0), (10**6, 0)):
+            got = sorted((r.key, r.keep, r.copies) for r in collapse(df, "id", ["term", "body"], heavy=heavy, most_broadcast=most).collect())
             assert got == brute(rows)
 
 
