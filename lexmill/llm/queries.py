@@ -125,22 +125,40 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return shares(p8_mixture(spark, folder), table(spark, folder, "mix_targets"), "source", "target_share")
 
 
-def _pieces(spark: SparkSession, folder: str) -> DataFrame:
-    return split_oversized(table(spark, folder, "documents"), "doc_id", "text")
+#: Levels, exponent and size of the deep mixture: domains of the registry below languages, small branches raised, more than every share could be exact for.
+DEEP_LEVELS, SMOOTHING, FILL = ["source", "lang", "domain"], 0.5, 0.8
+
+
+def _deep(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    domains = table(spark, folder, "law_registry").select("law_id", F.col("sector").alias("domain"))
+    sizes = counted(table(spark, folder, "documents").join(domains, "law_id", "left"), "doc_id", "text", DEEP_LEVELS)
+    return sizes, plan(sizes, table(spark, folder, "mix_targets"), DEEP_LEVELS, "target_share", "max_repeats", fill=FILL, smoothing=SMOOTHING)
+
+
+def p8_deep_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """A mixture down three levels that is larger than some branches can serve: what they lack goes to siblings, then to those of ancestors."""
+    sizes, budget = _deep(spark, folder)
+    return mix(sizes, budget, DEEP_LEVELS).withColumnRenamed("key", "doc_id")
+
+
+def p8_deep_budgets(spark: SparkSession, folder: str) -> DataFrame:
+    """Budgets of the deep mixture: source, language, domain, tokens held, cap and tokens to give."""
+    return _deep(spark, folder)[1]
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that had to be cut."""
-    return _pieces(spark, folder).where(F.col("n_pieces") > 1).select("doc_id").distinct()
+    pieces = split_oversized(table(spark, folder, "documents"), "doc_id", "text", with_text=False)
+    return pieces.where(F.col("n_pieces") > 1).select("doc_id").distinct()
 
 
 def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """All pieces of all documents."""
-    return _pieces(spark, folder)
+    return split_oversized(table(spark, folder, "documents"), "doc_id", "text")
 
 
 def queries() -> dict[str, Query]:
-    own = (p1_found, p1_restored, p2_found, p2_names, p5_found, p5_collapsed, p6_found, p6_unified, p7_found, p7_items, p8_mixture, p8_shares, p9_found, p9_pieces)
+    own = (p1_found, p1_restored, p2_found, p2_names, p5_found, p5_collapsed, p6_found, p6_unified, p7_found, p7_items, p8_mixture, p8_shares, p8_deep_mixture, p8_deep_budgets, p9_found, p9_pieces)
     return {f.__name__: f for f in own}
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import arrow_udf
 
-from lexmill.llm.tokens import TOKENIZERS, VOCABULARY, TokenCounter, counter
+from lexmill.llm.tokens import TOKENIZERS, VOCABULARY, TokenCounter, counter, token_counts
 
 LIMIT, OVERLAP = 2048, 128
 #: A piece is at least this share of the limit, so that a strong boundary right after the start doesn't make crumbs.
@@ -32,13 +32,13 @@ _MARKS = (
 
 
 class SparseTable:
-    """Place of the largest value in any range, the rightmost of equals, in constant time."""
+    """Place of the largest value in any range of up to `widest` values, the rightmost of equals, in constant time."""
 
-    def __init__(self, values: np.ndarray):
+    def __init__(self, values: np.ndarray, widest: int | None = None):
         self.values = values
-        self.levels = [np.arange(len(values))]
-        width = 1
-        while width * 2 <= len(values):
+        self.levels = [np.arange(len(values), dtype=np.int32 if len(values) < 2**31 else np.int64)]
+        width, most = 1, min(len(values), widest or len(values))
+        while width * 2 <= most:
             left, right = self.levels[-1][:-width], self.levels[-1][width:]
             self.levels.append(np.where(values[left] > values[right], left, right))
             width *= 2
@@ -90,7 +90,7 @@ def cut(text: str, count: TokenCounter, limit: int = LIMIT, overlap: int = OVERL
     starts, counts = _fine(text, starts, counts, count, max(4, limit // 16))
     sums = np.zeros(len(counts) + 1, np.int64)
     np.cumsum(counts, out=sums[1:])
-    table = SparseTable(_strengths(text, starts))
+    table = SparseTable(_strengths(text, starts), limit + 1)  # a window holds no more pieces than tokens, and no level is kept beyond it
     pieces, first, last = [], 0, len(counts)
     while sums[last] - sums[first] > limit:
         room = limit
@@ -111,44 +111,39 @@ def cut(text: str, count: TokenCounter, limit: int = LIMIT, overlap: int = OVERL
     return pieces
 
 
-_PIECE = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("boundary", T.StringType())])
+_PIECE = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("boundary", T.StringType()), T.StructField("piece_text", T.StringType())])
+_PIECES_ARROW = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("n_tokens", pa.int64()), ("boundary", pa.string()), ("piece_text", pa.string())]))
 
 
 def split_oversized(
-    df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY
+    df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, with_text: bool = True
 ) -> DataFrame:
-    """Pieces of each text: key, `piece` (from 1), `n_pieces`, `start` and `end` (code points), `n_tokens`, `boundary` at its end, `piece_text`.
+    """Pieces of each text: key, `piece` (from 1), `n_pieces`, `start` and `end` (code points), `n_tokens`, `boundary` at its end, and `with_text` `piece_text`.
 
     A text within the limit is one piece, an empty one too; a null text gives
     no row. A text of no more bytes than the limit can't have more tokens, so
-    it stays in the JVM, and its `n_tokens` is null. Rows with a repeated key
+    it isn't cut, and its tokens are only counted where somebody reads `n_tokens`. Rows with a repeated key
     are cut each on its own; other columns don't come back.
     """
 
     @arrow_udf(T.ArrayType(_PIECE))
     def pieces(values: pa.Array) -> pa.Array:
         count = counter(folder, vocabulary)
-        cuts = [None if t is None else cut(t, count, limit, overlap) for t in values.to_pylist()]
-        rows = [[dict(zip(_PIECE.names, p, strict=True)) for p in c] if c is not None else None for c in cuts]
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("n_tokens", pa.int64()), ("boundary", pa.string())]))
-        return pa.array(rows, kind)
+        rows = []
+        for t in values.to_pylist():
+            # each piece is taken out of the text here, in time that goes with its length
+            rows.append(None if t is None else [{**dict(zip(_PIECE.names, p)), "piece_text": t[p[0] : p[1]] if with_text else None} for p in cut(t, count, limit, overlap)])
+        return pa.array(rows, _PIECES_ARROW)
 
     body = F.col("text")
-    whole = F.array(
-        F.struct(F.lit(0).cast("long").alias("start"), F.length(body).cast("long").alias("end"), F.lit(None).cast("long").alias("n_tokens"), F.lit("end").alias("boundary"))
-    )
     long = F.octet_length(body) > limit
     rows = df.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    names = ["piece", "n_pieces", "start", "end", "n_tokens", "boundary", *(["piece_text"] if with_text else [])]
     # apart, so that short texts aren't sent to Python as nulls and the Python result isn't evaluated twice
-    cuts = rows.where(long).select("key", "text", pieces.asNondeterministic()("text").alias("cuts")).unionByName(rows.where(~long).select("key", "text", whole.alias("cuts")))
-    each = cuts.select("key", "text", F.size("cuts").alias("n_pieces"), F.posexplode("cuts").alias("at", "p"))
-    return each.select(
-        F.col("key").alias(key),
-        (F.col("at") + 1).alias("piece"),
-        "n_pieces",
-        "p.start",
-        "p.end",
-        "p.n_tokens",
-        "p.boundary",
-        F.substring(F.col("text"), (F.col("p.start") + 1).cast("int"), (F.col("p.end") - F.col("p.start")).cast("int")).alias("piece_text"),
-    )
+    cuts = rows.where(long).select("key", pieces.asNondeterministic()("text").alias("cuts"))
+    cuts = cuts.select("key", F.size("cuts").alias("n_pieces"), F.posexplode("cuts").alias("at", "p")).select("key", (F.col("at") + 1).alias("piece"), "n_pieces", "p.*")
+    whole = rows.where(~long).select(
+        "key", F.lit(1).alias("piece"), F.lit(1).alias("n_pieces"), F.lit(0).cast("long").alias("start"), F.length(body).cast("long").alias("end"),
+        token_counts(body, folder, vocabulary).alias("n_tokens"), F.lit("end").alias("boundary"), body.alias("piece_text"),
+    )
+    return cuts.select("key", *names).unionByName(whole.select("key", *names)).select(F.col("key").alias(key), *names)

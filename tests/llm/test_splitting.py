@@ -17,6 +17,19 @@ def test_sparse_table_as_brute_force():
         assert table.best(low, high) == low + max(i for i in range(len(part)) if part[i] == part.max())
 
 
+def test_sparse_table_keeps_no_level_beyond_its_window():
+    values = np.arange(100_000) % 5
+    table = SparseTable(values, 64)
+    assert len(table.levels) == 7 and table.best(10, 70) == 69
+
+
+def test_every_piece_has_its_size(spark):
+    df = spark.createDataFrame([(1, "corto"), (2, ""), (3, "uno dos tres. " * 2000)], "doc_id long, body string")
+    for r in split_oversized(df, "doc_id", "body").collect():
+        assert abs(r.n_tokens - counter().count(r.piece_text)) <= 1
+    assert "piece_text" not in split_oversized(df, "doc_id", "body", with_text=False).columns
+
+
 def check(text, limit, overlap):
     # parts of a word without end have more tokens one by one than together
     endless = max(map(len, text.split()), default=0) > 1000 or not text.strip()
