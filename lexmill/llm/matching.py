@@ -9,13 +9,14 @@ the entry but for a slip of the pen, with nothing left over on either side.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import arrow_udf
@@ -23,7 +24,7 @@ from pyspark.sql.pandas.functions import arrow_udf
 from lexmill.llm.containment import _fold_table
 from lexmill.llm.mojibake import repair
 from lexmill.llm.unify import unify
-from lexmill.session import spread
+from lexmill.session import checkpointed, spread
 
 #: Least Jaccard similarity of the trigram sets.
 THRESHOLD = 0.4
@@ -31,25 +32,27 @@ THRESHOLD = 0.4
 MOST_SLIPS = 3
 SLIPS_BY_LENGTH = ((9, 2), (4, 1))
 UNMATCHED = "unmatched"
-#: Entries of the reference list whose prefixes may travel to every executor; beyond it the join shuffles.
-MOST_BROADCAST_PREFIXES = 500_000
-
-# Words without weight, abbreviations, and tails that follow a name without being part of it.
-STOP = frozenset("a al d de del e el en la las lo los y".split())
-SHORT_FORMS = {
-    "l": "ley", "gral": "general", "fed": "federal", "org": "organica", "regl": "reglamento", "rgto": "reglamento", "cod": "codigo",
-    "est": "estatuto", "dto": "decreto", "decr": "decreto", "const": "constitucion", "pol": "politica", "nac": "nacional",
-}
-TAILS = tuple(
-    tuple(t.split())
-    for t in (
-        "segun su ultima reforma", "demas disposiciones aplicables", "adelante ley", "su reglamento", "vigor", "vigente",
-        "antes citado", "antes citada", "recien citado", "recien citada", "citado", "citada", "mencionado", "mencionada",
-    )
-)
-#: Words that say what kind of text a name names, and of what rank; without them a name still names it where no other has the same rest.
-RANKS = frozenset("general federal organica marco politica nacional".split())
-KINDS = RANKS | frozenset("ley codigo reglamento estatuto decreto constitucion acuerdo normativa regimen".split())
+#: Letters of all entries whose tokens may travel to every executor, 10 bytes each; beyond it the join shuffles.
+MOST_BROADCAST_LETTERS = 4_000_000
+#: Rows of one token on the names' side that one task joins at most.
+ROWS_PER_TOKEN = 100_000
+
+
+@dataclass(frozen=True)
+class Lexicon:
+    """What a caller knows of the names: none of it is needed.
+
+    `stop` are words without weight, `short_forms` abbreviations and what they stand for, `tails` words that follow a name without being part of it.
+    `droppable` are sets of words without which a name still names its entry where no other entry has the same rest.
+    """
+
+    stop: frozenset[str] = frozenset()
+    short_forms: tuple[tuple[str, str], ...] = ()
+    tails: tuple[tuple[str, ...], ...] = ()
+    droppable: tuple[frozenset[str], ...] = ()
+
+
+PLAIN = Lexicon()
 
 
 @lru_cache(maxsize=50_000)
@@ -91,17 +94,18 @@ def _is_tail(words: list[str], tail: tuple[str, ...]) -> bool:
     return len(words) > len(tail) and all(slips(w, t, 2) <= min(2, max(allowed(t), 0)) for w, t in zip(words[-len(tail) :], tail, strict=True))
 
 
-def canonical(name: str | None, tails: tuple[tuple[str, ...], ...] = TAILS) -> str:
-    """Words that carry the name, folded, without `tails` and words without weight, abbreviations in full; an acronym as one word."""
+def canonical(name: str | None, lexicon: Lexicon = PLAIN) -> str:
+    """Words that carry the name, folded, without tails and words without weight, abbreviations in full; an acronym as one word."""
     if not name:
         return ""
     text = _folded(unify(repair(name, prose=False)[0]))
     words = _WORDS.findall(text)
     if len(words) > 1 and all(len(w) == 1 for w in words):
         return "".join(words)
-    words = [SHORT_FORMS.get(w, w) for w in words]
-    words = [w for w in words if w not in STOP] if len(words) > 1 else words
-    while tail := next((t for t in tails if _is_tail(words, t)), None):
+    short = dict(lexicon.short_forms)
+    words = [short.get(w, w) for w in words]
+    words = [w for w in words if w not in lexicon.stop] if len(words) > 1 else words
+    while tail := next((t for t in lexicon.tails if _is_tail(words, t)), None):
         words = words[: -len(tail)]
     return " ".join(words)
 
@@ -141,12 +145,12 @@ def _code(gram: str) -> int:
     return n
 
 
-def canonical_names(column: Column, tails: tuple[tuple[str, ...], ...] = TAILS) -> Column:
+def canonical_names(column: Column, lexicon: Lexicon = PLAIN) -> Column:
     """`canonical` of a string column; null gives an empty name."""
 
     @arrow_udf(T.StringType())
     def names(values: pa.Array) -> pa.Array:
-        return pa.array([canonical(t, tails) for t in values.to_pylist()], pa.string())
+        return pa.array([canonical(t, lexicon) for t in values.to_pylist()], pa.string())
 
     return names.asNondeterministic()(column)
 
@@ -167,21 +171,67 @@ def _same(names: pa.Array, entries: pa.Array) -> pa.Array:
 _same = _same.asNondeterministic()
 
 
-def _ranked(sets: DataFrame, other: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both sides' `codes` as `ranks`: numbers by rarity over both, sorted, so that the rarest come first."""
-    counts = sets.select(F.explode("codes").alias("c")).unionByName(other.select(F.explode("codes").alias("c"))).groupBy("c").count()
-    # at most 38 ** 3 tokens whatever the input, so they may be ordered in one task and kept as a map
-    order = [r[0] for r in counts.orderBy("count", "c").collect()]
+def _prefix_length(n: int | np.ndarray, threshold: float):
+    return n - np.ceil(n * threshold - 1e-9).astype(np.int64) + 1
+
+
+class Postings:
+    """The entries' token sets, and for each token the entries that have it in their rare prefix, with its place."""
+
+    def __init__(self, names: list[str], ranks: list[np.ndarray], tokens: int, threshold: float):
+        self.names, self.threshold = names, threshold
+        self.sizes = np.array([len(r) for r in ranks], np.int64)
+        self.flat = np.concatenate([*ranks, np.empty(0, np.int64)]).astype(np.int32)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
+        lengths = _prefix_length(self.sizes, threshold) if len(names) else self.sizes
+        entry = np.repeat(np.arange(len(names)), lengths)
+        place = np.arange(len(entry)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        token = self.flat[self.starts[entry] + place]
+        order = np.argsort(token, kind="stable")
+        self.entry, self.place = entry[order].astype(np.int32), place[order].astype(np.int32)
+        self.first = np.searchsorted(token[order], np.arange(tokens + 1))
+        self.marks = np.zeros(tokens, bool)
+
+    def similar(self, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the entries with a Jaccard of `threshold` or more, and that Jaccard, for a name with the tokens `ranks` (sorted, rarest first)."""
+        n, t = len(ranks), self.threshold
+        prefix = ranks[: int(_prefix_length(np.int64(n), t))]
+        low, high = self.first[prefix], self.first[prefix + 1]
+        counts = high - low
+        at = np.repeat(low - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        entry, place, own = self.entry[at], self.place[at], np.repeat(np.arange(len(prefix)), counts)
+        sizes = self.sizes[entry]
+        need = np.ceil((n + sizes) * (t / (1 + t)) - 1e-9)
+        kept = (sizes >= n * t - 1e-9) & (n >= sizes * t - 1e-9) & (np.minimum(n - own, sizes - place) >= need)
+        found = np.unique(entry[kept])
+        if not len(found):
+            return found, np.empty(0)
+        self.marks[ranks] = True
+        sizes = self.sizes[found]
+        ends = np.cumsum(sizes)
+        tokens = self.flat[np.repeat(self.starts[found] - ends + sizes, sizes) + np.arange(ends[-1])]
+        shared = np.add.reduceat(self.marks[tokens].astype(np.int64), ends - sizes)
+        self.marks[ranks] = False
+        jaccard = shared / (n + sizes - shared)
+        return found[jaccard >= t - 1e-9], jaccard[jaccard >= t - 1e-9]
+
+
+def _rank_table(sets: DataFrame, other: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the tokens by rarity over both sides, and how often each token (by number) comes in the first."""
+    both = sets.select(F.explode("codes").alias("c"), F.lit(1).alias("own")).unionByName(other.select(F.explode("codes").alias("c"), F.lit(0).alias("own")))
+    # at most 38 ** 3 tokens whatever the input
+    counts = both.groupBy("c").agg(F.count("*").alias("n"), F.sum("own").alias("own")).toPandas().sort_values(["n", "c"])
     rank = np.zeros(38**3, np.int32)
-    rank[np.array(order, np.int64)] = np.arange(len(order), dtype=np.int32)
-    sent = sets.sparkSession.sparkContext.broadcast(rank)
+    rank[counts["c"].to_numpy(np.int64)] = np.arange(len(counts), dtype=np.int32)
+    return rank, counts["own"].to_numpy(np.int64)
+
 
+def _ranked(df: DataFrame, sent) -> DataFrame:
     @arrow_udf(T.ArrayType(T.IntegerType()))
     def ranks(codes: pa.Array) -> pa.Array:
-        own = sent.value
-        return pa.array([np.sort(own[np.array(c, np.int64)]) for c in codes.to_pylist()], pa.list_(pa.int32()))
+        return pa.array([np.sort(sent.value[np.array(c, np.int64)]) for c in codes.to_pylist()], pa.list_(pa.int32()))
 
-    return tuple(df.withColumn("ranks", ranks.asNondeterministic()("codes")).drop("codes") for df in (sets, other))
+    return df.withColumn("ranks", ranks.asNondeterministic()("codes")).drop("codes")
 
 
 def _prefixed(df: DataFrame, side: str, threshold: float) -> DataFrame:
@@ -196,15 +246,42 @@ def _prefixed(df: DataFrame, side: str, threshold: float) -> DataFrame:
     )
 
 
-def similar_pairs(names: DataFrame, entries: DataFrame, threshold: float = THRESHOLD, most_broadcast: int = MOST_BROADCAST_PREFIXES) -> DataFrame:
-    """(name, entry, jaccard) of all pairs of canonical names with a trigram Jaccard of `threshold` or more; both sides hold distinct `name`s."""
-    left, right = _ranked(
-        names.select("name", _gram_codes("name").alias("codes")), checked_distinct(entries).select("name", _gram_codes("name").alias("codes"))
-    )
-    left, right = _prefixed(left, "l", threshold), _prefixed(right, "r", threshold)
-    if entries.select(F.coalesce(F.sum(F.length("name")), F.lit(0))).first()[0] <= most_broadcast:
-        right = F.broadcast(right)  # no set has more tokens than its name has letters
-    both = left.join(right, "token")
+def similar_pairs(names: DataFrame, entries: DataFrame, threshold: float = THRESHOLD, most_letters: int = MOST_BROADCAST_LETTERS, per_token: int = ROWS_PER_TOKEN) -> DataFrame:
+    """(name, entry, jaccard) of all pairs of canonical names with a trigram Jaccard of `threshold` or more; both sides hold distinct `name`s.
+
+    Entries of proven size travel as postings, and names are probed where they
+    are; beyond `most_letters` both sides are joined on the tokens, and a token that comes
+    in more than `per_token` names is split.
+    """
+    left, right = (checkpointed(df.select("name", _gram_codes("name").alias("codes"))) for df in (names, entries.select("name").distinct()))
+    rank, counts = _rank_table(left, right)
+    context = names.sparkSession.sparkContext
+    # no set has more tokens than its name has letters
+    if right.agg(F.coalesce(F.sum(F.length("name")), F.lit(0))).first()[0] <= most_letters:
+        held = right.toArrow()
+        codes = held.column("codes").to_pylist()
+        postings = context.broadcast((rank, Postings(held.column("name").to_pylist(), [np.sort(rank[np.array(c, np.int64)]) for c in codes], len(counts), threshold)))
+
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table, own = postings.value
+            for batch in batches:
+                out: tuple[list, list, list] = ([], [], [])
+                for name, codes in zip(batch.column("name").to_pylist(), batch.column("codes").to_pylist()):
+                    found, jaccard = own.similar(np.sort(table[np.array(codes, np.int64)]))
+                    out[0].extend([name] * len(found))
+                    out[1].extend(own.names[i] for i in found)
+                    out[2].extend(jaccard.tolist())
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64())], ["name", "entry", "jaccard"])
+
+        return left.mapInArrow(probe, "name string, entry string, jaccard double")
+    sent = context.broadcast(rank)
+    left, right = _prefixed(_ranked(left, sent), "l", threshold), _prefixed(_ranked(right, sent), "r", threshold)
+    hot = [(int(i), int(-(-counts[i] // per_token))) for i in np.flatnonzero(counts > per_token)]
+    parts = F.broadcast(names.sparkSession.createDataFrame(hot, "token int, parts int"))  # of at most 38 ** 3 tokens
+    split = lambda df: df.join(parts, "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    left = split(left).withColumn("part", F.pmod(F.xxhash64("l_name"), F.col("parts")).cast("int")).drop("parts")
+    right = split(right).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    both = left.join(right, ["token", "part"])
     need = F.ceil((F.col("l_n") + F.col("r_n")) * (threshold / (1 + threshold)) - 1e-9)
     both = both.where((F.col("r_n") >= F.col("l_n") * threshold - 1e-9) & (F.col("l_n") >= F.col("r_n") * threshold - 1e-9))
     both = both.where(F.least(F.col("l_n") - F.col("l_at"), F.col("r_n") - F.col("r_at")) >= need)
@@ -215,24 +292,19 @@ def similar_pairs(names: DataFrame, entries: DataFrame, threshold: float = THRES
     return scored.where(F.col("jaccard") >= threshold - 1e-9)
 
 
-def checked_distinct(entries: DataFrame) -> DataFrame:
-    return entries.select("name").distinct()
-
-
-def entry_names(registry: DataFrame, key: str, name: str, others: list[Column], tails: tuple[tuple[str, ...], ...] = TAILS) -> DataFrame:
+def entry_names(registry: DataFrame, key: str, name: str, others: list[Column], lexicon: Lexicon = PLAIN) -> DataFrame:
     """(name, id) of all canonical names of the reference list.
 
-    These are names and other names, and each name without its rank or its
-    kind where what is left is no full name and belongs to one entry alone.
+    These are names and other names, and each name without the words of each droppable
+    set where what is left is no full name and belongs to one entry alone.
     """
     listed = [F.array(F.col(name)), *others]
     flat = registry.select(F.col(key).alias("id"), F.explode(F.concat(*[F.coalesce(x, F.array().cast("array<string>")) for x in listed])).alias("raw"))
-    full = flat.where(F.col("raw").isNotNull()).select("id", canonical_names(F.col("raw"), tails).alias("name")).where(F.col("name") != "").distinct()
-    full = full.persist()
-    words = F.split("name", " ")
-    rests = []
-    for dropped in (RANKS, KINDS):
-        rests.append(F.array_join(F.filter(words, _is_none_of(dropped)), " "))
+    full = flat.where(F.col("raw").isNotNull()).select("id", canonical_names(F.col("raw"), lexicon).alias("name")).where(F.col("name") != "").distinct()
+    if not lexicon.droppable:
+        return full
+    full = checkpointed(full)
+    rests = [F.array_join(F.filter(F.split("name", " "), _is_none_of(dropped)), " ") for dropped in lexicon.droppable]
     rest = full.select("id", F.explode(F.array(*rests)).alias("name")).where(F.col("name").contains(" ")).distinct()
     alone = rest.groupBy("name").agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n = 1").select("id", "name")
     return full.unionByName(alone.join(full.select("name"), "name", "left_anti"))
@@ -242,7 +314,7 @@ def _is_none_of(words: frozenset[str]) -> Callable[[Column], Column]:
     return lambda w: ~w.isin(*sorted(words))
 
 
-def match_names(raw: DataFrame, field: str, registry: DataFrame, key: str, name: str, others: list[Column], threshold: float = THRESHOLD, tails: tuple[tuple[str, ...], ...] = TAILS) -> DataFrame:
+def match_names(raw: DataFrame, field: str, registry: DataFrame, key: str, name: str, others: list[Column], threshold: float = THRESHOLD, lexicon: Lexicon = PLAIN) -> DataFrame:
     """Distinct values of `field` with the `matched` entry of the reference list, or `unmatched`.
 
     Null and empty values are unmatched. Of several entries the one with the
@@ -250,13 +322,13 @@ def match_names(raw: DataFrame, field: str, registry: DataFrame, key: str, name:
     both are ambiguous and so unmatched. An empty list matches nothing.
     """
     values = spread(raw.select(F.col(field).alias("raw")).distinct())
-    canon = values.select("raw", canonical_names(F.col("raw"), tails).alias("name")).persist()
-    entries = entry_names(registry, key, name, others, tails).persist()
+    canon = checkpointed(values.select("raw", canonical_names(F.col("raw"), lexicon).alias("name")))
+    entries = checkpointed(entry_names(registry, key, name, others, lexicon))
     names = spread(canon.select("name").where(F.col("name") != "").distinct())
     pairs = similar_pairs(names, entries, threshold)
     checked = pairs.withColumn("slips", _same("name", "entry")).where(F.col("slips") >= 0)
-    by_id = checked.join(F.broadcast(entries.select(F.col("name").alias("entry"), "id")), "entry")
-    best = by_id.groupBy("name").agg(F.min(F.struct("slips", (-F.col("jaccard")).alias("far"), "id")).alias("b"), F.collect_set(F.struct("slips", (-F.col("jaccard")).alias("far"), "id")).alias("all"))
-    tied = F.size(F.filter("all", lambda x: (x["slips"] == F.col("b.slips")) & (x["far"] == F.col("b.far")))) > 1
-    found = best.select("name", F.when(tied, F.lit(UNMATCHED)).otherwise(F.col("b.id")).alias("matched"))
+    by_id = checked.join(entries.select(F.col("name").alias("entry"), "id"), "entry")
+    ties = by_id.groupBy("name", "slips", (-F.col("jaccard")).alias("far")).agg(F.min("id").alias("id"), F.max("id").alias("last"))
+    best = ties.groupBy("name").agg(F.min(F.struct("slips", "far", "id", "last")).alias("b"))
+    found = best.select("name", F.when(F.col("b.id") == F.col("b.last"), F.col("b.id")).otherwise(F.lit(UNMATCHED)).alias("matched"))
     return canon.join(found, "name", "left").select(F.col("raw").alias(field), F.coalesce("matched", F.lit(UNMATCHED)).alias("matched"))

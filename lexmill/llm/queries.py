@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.containment import contained_items
 from lexmill.llm.equivalents import collapse
-from lexmill.llm.matching import TAILS, UNMATCHED, match_names
+from lexmill.llm.matching import UNMATCHED, Lexicon, match_names
 from lexmill.llm.mixing import counted, mix, plan, shares
 from lexmill.llm.mojibake import repaired
 from lexmill.llm.splitting import split_oversized
@@ -48,8 +48,21 @@ def p1_restored(spark: SparkSession, folder: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
-#: The federation's own name may follow that of a federal law.
-FEDERAL_TAILS = (*TAILS, ("ondaria",))
+# What is known of the names of laws. Words without weight, abbreviations, tails of a name, and words of rank and kind.
+_STOP = "a al d de del e el en la las lo los y".split()
+_SHORT_FORMS = {
+    "l": "ley", "gral": "general", "fed": "federal", "org": "organica", "regl": "reglamento", "rgto": "reglamento", "cod": "codigo",
+    "est": "estatuto", "dto": "decreto", "decr": "decreto", "const": "constitucion", "pol": "politica", "nac": "nacional",
+}
+_TAILS = (
+    "segun su ultima reforma", "demas disposiciones aplicables", "adelante ley", "su reglamento", "vigor", "vigente",
+    "antes citado", "antes citada", "recien citado", "recien citada", "citado", "citada", "mencionado", "mencionada", "ondaria",
+)
+_RANKS = "general federal organica marco politica nacional".split()
+_KINDS = "ley codigo reglamento estatuto decreto constitucion acuerdo normativa regimen".split()
+LAW_NAMES = Lexicon(
+    frozenset(_STOP), tuple(_SHORT_FORMS.items()), tuple(tuple(t.split()) for t in _TAILS), (frozenset(_RANKS), frozenset(_RANKS + _KINDS)),
+)
 
 
 def _doubtful(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,13 +72,13 @@ def _doubtful(spark: SparkSession, folder: str) -> DataFrame:
 def p2_names(spark: SparkSession, folder: str) -> DataFrame:
     """Distinct raw names of doubtful citations with the law each names, or `unmatched`."""
     others = [F.array("short"), F.col("aliases")]
-    return match_names(_doubtful(spark, folder), "target_law_raw", table(spark, folder, "law_registry"), "law_id", "name", others, tails=FEDERAL_TAILS)
+    return match_names(_doubtful(spark, folder), "target_law_raw", table(spark, folder, "law_registry"), "law_id", "name", others, lexicon=LAW_NAMES)
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Doubtful citations with the law each names, or `unmatched`."""
     named = p2_names(spark, folder).where(F.col("matched") != UNMATCHED)
-    cited = _doubtful(spark, folder).select("citation_id", "target_law_raw").distinct()
+    cited = _doubtful(spark, folder).select("citation_id", "target_law_raw")
     return cited.join(named, "target_law_raw", "left").select("citation_id", F.coalesce("matched", F.lit(UNMATCHED)).alias("law_id")).distinct()
 
 

@@ -1,6 +1,7 @@
 import random
 
 from lexmill.llm.matching import _grams, canonical, match_names, same_name, similar_pairs, slips
+from lexmill.llm.queries import LAW_NAMES
 from pyspark.sql import functions as F
 
 REGISTRY = [
@@ -22,7 +23,7 @@ def registry(spark, rows=REGISTRY):
 
 def run(spark, names, rows=REGISTRY):
     df = spark.createDataFrame([(n, "x", "y") for n in names], "raw_name string, name string, matched string")
-    return {r.raw_name: r.matched for r in match_names(df, "raw_name", registry(spark, rows), "law_id", "name", [F.array("short"), F.col("aliases")]).collect()}
+    return {r.raw_name: r.matched for r in match_names(df, "raw_name", registry(spark, rows), "law_id", "name", [F.array("short"), F.col("aliases")], lexicon=LAW_NAMES).collect()}
 
 
 def test_names(spark):
@@ -43,8 +44,8 @@ def test_join_as_brute_force(spark):
     for threshold in (0.4, 0.8):
         wanted = {(a, b): len(_grams(a) & _grams(b)) / len(_grams(a) | _grams(b)) for a in names for b in entries}
         wanted = {k: round(v, 9) for k, v in wanted.items() if v >= threshold - 1e-9}
-        for most in (0, 10**6):
-            rows = similar_pairs(frame(names), frame(entries), threshold, most).collect()
+        for most, per_token in ((0, 10**6), (0, 5), (10**6, 10**6)):
+            rows = similar_pairs(frame(names), frame(entries), threshold, most, per_token).collect()
             assert len(rows) == len(wanted) and {(r.name, r.entry): round(r.jaccard, 9) for r in rows} == wanted
 
 
@@ -52,3 +53,9 @@ def test_slips():
     assert (slips("faros", "farso", 2), slips("faros", "faro", 2), slips("a", "abcd", 2), slips("federal", "general", 2)) == (1, 1, 3, 2)
     assert same_name("ley faros fluviales", "ley fluviales farso") == 1 and same_name("ley federal faros", "ley general faros") == -1
     assert same_name("ley faros", "ley faros fluviales") == -1 and canonical("L.F.M.C.") == "lfmc" and canonical(None) == ""
+
+
+def test_without_a_lexicon(spark):
+    df = spark.createDataFrame([("ley general de veredas territoriales",), ("L. Gral. de Veredas Territoriales",)], "raw_name string")
+    got = {r.raw_name: r.matched for r in match_names(df, "raw_name", registry(spark), "law_id", "name", []).collect()}
+    assert got == {"ley general de veredas territoriales": "l1", "L. Gral. de Veredas Territoriales": "unmatched"}
