@@ -194,31 +194,34 @@ def repair(text: str, prose: bool = True) -> tuple[str, int, bool]:
 
 
 @lru_cache(maxsize=4096)
-def _repair_cached(text: str) -> tuple[str, int, bool]:
-    return repair(text)
+def _repair_cached(text: str, prose: bool) -> tuple[str, int, bool]:
+    return repair(text, prose)
 
 
 _RESULT = T.StructType([T.StructField("restored", T.StringType()), T.StructField("garbled_places", T.IntegerType()), T.StructField("is_restored", T.BooleanType())])
 
 
-@arrow_udf(_RESULT)
-def _repair_all(values: pa.Array) -> pa.Array:
-    out = [(None, 0, True) if t is None else repair(t) if len(t) > 2000 else _repair_cached(t) for t in values.to_pylist()]
-    columns = list(zip(*out, strict=True)) or [(), (), ()]
-    return pa.StructArray.from_arrays(
-        [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.bool_())], ["restored", "garbled_places", "is_restored"]
-    )
+def _repair_all(prose: bool):
+    @arrow_udf(_RESULT)
+    def run(values: pa.Array) -> pa.Array:
+        out = [(None, 0, True) if t is None else repair(t, prose) if len(t) > 2000 else _repair_cached(t, prose) for t in values.to_pylist()]
+        columns = list(zip(*out, strict=True)) or [(), (), ()]
+        return pa.StructArray.from_arrays(
+            [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.bool_())], ["restored", "garbled_places", "is_restored"]
+        )
 
+    #: Not to be evaluated again where a filter on its result is moved below it.
+    return run.asNondeterministic()
 
-#: Not to be evaluated again where a filter on its result is moved below it.
-_repair_all = _repair_all.asNondeterministic()
 
+_REPAIRS = {prose: _repair_all(prose) for prose in (True, False)}
 
-def repaired(column: Column) -> Column:
-    """Struct (restored, garbled_places, is_restored) of a string column.
+
+def repaired(column: Column, prose: bool = True) -> Column:
+    """Struct (restored, garbled_places, is_restored) of a string column; names aren't `prose`.
 
     Null gives a null text with no place; text without a suspect character is
     returned as it is and never leaves the JVM.
     """
     untouched = F.struct(column.alias("restored"), F.lit(0).alias("garbled_places"), F.lit(True).alias("is_restored"))
-    return F.when(column.rlike(SUSPECT), _repair_all(F.when(column.rlike(SUSPECT), column))).otherwise(untouched)
+    return F.when(column.rlike(SUSPECT), _REPAIRS[prose](F.when(column.rlike(SUSPECT), column))).otherwise(untouched)

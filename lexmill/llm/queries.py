@@ -90,10 +90,10 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_unified(spark: SparkSession, folder: str) -> DataFrame:
-    """All texts of problem 6 in one form."""
+    """All texts of problem 6 as they were meant, in one form."""
     fields = zip(MIXED_FIELDS, _fields(spark, folder, MIXED_FIELDS), strict=True)
-    meant = lambda name: repaired(F.col("text")).restored if name == "laws" else F.col("text")
-    parts = [df.select("table_name", "record_id", unified(meant(name)).alias("text")) for (name, *_), df in fields]
+    meant = [df.select("table_name", "record_id", repaired(F.col("text"), prose=name == "laws").restored.alias("text")) for (name, *_), df in fields]
+    parts = [df.select("table_name", "record_id", unified(F.col("text")).alias("text")) for df in meant]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -1,8 +1,8 @@
 """Visually identical text in one form: a longest-match transducer over grapheme clusters.
 
-The mapping is precomputed from rules and short fixed lists, checked for
-conflicts once, and compiled into one alternation that a single pass applies.
-Text that holds none of its input characters (found by a JVM pattern) never
+The mapping is precomputed from rules and short fixed lists and checked for
+conflicts once, compositions included. One pass goes over the words that hold an input character, cluster by
+cluster; what lies between them is copied. Text that holds none of the inputs (found by a JVM pattern) never
 reaches Python.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import unicodedata
 from functools import lru_cache
+from itertools import permutations
 
 import pyarrow as pa
 import regex
@@ -45,8 +46,12 @@ SUSPECT = (
 )
 
 
-def _build() -> dict[str, str]:
-    """Inputs to outputs, without the look-alikes, which depend on the word around them."""
+#: Blocks whose letters are composed of a base and marks: Latin, Greek and Cyrillic.
+COMPOSED_BLOCKS = ((0x00C0, 0x052F), (0x1E00, 0x1FFF))
+
+
+def single_rules() -> dict[str, str]:
+    """Outputs of single characters, without the look-alikes, which depend on the word around them."""
     table = {c: "" for c in INVISIBLE} | {c: " " for c in SPACES}
     for low, high in COMPATIBLE:
         for c in map(chr, range(low, high + 1)):
@@ -57,42 +62,106 @@ def _build() -> dict[str, str]:
     return table
 
 
-def check_mapping(table: dict[str, str]) -> None:
-    """Raise if an output holds an input, so that a second pass would change the text again."""
-    inputs = set("".join(table))
-    for source, target in table.items():
-        if bad := inputs & set(target):
-            raise ValueError(f"{source!r} gives {target!r}, which holds the input {bad}")
-
+def composition_rules() -> dict[str, str]:
+    """Composed letters by the sequences that stand for them: a base with its marks in any order that doesn't change what is seen."""
+    table: dict[str, str] = {}
+    for low, high in COMPOSED_BLOCKS:
+        for c in map(chr, range(low, high + 1)):
+            base, *marks = unicodedata.normalize("NFD", c)
+            if marks and unicodedata.normalize("NFC", c) == c and all(unicodedata.combining(m) for m in marks):
+                for order in permutations(marks):
+                    if unicodedata.normalize("NFC", base + "".join(order)) == c:
+                        table[base + "".join(order)] = c
+    return table
 
-TABLE = _build()
-check_mapping(TABLE | LOOKALIKES)
 
-_INV = INVISIBLE
-#: A word may carry marks and invisible characters inside; else single inputs. Longest match first.
-_UNIT = regex.compile(rf"(?:\p{{L}}[\p{{M}}{_INV}]*)+|[{_INV}{SPACES}]|\p{{M}}+|[\uFF01-\uFF5E\U0001D400-\U0001D7FFⅠ-ⅿ]")
-_SINGLE = str.maketrans(TABLE)
-_ALIKE = str.maketrans(LOOKALIKES)
-_LATIN = regex.compile(r"\p{Latin}")
-_OTHER = regex.compile(r"[\p{Cyrillic}\p{Greek}\p{Armenian}ıɑɡ]")
-_FOREIGN_ONLY = regex.compile(r"[^\p{Latin}]+")
+def check_mapping(singles: dict[str, str], composed: dict[str, str] | None = None) -> None:
+    """Raise if a second pass could change the text again: an output that holds an input, or that makes one with what follows it."""
+    inputs = set("".join(singles))
+    for source, target in singles.items():
+        if bad := inputs & set(target):
+            raise ValueError(f"{source!r} gives {target!r}, which holds the input {bad}")
+    for source, target in (composed or {}).items():
+        if target in inputs or target in composed:
+            raise ValueError(f"{source!r} gives {target!r}, which is an input")
+        if inputs & set(source):
+            raise ValueError(f"{source!r} is composed, and holds an input")
 
 
-def _unit(word: str) -> str:
-    plain = word.translate(_SINGLE)
-    if plain and _OTHER.search(plain) and _LATIN.search(plain):
-        plain = plain.translate(_ALIKE)
-    return unicodedata.normalize("NFC", plain) if not plain.isascii() else plain
+class Transducer:
+    """The mapping as a machine over grapheme clusters: what a cluster gives is worked out when it first comes, and is a look-up after that.
 
+    A cluster has two outputs, of which its word takes one: as it stands, and with
+    look-alikes as Latin letters. Within a cluster the longest sequence that composes wins.
+    """
 
-@lru_cache(maxsize=200_000)
-def _cached(word: str) -> str:
-    return _unit(word)
+    def __init__(self, singles: dict[str, str], composed: dict[str, str], lookalikes: dict[str, str], kept: int = 100_000):
+        check_mapping(singles | lookalikes, {k: v for k, v in composed.items() if not set(k) & set(lookalikes)})
+        self._singles, self._alike = str.maketrans(singles), str.maketrans(lookalikes)
+        self._composed, self._longest = composed, max(map(len, composed))
+        self._outputs: dict[str, tuple[str, str, bool, bool]] = {}
+        self._kept = kept
+
+    def _compose(self, text: str) -> str:
+        parts, at = [], 0
+        while at < len(text):
+            for n in range(min(self._longest, len(text) - at), 1, -1):
+                if (one := self._composed.get(text[at : at + n])) is not None:
+                    break
+            else:
+                n, one = 1, text[at]
+            parts.append(one)
+            at += n
+        return "".join(parts)
+
+    def _output(self, cluster: str) -> tuple[str, str, bool, bool]:
+        plain = cluster.translate(self._singles)
+        if not plain.isascii():
+            apart = unicodedata.normalize("NFD", plain)
+            # other scripts compose by the same rule, without a table of their own
+            plain, alike = (unicodedata.normalize("NFC", self._compose(x)) for x in (apart, apart.translate(self._alike)))
+        else:
+            alike = plain
+        out = plain, alike, _LATIN.search(plain) is not None, _OTHER.search(plain) is not None
+        if len(self._outputs) < self._kept and len(cluster) < 9:
+            self._outputs[cluster] = out
+        return out
+
+    def word(self, text: str) -> str:
+        found = [self._outputs.get(c) or self._output(c) for c in _CLUSTER.findall(text)]
+        alike = any(x[2] for x in found) and any(x[3] for x in found)
+        return "".join([x[alike] for x in found])
+
+    def __call__(self, text: str) -> str:
+        parts, at = [], 0
+        for m in _INPUT.finditer(text):
+            start = m.start()
+            if start < at:
+                continue
+            end = start + 1
+            if _in_word(text[start]):
+                while start > at and _in_word(text[start - 1]):
+                    start -= 1
+                while end < len(text) and _in_word(text[end]):
+                    end += 1
+            parts += [text[at:start], self.word(text[start:end])]
+            at = end
+        return "".join([*parts, text[at:]])
+
+
+@lru_cache(maxsize=10_000)
+def _in_word(c: str) -> bool:
+    """Letters, what becomes letters, and what may stand inside a word."""
+    return c.isalpha() or c in INVISIBLE or unicodedata.category(c)[0] == "M" or TABLE.get(c, "").isalpha()
 
 
-def unify(text: str) -> str:
-    """`text` with widths, accents, spaces and look-alikes in one form; a word wholly in another script stays."""
-    return _UNIT.sub(lambda m: _cached(w) if len(w := m[0]) < 40 else _unit(w), text)
+_LATIN = regex.compile(r"\p{Latin}")
+_OTHER = regex.compile(r"[\p{Cyrillic}\p{Greek}\p{Armenian}ıɑɡ]")
+#: A grapheme cluster, with marks that an invisible character keeps from it.
+_CLUSTER = regex.compile(rf"\X(?:[{INVISIBLE}]+\p{{M}}+)*")
+_INPUT = regex.compile(SUSPECT.replace(r"\x{1D400}-\x{1D7FF}", "\U0001D400-\U0001D7FF"))
+TABLE = single_rules()
+unify = Transducer(TABLE, composition_rules(), LOOKALIKES)
 
 
 def _texts(values: pa.Array) -> list[str | None]:

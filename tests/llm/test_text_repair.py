@@ -1,7 +1,9 @@
+import random
+
 import pytest
 
 from lexmill.llm.mojibake import repair, repaired
-from lexmill.llm.unify import LOOKALIKES, TABLE, check_mapping, is_mixed, unified, unify
+from lexmill.llm.unify import LOOKALIKES, TABLE, check_mapping, composition_rules, is_mixed, unified, unify
 from pyspark.sql import functions as F
 
 PLAIN = "La comisión pública revisará según el artículo 12 — «ñandú» de 40°, año ÁÉÍÓÚ."
@@ -105,6 +107,36 @@ def test_mapping_has_no_conflict():
         check_mapping({"a": "b", "b": "c"})
 
 
+COMBINED = [
+    ("\uFF41\u0301", "á"), ("a\u200B\u0301", "á"), ("\uFF2E\u0303and\u00ADu\u0301", "Ñandú"), ("o\u0302\u0301", "ố"), ("e\u0301\u0327", "ȩ́"), ("е\u0301l", "él"), ("и\u0306", "й"), ("q\u0301", "q\u0301"),
+    ("\u0301abc", "\u0301abc"), ("x" * 100_000 + "\u0301", "x" * 100_000 + "\u0301"), ("граница\u200B", "граница"),
+]
+
+
+@pytest.mark.parametrize("text, wanted", COMBINED)
+def test_compositions(text, wanted):
+    assert unify(text) == wanted and unify(wanted) == wanted
+
+
+def test_one_pass_is_enough():
+    """Random clusters of inputs, marks and look-alikes: a second pass never changes anything, and plain text stays."""
+    rng = random.Random(8)
+    parts = [*TABLE, *LOOKALIKES, *"\u0301\u0302\u0303\u0308\u0327", *"aeiouncAEN á ñ.,-", "я", "λ"]
+    for _ in range(5000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 12)))
+        once = unify(text)
+        assert unify(once) == once
+        assert not set(once) & set(TABLE)
+
+
+def test_compositions_are_checked():
+    assert composition_rules()["a\u0301"] == "á"
+    with pytest.raises(ValueError):
+        check_mapping({"á": "a"}, {"a\u0301": "á"})
+    with pytest.raises(ValueError):
+        check_mapping({}, {"a\u0301": "á", "á": "b"})
+
+
 def test_unify_columns(spark):
     rows = [(1, None), (2, ""), (3, "\uFF2C\uFF45\uFF59"), (3, "\uFF2C\uFF45\uFF59"), (4, "a\u00A0" * 50_000), (5, "artÃ\u00ADculo"), (6, "Ley")]
     df = spark.createDataFrame(rows, "id int, text string")
