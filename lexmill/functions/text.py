@@ -11,7 +11,7 @@ from lexmill.functions import patterns as P
 
 # Garbled pairs that the clean-up replaces, in this order (later ones only see what earlier ones left).
 GARBLED_PAIRS = [
-    ("Ã¡", "á"), ("Ã©", "é"), ("Ã\xad", "í"), ("Ã³", "ó"), ("Ãº", "ú"), ("Ã±", "ñ"), ("Ã¼", "ü"), ("Ã\xa0", "Á"), ("Ã‰", "É"),
+    ("Ã¡", "á"), ("Ã©", "é"), ("Ã\xad", "í"), ("Ã³", "ó"), ("Ãº", "ú"), ("Ã±", "ñ"), ("Ã¼", "ü"), ("Ã ", "Á"), ("Ã‰", "É"),
     ("Ã\x8d", "Í"), ("Ã“", "Ó"), ("Ãš", "Ú"), ("Ã‘", "Ñ"), ("Ãœ", "Ü"), ("Â¿", "¿"), ("Â¡", "¡"), ("Â°", "°"), ("Ã\x81", "Á"),
 ]
 ACCENTED, PLAIN = "áàäéèëíìïóòöúùüñ", "aaaeeeiiiooouuun"

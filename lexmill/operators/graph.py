@@ -1,27 +1,29 @@
 """Graphs from citations, and measures on graphs given as edges (src, dst[, weight]).
 
-Iterations are DataFrame steps with reliable checkpoints; only algorithms that
-need a whole graph in one place (betweenness per source, Louvain) send the
-edges to the executors, behind a check of their number.
+An aggregated graph is often small whatever the texts it comes from: up to a
+checked number of edges its iterative measures are worked out by tasks that
+hold it whole (see whole_graph). Beyond that they are DataFrame steps with
+reliable checkpoints. Either way the result is whole: a loop that doesn't come
+to its end within its steps raises.
 """
 
 from __future__ import annotations
 
-import heapq
-from collections import defaultdict, deque
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import confidence_rank
+from lexmill.operators import whole_graph as whole
 from lexmill.session import checkpointed
 
 UNKNOWN = "?"
-#: Edges that may travel to every executor: 16 bytes each.
-MOST_BROADCAST_EDGES = 5_000_000
+#: Edges of a graph that a task may hold whole: 16 bytes each, and the ids once.
+MOST_LOCAL_EDGES = 5_000_000
+#: Edges that are worth a task of their own where a measure goes by source.
+EDGES_PER_SHARE = 2_000
 CHECKPOINT_EVERY = 5
+#: Sources whose reach is followed at once beyond MOST_LOCAL_EDGES, 64 in each number.
+WORDS = 8
 
 
 def edge_aggregation(citations: DataFrame, least_rank: int = 2) -> DataFrame:
@@ -111,16 +113,50 @@ def mutual_evidence(pairs: DataFrame, citations: DataFrame, best: int = 3) -> Da
     return top.select("src", "dst", "rank", "citation_id", "confidence")
 
 
-def pagerank(edges: DataFrame, vertices: DataFrame | None = None, weighted: bool = False, alpha: float = 0.85, iterations: int | None = None, tolerance: float = 1e-6, most: int = 1000) -> DataFrame:
+def _slim(edges: DataFrame) -> DataFrame:
+    """The edges once in the checkpoint folder, with nothing but ends and weight."""
+    return checkpointed(edges.select("src", "dst", *(["weight"] if "weight" in edges.columns else [])))
+
+
+def _kind(edges: DataFrame) -> str:
+    return edges.schema["src"].dataType.simpleString()
+
+
+def _shares(edges: DataFrame, count: int) -> int:
+    return max(1, min(edges.sparkSession.sparkContext.defaultParallelism, 64, count // EDGES_PER_SHARE))
+
+
+def pagerank(
+    edges: DataFrame, vertices: DataFrame | None = None, weighted: bool = False, alpha: float = 0.85, iterations: int | None = None, tolerance: float = 1e-6, most: int = 5000,
+    most_local: int = MOST_LOCAL_EDGES,
+) -> DataFrame:
     """PageRank of all vertices; dangling mass is spread evenly. With `iterations` that many steps, else until the change is under n * tolerance."""
+    e = _slim(edges)
+    count = e.count()
+    apart = vertices.select("id").distinct().join(vertices_of(e), "id", "left_anti") if vertices is not None else e.select(F.col("src").alias("id")).limit(0)
+    if not count:
+        return apart.select("id", (1.0 / F.count("*").over(Window.partitionBy(F.lit(0)))).alias("pagerank")) if vertices is not None else apart.withColumn("pagerank", F.lit(0.0))
+    if count <= most_local:
+        also = apart.count()
+
+        def run(g: whole.Graph, shares: set[int], parts: int):
+            ranks = whole.pagerank(g, weighted, alpha, iterations, tolerance, most, also)
+            g.ids = [*g.ids, None]  # the last rank is that of a node apart
+            yield g.rows(pagerank=ranks)
+
+        ranks = whole.on_graph(e, run, f"id {_kind(e)}, pagerank double")
+        own = ranks.where("id is not null")
+        return own.unionByName(apart.crossJoin(F.broadcast(ranks.where("id is null").select("pagerank")))) if also else own  # one row
+    return _pagerank_steps(e, apart, weighted, alpha, iterations, tolerance, most)
+
+
+def _pagerank_steps(edges: DataFrame, apart: DataFrame, weighted: bool, alpha: float, iterations: int | None, tolerance: float, most: int) -> DataFrame:
     weight = F.col("weight").cast("double") if weighted else F.lit(1.0)
     e = edges.groupBy("src", "dst").agg(F.sum(weight).alias("w") if weighted else F.lit(1.0).alias("w"))
-    e = e.withColumn("p", F.col("w") / F.sum("w").over(Window.partitionBy("src"))).select("src", "dst", "p")
-    e = checkpointed(e)
-    nodes = checkpointed((vertices.select("id").distinct() if vertices is not None else vertices_of(edges)).join(e.select(F.col("src").alias("id")).distinct().withColumn("gives", F.lit(True)), "id", "left"))
+    out = e.groupBy("src").agg(F.sum("w").alias("out"))
+    e = checkpointed(e.join(out, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("p")))
+    nodes = checkpointed(vertices_of(edges).unionByName(apart).join(e.select(F.col("src").alias("id")).distinct().withColumn("gives", F.lit(True)), "id", "left"))
     n = nodes.count()
-    if not n:
-        return nodes.select("id", F.lit(0.0).alias("pagerank"))
     ranks = nodes.select("id", "gives", F.lit(1.0 / n).alias("r"))
     for step in range(1, (iterations or most) + 1):
         lost = ranks.where("gives is null").agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("lost"))
@@ -135,17 +171,27 @@ def pagerank(edges: DataFrame, vertices: DataFrame | None = None, weighted: bool
                 break
         else:
             ranks = checkpointed(new) if step % CHECKPOINT_EVERY == 0 else new
+    else:
+        if iterations is None:
+            raise ArithmeticError(f"ranks still change after {most} steps")
     return ranks.select("id", F.col("r").alias("pagerank"))
 
 
-def hits(edges: DataFrame, iterations: int | None = 20, tolerance: float = 1e-8, most: int = 1000) -> DataFrame:
-    """Hubs and authorities, each summing to 1, from a uniform start; uniform where a graph has no edges.
+def hits(edges: DataFrame, iterations: int | None = 20, tolerance: float = 1e-8, most: int = 5000, most_local: int = MOST_LOCAL_EDGES) -> DataFrame:
+    """Hubs and authorities, each summing to 1, from a uniform start.
 
     With `iterations` that many steps, else until the hubs change by less than `tolerance` in all.
     """
     e = checkpointed(edges.select("src", "dst").distinct())
+    if e.count() <= most_local:
+
+        def run(g: whole.Graph, shares: set[int], parts: int):
+            hub, authority = whole.hits(g, iterations, tolerance, most)
+            yield g.rows(hub=hub, authority=authority)
+
+        return whole.on_graph(e, run, f"id {_kind(e)}, hub double, authority double")
     nodes = checkpointed(vertices_of(e))
-    n = max(nodes.count(), 1)
+    n = nodes.count()
     hub = nodes.select("id", F.lit(1.0 / n).alias("hub"))
     share = lambda df, c: df.crossJoin(F.broadcast(df.agg(F.sum(c).alias("t")))).select("id", (F.col(c) / F.col("t")).alias(c))
     for step in range(1, (iterations or most) + 1):
@@ -159,6 +205,9 @@ def hits(edges: DataFrame, iterations: int | None = 20, tolerance: float = 1e-8,
                 break
         elif step % 2 == 0:
             hub = checkpointed(hub)
+    else:
+        if iterations is None:
+            raise ArithmeticError(f"hubs still change after {most} steps")
     authority = share(e.join(hub, e["src"] == hub["id"]).groupBy(F.col("dst").alias("id")).agg(F.sum("hub").alias("authority")), "authority")
     return nodes.join(hub, "id", "left").join(authority, "id", "left").fillna(0.0)
 
@@ -182,11 +231,11 @@ def clustering(edges: DataFrame) -> DataFrame:
     return degree.join(triangles, "id", "left").fillna(0, ["triangles"]).withColumn("clustering", c)
 
 
-def reachability(edges: DataFrame, most: int = 10_000) -> DataFrame:
+def reachability(edges: DataFrame, most: int = 100) -> DataFrame:
     """Pairs (id, reached) of nodes and the nodes they reach by one edge or more; a node on a cycle reaches itself.
 
     Path lengths double with each step, so a path of k edges takes log2(k) joins. The
-    result can have as many pairs as nodes squared; condense components first where they are large.
+    result has as many pairs as it names, up to nodes squared: cascade_scores counts without it.
     """
     found = checkpointed(edges.select(F.col("src").alias("id"), F.col("dst").alias("reached")).distinct())
     count = found.count()
@@ -196,223 +245,285 @@ def reachability(edges: DataFrame, most: int = 10_000) -> DataFrame:
         if (n := new.count()) == count:
             return new
         found, count = new, n
-    return found
+    raise ArithmeticError(f"paths still grow after {most} doublings")
 
 
-def cascade_scores(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
+def cascade_scores(edges: DataFrame, vertices: DataFrame | None = None, most_local: int = MOST_LOCAL_EDGES, words: int = WORDS) -> DataFrame:
     """Number of other nodes from which each node can be reached, itself not counted; nodes that nothing reaches have 0.
 
-    All nodes of a strongly connected component have the same answer, so reachability is only worked out
-    between components, whose sizes are then summed.
+    No pair is ever written: which sources of a block reach a node are bits of a few numbers, and only their count is kept.
     """
-    nodes = vertices.select("id").distinct() if vertices is not None else vertices_of(edges)
+    e = _slim(edges)
+    count = e.count()
+    if count <= most_local:
+
+        def run(g: whole.Graph, shares: set[int], parts: int):
+            yield g.rows(reached=whole.cascades(g, shares, parts))
+
+        parts = whole.on_graph(e, run, f"id {_kind(e)}, reached long", _shares(e, count // 50))
+        found = parts.groupBy("id").agg((F.sum("reached") - 1).alias("cascade"))
+    else:
+        found = _cascades_by_blocks(e, words)
+    return found if vertices is None else vertices.select("id").distinct().join(found, "id", "left").fillna(0, ["cascade"])
+
+
+def _cascades_by_blocks(edges: DataFrame, words: int) -> DataFrame:
+    """The same for graphs of any size: for a block of sources at a time, bits are joined along the edges between components until nothing changes."""
     parts = checkpointed(components(edges))
-    sizes = parts.groupBy("component").agg(F.count("*").alias("size"))
-    ends = edges.join(parts.select(F.col("id").alias("src"), F.col("component").alias("a")), "src").join(parts.select(F.col("id").alias("dst"), F.col("component").alias("b")), "dst")
-    between = reachability(ends.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    above = between.join(sizes, between["id"] == sizes["component"]).groupBy(F.col("reached").alias("component")).agg(F.sum("size").alias("above"))
-    whole = sizes.join(above, "component", "left").select("component", (F.coalesce("above", F.lit(0)) + F.col("size") - 1).alias("cascade"))
-    return nodes.join(parts.join(whole, "component").select("id", "cascade"), "id", "left").fillna(0, ["cascade"])
+    side = lambda end, name: parts.select(F.col("id").alias(end), F.col("component").alias(name))
+    between = edges.join(side("src", "a"), "src").join(side("dst", "b"), "dst").where("a <> b").select("a", "b").distinct()
+    between = checkpointed(between)
+    blocks = max(1, -(-parts.count() // (64 * words)))
+    # even blocks by the hash of the id, and within a block each source a bit of its own by rank
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    placed = parts.withColumn("block", block).withColumn("bit", F.row_number().over(Window.partitionBy("block").orderBy("id")) - 1)
+    placed = checkpointed(placed.withColumn("slice", F.floor(F.col("bit") / (64 * words)).cast("int")).withColumn("bit", F.col("bit") % (64 * words)))
+    total = None
+    names = [f"w{i}" for i in range(words)]
+    for b, s in [tuple(r) for r in placed.select("block", "slice").distinct().orderBy("block", "slice").collect()]:  # a row for 64 * words sources
+        own = placed.where((F.col("block") == b) & (F.col("slice") == s))
+        mine = [F.bit_or(F.when(F.floor(F.col("bit") / 64) == i, F.expr("shiftleft(1L, cast(bit % 64 as int))")).otherwise(F.lit(0).cast("long"))).alias(n) for i, n in enumerate(names)]
+        state = checkpointed(own.groupBy("component").agg(*mine))
+        front = state
+        while front.limit(1).count():
+            pushed = between.join(front, between["a"] == front["component"]).groupBy("b").agg(*[F.bit_or(n).alias(f"p_{n}") for n in names])
+            merged = state.join(pushed.withColumnRenamed("b", "component"), "component", "full")
+            joined = [F.coalesce(F.col(n), F.lit(0).cast("long")).bitwiseOR(F.coalesce(F.col(f"p_{n}"), F.lit(0).cast("long"))).alias(n) for n in names]
+            changed = F.lit(False)
+            for n in names:
+                changed = changed | (F.coalesce(F.col(f"p_{n}"), F.lit(0).cast("long")).bitwiseAND(F.bitwise_not(F.coalesce(F.col(n), F.lit(0).cast("long")))) != 0)
+            new = checkpointed(merged.select("component", *joined, changed.alias("changed")))
+            state, front = new.select("component", *names), new.where("changed").select("component", *names)
+        reached = sum((F.bit_count(n).cast("long") for n in names), F.lit(0).cast("long"))
+        counts = state.select("component", reached.alias("reached"))
+        total = counts if total is None else total.unionByName(counts)
+        total = checkpointed(total.groupBy("component").agg(F.sum("reached").alias("reached")))
+    return parts.join(total, "component").select("id", (F.col("reached") - 1).alias("cascade"))
 
 
 def cascade_top(edges: DataFrame, top: int = 30, samples: int = 5) -> DataFrame:
     """The nodes with the largest cascades, their direct dependents and the first of these by id."""
-    scores = cascade_scores(edges).orderBy(F.desc("cascade"), "id").limit(top)
-    direct = edges.where("src <> dst").select("src", F.col("dst").alias("id")).distinct().join(F.broadcast(scores.select("id")), "id")
-    ranked = direct.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("src")))
-    by = ranked.groupBy("id").agg(F.count("*").alias("direct"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("n") <= samples, F.col("src")))), ", ").alias("samples"))
-    return scores.join(by, "id", "left")
+    scores = checkpointed(cascade_scores(edges).orderBy(F.desc("cascade"), "id").limit(top))
+    direct = edges.where("src <> dst").select("src", F.col("dst").alias("id")).distinct().join(F.broadcast(scores.select("id")), "id")  # `top` rows
+    counts = direct.groupBy("id").agg(F.count("*").alias("direct"))
+    # a limit per group is kept in each task before the shuffle
+    first = direct.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("src"))).where(F.col("n") <= samples)
+    named = first.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("src")), ", ").alias("samples"))
+    return scores.join(counts, "id", "left").join(named, "id", "left").select("id", "cascade", "direct", "samples")
 
 
-def components(edges: DataFrame, most: int = 10_000) -> DataFrame:
+def components(edges: DataFrame, most: int = 10_000, most_local: int = MOST_LOCAL_EDGES) -> DataFrame:
     """Strongly connected component of each node, named by its smallest node.
 
-    Colouring: the smallest id that reaches a node is its colour; the nodes of that colour
-    that reach the smallest node back are its component. They are taken out, and the rest goes on.
+    Up to `most_local` edges in one pass. Beyond, nodes that nothing enters or leaves are taken off while that takes a good part
+    of them; then by colouring: the smallest id that reaches a node is its colour, the nodes of that colour
+    that reach the smallest node back are its component. They are taken out, edges between colours are dropped, and as soon as the rest is small it is done in one pass.
     """
     nodes = checkpointed(vertices_of(edges))
     e = checkpointed(edges.where("src <> dst").select("src", "dst").distinct())
-    done = None
-    for _ in range(most):
+    done = nodes.select("id", F.col("id").alias("component")).limit(0)
+    steps = 0
+
+    def step() -> None:
+        nonlocal steps
+        steps += 1
+        if steps > most:
+            raise ArithmeticError(f"components aren't complete after {most} steps")
+
+    def within(e: DataFrame, nodes: DataFrame) -> DataFrame:
+        return checkpointed(e.join(nodes.withColumnRenamed("id", "src"), "src", "left_semi").join(nodes.withColumnRenamed("id", "dst"), "dst", "left_semi"))
+
+    while True:
+        if e.count() <= most_local:
+            kind = _kind(e)
+
+            def run(g: whole.Graph, shares: set[int], parts: int):
+                names = whole.components(g)
+                g_names = [g.ids[i] for i in names.tolist()]
+                yield whole.pa.RecordBatch.from_arrays([whole.pa.array(g.ids, g.kind), whole.pa.array(g_names, g.kind)], ["id", "component"])
+
+            found = checkpointed(whole.on_graph(e, run, f"id {kind}, component {kind}"))
+            alone = nodes.join(found.select("id"), "id", "left_anti").select("id", F.col("id").alias("component"))
+            return done.unionByName(found).unionByName(alone)
+        count, left = None, nodes.count()
+        while count is None or left < 0.9 * count:
+            step()
+            count = left
+            inner = checkpointed(e.select(F.col("src").alias("id")).distinct().intersect(e.select(F.col("dst").alias("id")).distinct()))
+            done = checkpointed(done.unionByName(nodes.join(inner, "id", "left_anti").select("id", F.col("id").alias("component"))))
+            nodes, e = inner, within(e, inner)
+            left = nodes.count()
+        if not left:
+            return done
+        if e.count() <= most_local and most_local:
+            continue
         colour = nodes.withColumn("c", F.col("id"))
         while True:
+            step()
             pushed = e.join(colour, e["src"] == colour["id"]).groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("p"))
             new = checkpointed(colour.join(pushed, "id", "left").select("id", F.least("c", F.coalesce("p", "c")).alias("c"), (F.col("p") < F.col("c")).alias("moved")))
+            colour = new.select("id", "c")
             if not new.where("moved").limit(1).count():
                 break
-            colour = new.select("id", "c")
-        colour = checkpointed(new.select("id", "c"))
-        inner = e.join(colour.select(F.col("id").alias("src"), F.col("c").alias("cs")), "src").join(colour.select(F.col("id").alias("dst"), F.col("c").alias("cd")), "dst").where("cs = cd").select("src", "dst")
-        inner = checkpointed(inner)
-        back = colour.where("id = c").select("id", "c")
-        edge_of = back
+        side = lambda end, name, colour=colour: colour.select(F.col("id").alias(end), F.col("c").alias(name))
+        e = checkpointed(e.join(side("src", "cs"), "src").join(side("dst", "cd"), "dst").where("cs = cd").select("src", "dst"))
+        back = front = checkpointed(colour.where("id = c").select("id", "c"))
         while True:
-            step = inner.join(edge_of, inner["dst"] == edge_of["id"]).select(F.col("src").alias("id"), "c").distinct().join(back, "id", "left_anti")
-            step = checkpointed(step)
-            if not step.limit(1).count():
+            step()
+            front = checkpointed(e.join(front, e["dst"] == front["id"]).select(F.col("src").alias("id"), "c").distinct().join(back, "id", "left_anti"))
+            if not front.limit(1).count():
                 break
-            back, edge_of = checkpointed(back.unionByName(step)), step
-        own = back.select("id", F.col("c").alias("component"))
-        done = own if done is None else checkpointed(done.unionByName(own))
-        nodes = checkpointed(nodes.join(own, "id", "left_anti"))
+            back = checkpointed(back.unionByName(front))
+        done = checkpointed(done.unionByName(back.select("id", F.col("c").alias("component"))))
+        nodes = checkpointed(nodes.join(back, "id", "left_anti"))
         if not nodes.limit(1).count():
             return done
-        e = checkpointed(e.join(nodes.withColumnRenamed("id", "src"), "src", "left_semi").join(nodes.withColumnRenamed("id", "dst"), "dst", "left_semi"))
-    return done
-
-
-def _checked(edges: DataFrame, columns: list[str], most: int = MOST_BROADCAST_EDGES) -> pd.DataFrame:
-    """The edges on the driver, after a check that they are within `most`."""
-    n = edges.count()
-    if n > most:
-        raise ValueError(f"{n} edges; this measure needs the graph in one place and takes {most}")
-    return edges.select(*columns).toPandas()
-
-
-def _shortest(start: int, out: list[list[tuple[int, float]]], weighted: bool) -> tuple[list[int], list[list[int]], np.ndarray]:
-    """Nodes in order of distance, predecessors on shortest paths, and numbers of shortest paths."""
-    n = len(out)
-    paths, before, order = np.zeros(n), [[] for _ in range(n)], []
-    distance = np.full(n, np.inf)
-    distance[start], paths[start] = 0.0, 1.0
-    if not weighted:
-        queue = deque([start])
-        while queue:
-            v = queue.popleft()
-            order.append(v)
-            for w, _ in out[v]:
-                if distance[w] == np.inf:
-                    distance[w] = distance[v] + 1
-                    queue.append(w)
-                if distance[w] == distance[v] + 1:
-                    paths[w] += paths[v]
-                    before[w].append(v)
-        return order, before, paths
-    heap, settled = [(0.0, start)], np.zeros(n, bool)
-    while heap:
-        d, v = heapq.heappop(heap)
-        if settled[v]:
-            continue
-        settled[v] = True
-        order.append(v)
-        for w, length in out[v]:
-            if (new := d + length) < distance[w] - 1e-12:
-                distance[w], paths[w], before[w] = new, paths[v], [v]
-                heapq.heappush(heap, (new, w))
-            elif abs(new - distance[w]) <= 1e-12 and not settled[w]:
-                paths[w] += paths[v]
-                before[w].append(v)
-    return order, before, paths
-
-
-def betweenness(edges: DataFrame, sources: int | None = None, weighted: bool = False, normalised: bool = True) -> DataFrame:
+        e = within(e, nodes)
+
+
+def betweenness(edges: DataFrame, sources: int | None = None, weighted: bool = False, normalised: bool = True, most_local: int = MOST_LOCAL_EDGES) -> DataFrame:
     """Shares of shortest paths through each node, from all sources or the first `sources` in a fixed random order; with `weighted`, weights are lengths.
 
-    The graph goes to every executor (its size is checked); sources are spread over the tasks and their parts summed.
+    Tasks hold the graph whole, up to `most_local` edges, and sources are spread over them. Beyond that, paths are followed by
+    joins, level by level for a block of sources at a time; lengths other than one aren't supported there.
     """
-    spark = edges.sparkSession
-    local = _checked(edges.where("src <> dst"), ["src", "dst", "weight"] if weighted else ["src", "dst"])
-    ids = sorted(set(local["src"]) | set(local["dst"]))
-    place = {v: i for i, v in enumerate(ids)}
-    adjacency: list[list[tuple[int, float]]] = [[] for _ in ids]
-    for row in local.drop_duplicates(["src", "dst"]).itertuples(index=False):
-        adjacency[place[row.src]].append((place[row.dst], float(row.weight) if weighted else 1.0))
-    n = len(ids)
-    chosen = spark.createDataFrame(list(enumerate(ids)), f"i int, id {edges.schema['src'].dataType.simpleString()}") if n else None
-    if chosen is None:
-        return vertices_of(edges).select("id", F.lit(0.0).alias("betweenness"))
+    e = _slim(edges)
+    count = e.count()
+    if count > most_local:
+        if weighted:
+            raise ValueError(f"{count} edges; with weights as lengths this measure takes {most_local}")
+        return _betweenness_by_levels(e, sources, normalised)
+
+    def run(g: whole.Graph, shares: set[int], parts: int):
+        used = g.n if sources is None else min(sources, g.n)
+        scale = (g.n / used) / (max((g.n - 1) * (g.n - 2), 1) if normalised else 1)
+        yield g.rows(b=whole.betweenness(g, shares, parts, sources, weighted) * scale)
+
+    parts = whole.on_graph(e, run, f"id {_kind(e)}, b double", _shares(e, count))
+    return parts.groupBy("id").agg(F.sum("b").alias("betweenness"))
+
+
+#: Sources whose paths are followed at once by joins.
+SOURCES_AT_ONCE = 256
+
+
+def _betweenness_by_levels(edges: DataFrame, sources: int | None, normalised: bool) -> DataFrame:
+    """Counts of shortest paths go forward level by level, dependencies come back the same way; a row for each source and node it reaches."""
+    e = checkpointed(edges.where("src <> dst").select("src", "dst").distinct())
+    nodes = checkpointed(vertices_of(edges))
+    n = nodes.count()
     used = n if sources is None else min(sources, n)
-    starts = chosen.orderBy(F.xxhash64("id"), "id").limit(used).select("i").repartition(min(used, 64))
-    sent = spark.sparkContext.broadcast(adjacency)
-
-    def run(batches):
-        total = np.zeros(len(sent.value))
-        for batch in batches:
-            for s in batch["i"]:
-                order, before, paths = _shortest(int(s), sent.value, weighted)
-                share = np.zeros(len(total))
-                for w in reversed(order):
-                    for v in before[w]:
-                        share[v] += paths[v] / paths[w] * (1 + share[w])
-                    if w != s:
-                        total[w] += share[w]
-        if total.any():
-            i = np.flatnonzero(total)
-            yield pd.DataFrame({"i": i.astype("int32"), "b": total[i]})
-
-    parts = starts.mapInPandas(run, "i int, b double").groupBy("i").agg(F.sum("b").alias("b"))
-    scale = (n / used) / (max((n - 1) * (n - 2), 1) if normalised else 1)
-    return chosen.join(parts, "i", "left").select("id", (F.coalesce("b", F.lit(0.0)) * scale).alias("betweenness"))
-
-
-def louvain(edges: DataFrame, most: int = MOST_BROADCAST_EDGES) -> DataFrame:
-    """Communities by modularity on the undirected graph, the same on every run (nodes in order, ties to the smaller community), numbered by size.
-
-    The graph is worked on in one place, behind a check of its size; label_propagation is the way beyond it.
+    ranked = nodes.select("id", F.md5(F.col("id").cast("string")).alias("h"))
+    chosen = checkpointed(ranked.orderBy("h", "id").limit(used) if sources is not None else ranked)
+    blocks = -(-used // SOURCES_AT_ONCE)
+    total = None
+    for block in range(blocks):
+        front = checkpointed(chosen.where(F.pmod(F.xxhash64("h"), F.lit(blocks)) == block).select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("paths")))
+        seen, levels = front.select("s", "v"), [front]
+        while True:
+            ahead = front.join(e, front["v"] == e["src"]).groupBy("s", F.col("dst").alias("v")).agg(F.sum("paths").alias("paths"))
+            front = checkpointed(ahead.join(seen, ["s", "v"], "left_anti"))
+            if not front.limit(1).count():
+                break
+            levels.append(front)
+            seen = checkpointed(seen.unionByName(front.select("s", "v")))
+        below = None
+        for level in reversed(levels):
+            if below is None:
+                below = level.withColumn("share", F.lit(0.0))
+                continue
+            after = below.select("s", F.col("v").alias("w"), ((1 + F.col("share")) / F.col("paths")).alias("part"))
+            steps = level.join(e, level["v"] == e["src"]).select("s", "v", "paths", F.col("dst").alias("w")).join(after, ["s", "w"])
+            given = steps.groupBy("s", "v").agg(F.sum(F.col("paths") * F.col("part")).alias("share"))
+            mine = below.where("s <> v").groupBy(F.col("v").alias("id")).agg(F.sum("share").alias("b"))
+            total = checkpointed((mine if total is None else total.unionByName(mine)).groupBy("id").agg(F.sum("b").alias("b")))
+            below = checkpointed(level.join(given, ["s", "v"], "left").fillna(0.0, ["share"]))
+    scale = (n / max(used, 1)) / (max((n - 1) * (n - 2), 1) if normalised else 1)
+    if total is None:
+        return nodes.select("id", F.lit(0.0).alias("betweenness"))
+    return nodes.join(total, "id", "left").select("id", (F.coalesce("b", F.lit(0.0)) * scale).alias("betweenness"))
+
+
+def louvain(edges: DataFrame, most_local: int = MOST_LOCAL_EDGES) -> DataFrame:
+    """Communities by modularity on the undirected graph, the same on every run (ties to the smaller community), numbered by size.
+
+    A graph of more than `most_local` edges is first made smaller by rounds of moves over all nodes at once, community by community.
     """
-    local = _checked(edges.where("src <> dst"), ["src", "dst", *(["weight"] if "weight" in edges.columns else [])], most)
-    ids = sorted(set(local["src"]) | set(local["dst"]))
-    place = {v: i for i, v in enumerate(ids)}
-    near: list[dict[int, float]] = [defaultdict(float) for _ in ids]
-    for row in local.itertuples(index=False):
-        a, b, w = place[row.src], place[row.dst], float(getattr(row, "weight", 1.0))
-        near[a][b] += w
-        near[b][a] += w
-    member = list(range(len(ids)))
-    while ids:
-        own = _one_level(near)
-        names = {c: i for i, c in enumerate(sorted(set(own)))}
-        own = [names[c] for c in own]
-        member = [own[m] for m in member]
-        if len(names) == len(near):
+    e = _slim(edges)
+    members = None
+    while e.count() > most_local:
+        moved = _grouped_moves(e)
+        side = lambda end, name, moved=moved: moved.select(F.col("id").alias(end), F.col("community").alias(name))
+        weight = F.sum(F.col("weight").cast("double") if "weight" in e.columns else F.lit(1.0)).alias("weight")
+        smaller = checkpointed(e.join(side("src", "a"), "src").join(side("dst", "b"), "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(weight))
+        members = moved if members is None else checkpointed(members.join(side("community", "next"), "community").select("id", F.col("next").alias("community")))
+        if smaller.count() == e.count():
+            break
+        e = smaller
+
+    def run(g: whole.Graph, shares: set[int], parts: int):
+        yield g.rows(community=whole.louvain(g).astype("int32"))
+
+    if e.count() <= most_local:
+        found = whole.on_graph(e, run, f"id {_kind(e)}, community int")
+        return found if members is None else members.withColumnRenamed("community", "c").join(found.withColumnRenamed("id", "c"), "c").select("id", "community")
+    # as small as moves can make it: communities numbered by size and smallest node
+    sizes = members.groupBy("community").agg(F.count("*").alias("n"), F.min("id").alias("m"))
+    numbered = sizes.withColumn("k", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "m")) - 1).cast("int"))
+    return members.join(numbered.select("community", "k"), "community").select("id", F.col("k").alias("community"))
+
+
+def _grouped_moves(edges: DataFrame, rounds: int = 16) -> DataFrame:
+    """(id, community) after rounds in which each node of one half by hash takes the neighbouring community with most gain, while modularity rises."""
+    weight = F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0)
+    ends = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"), weight.alias("w"))
+    both = checkpointed(edges.select(F.explode(F.array(ends("src", "dst"), ends("dst", "src"))).alias("e")).select("e.*").groupBy("a", "b").agg(F.sum("w").alias("w")))
+    degree = checkpointed(both.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("d")))
+    total = degree.agg(F.sum("d")).first()[0]
+    labels, best = degree.select("id", "d", F.col("id").alias("community")), None
+    for k in range(rounds):
+        sums = labels.groupBy("community").agg(F.sum("d").alias("held"))
+        inner = both.join(labels.select(F.col("id").alias("a"), F.col("community").alias("ca")), "a").join(labels.select(F.col("id").alias("b"), F.col("community").alias("cb")), "b")
+        score = (inner.where("ca = cb").agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0] - sums.agg(F.sum(F.col("held") * F.col("held"))).first()[0] / total) / total
+        if best is not None and score <= best[0] + 1e-9:
             break
-        merged: list[dict[int, float]] = [defaultdict(float) for _ in names]
-        for v, row in enumerate(near):
-            for w, x in row.items():
-                merged[own[v]][own[w]] += x
-        near = merged
-    frame = pd.DataFrame({"id": ids, "c": member})
-    order = frame.groupby("c")["id"].agg(["count", "min"]).sort_values(["count", "min"], ascending=[False, True]).index
-    frame["community"] = frame["c"].map({c: i for i, c in enumerate(order)}).astype("int32") if len(frame) else pd.Series([], dtype="int32")
-    kind = edges.schema["src"].dataType.simpleString()
-    return edges.sparkSession.createDataFrame(list(frame[["id", "community"]].itertuples(index=False, name=None)), f"id {kind}, community int")
-
-
-def _one_level(near: list[dict[int, float]]) -> list[int]:
-    """Local moves until none gains; `near` is symmetric and holds inner weights on its diagonal."""
-    own = list(range(len(near)))
-    degree = [sum(row.values()) for row in near]
-    inside, total = list(degree), sum(degree) or 1.0
-    moved = True
-    while moved:
-        moved = False
-        for v, row in enumerate(near):
-            to: dict[int, float] = defaultdict(float)
-            for w, x in row.items():
-                if w != v:
-                    to[own[w]] += x
-            inside[own[v]] -= degree[v]
-            gain = lambda c, to=to, v=v: to.get(c, 0.0) - inside[c] * degree[v] / total
-            best = max(sorted({own[v], *to}), key=lambda c: (gain(c), -c))
-            if gain(best) <= gain(own[v]) + 1e-9:
-                best = own[v]
-            inside[best] += degree[v]
-            if best != own[v]:
-                own[v], moved = best, True
-    return own
-
-
-def label_propagation(edges: DataFrame, iterations: int = 10) -> DataFrame:
-    """Communities of graphs of any size: each node takes the label with most weight among its neighbours and itself, ties to the smallest."""
+        best = (score, labels)
+        near = both.where("a <> b").join(labels.select(F.col("id").alias("b"), "community"), "b").groupBy(F.col("a").alias("id"), "community").agg(F.sum("w").alias("to"))
+        own = labels.select("id", "d", F.col("community").alias("now"))
+        choice = near.join(own, "id").join(sums, "community")
+        held = F.col("held") - F.when(F.col("community") == F.col("now"), F.col("d")).otherwise(F.lit(0.0))
+        gain = F.col("to") - held * F.col("d") / total
+        picked = choice.groupBy("id").agg(F.max(F.struct(gain.alias("g"), (F.col("community") == F.col("now")).alias("stay"), "community")).alias("m"))
+        turn = F.pmod(F.xxhash64(F.lit(k), "id"), F.lit(2)) == 0
+        labels = labels.join(picked, "id", "left").select("id", "d", F.when(turn & (F.col("m.g") > 0), F.col("m.community")).otherwise(F.col("community")).alias("community"))
+        labels = checkpointed(labels)
+    return best[1].select("id", "community")
+
+
+def label_propagation(edges: DataFrame, most: int = 1000) -> DataFrame:
+    """Communities in which no node has more weight to another label than to its own; labels are the smallest ids they began with.
+
+    In each round nodes with more weight to another label take it (the smallest of equals), but of two neighbours that want to move
+    only the one with the larger hash. So the weight within labels rises with every round, and the rounds end.
+    """
     weight = F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0)
     both = edges.where("src <> dst").select(F.explode(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b"), weight.alias("w")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b"), weight.alias("w")))).alias("e")).select("e.*")
     both = checkpointed(both.groupBy("a", "b").agg(F.sum("w").alias("w")))
-    labels = vertices_of(edges).withColumn("community", F.col("id"))
-    for _ in range(iterations):
+    labels = checkpointed(vertices_of(edges).withColumn("community", F.col("id")))
+    for k in range(most):
         votes = both.join(labels, both["b"] == labels["id"]).groupBy(F.col("a").alias("id"), "community").agg(F.sum("w").alias("w"))
-        best = votes.groupBy("id").agg(F.min(F.struct((-F.col("w")).alias("w"), "community")).alias("m")).select("id", F.col("m.community").alias("best"))
-        labels = checkpointed(labels.join(best, "id", "left").select("id", F.coalesce("best", "community").alias("community")))
-    return labels
+        own = labels.select("id", F.col("community").alias("now"))
+        ranked = votes.join(own, "id").groupBy("id", "now").agg(
+            F.min(F.struct((-F.col("w")).alias("w"), "community")).alias("m"), F.coalesce(F.sum(F.when(F.col("community") == F.col("now"), F.col("w"))), F.lit(0.0)).alias("held")
+        )
+        order = F.struct(F.xxhash64(F.lit(k), "id").alias("h"), "id")
+        wants = checkpointed(ranked.where(-F.col("m.w") > F.col("held") + 1e-9).select("id", F.col("m.community").alias("to"), order.alias("o")))
+        if not wants.limit(1).count():
+            return labels
+        rival = both.join(wants.select(F.col("id").alias("a"), F.col("o").alias("oa")), "a").join(wants.select(F.col("id").alias("b"), F.col("o").alias("ob")), "b").where("oa < ob").select(F.col("a").alias("id")).distinct()
+        moves = wants.join(rival, "id", "left_anti").select("id", "to")
+        labels = checkpointed(labels.join(moves, "id", "left").select("id", F.coalesce("to", "community").alias("community")))
+    raise ArithmeticError(f"labels still change after {most} rounds")
 
 
 def pagerank_within(members: DataFrame, edges: DataFrame, weighted: bool = True, alpha: float = 0.85, tolerance: float = 1e-6, most: int = 1000) -> DataFrame:
@@ -437,8 +548,8 @@ def pagerank_within(members: DataFrame, edges: DataFrame, weighted: bool = True,
         change = new.join(ranks.select("id", F.col("r").alias("old")), "id").groupBy("community").agg((F.sum(F.abs(F.col("r") - F.col("old"))) / F.max("size")).alias("c")).agg(F.max("c")).first()[0]
         ranks = new
         if change is None or change < tolerance:
-            break
-    return ranks.select("id", "community", F.col("r").alias("pagerank"))
+            return ranks.select("id", "community", F.col("r").alias("pagerank"))
+    raise ArithmeticError(f"ranks still change after {most} steps")
 
 
 def community_analysis(members: DataFrame, edges: DataFrame, sectors: DataFrame, listed: int = 10) -> DataFrame:
@@ -452,12 +563,11 @@ def community_analysis(members: DataFrame, edges: DataFrame, sectors: DataFrame,
     by = rows.groupBy("community", "sector").agg(F.count("*").alias("n")).groupBy("community").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "sector"))), 1, 5).alias("s"))
     listing = F.array_join(F.transform("s", lambda x: F.concat_ws("=", x["sector"], (-x["n"]).cast("string"))), ",")
     sector = by.select("community", F.col("s")[0]["sector"].alias("dominant_sector"), listing.alias("sectors"))
-    first = rows.withColumn("r", F.row_number().over(Window.partitionBy("community").orderBy("id")))
-    out = first.groupBy("community").agg(
-        F.count("*").alias("size"), F.min(F.struct((-F.col("g")).alias("g"), "id")).alias("m"),
-        F.array_join(F.array_sort(F.collect_list(F.when(F.col("r") <= listed, F.col("id").cast("string")))), ", ").alias("members"),
-    )
-    return out.join(sector, "community").select("community", "size", "dominant_sector", "sectors", F.col("m.id").alias("central"), "members")
+    # a limit per group is kept in each task before the shuffle
+    first = rows.select("community", "id").withColumn("r", F.row_number().over(Window.partitionBy("community").orderBy("id"))).where(F.col("r") <= listed)
+    named = first.groupBy("community").agg(F.array_join(F.array_sort(F.collect_list(F.col("id").cast("string"))), ", ").alias("members"))
+    out = rows.groupBy("community").agg(F.count("*").alias("size"), F.min(F.struct((-F.col("g")).alias("g"), "id")).alias("m"))
+    return out.join(sector, "community").join(named, "community").select("community", "size", "dominant_sector", "sectors", F.col("m.id").alias("central"), "members")
 
 
 def neighbourhood(edges: DataFrame, node) -> DataFrame:

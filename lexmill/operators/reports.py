@@ -107,10 +107,17 @@ def harmonization(dependencies: DataFrame, top: int = 100, considered: int = 250
     return first.withColumn("priority", F.round(F.col("n") + 1.5 * F.col("n_types"), 2))
 
 
-def fragility(citations: DataFrame, top: int = 150) -> DataFrame:
-    """The raw names (trimmed) of unresolved citations, most frequent first, with the citations of low confidence beside them."""
-    rows = citations.where("target_law_id = 'unresolved'").groupBy(F.trim("target_law_raw").alias("raw_name"))
-    return rows.agg(F.count("*").alias("n"), F.count_if(F.col("confidence") == "low").alias("n_low")).orderBy(F.desc("n"), "raw_name").limit(top)
+def weak_dependencies(dependencies: DataFrame) -> DataFrame:
+    """Dependencies of low confidence or without a class."""
+    return dependencies.where((F.col("confidence") == "low") | (F.col("dependency_type") == GENERIC))
+
+
+def fragility(citations: DataFrame, dependencies: DataFrame, top: int = 150) -> DataFrame:
+    """(kind, name, n): the raw names (trimmed) of unresolved citations, most frequent first, then the numbers of unresolved citations and of weak dependencies."""
+    unresolved = citations.where("coalesce(target_law_id, 'unresolved') = 'unresolved'")
+    names = unresolved.where("coalesce(target_law_raw, '') <> ''").groupBy(F.trim("target_law_raw").alias("name")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(top)
+    count = lambda df, kind: df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("name"), "n")
+    return names.select(F.lit("raw_name").alias("kind"), "name", "n").unionByName(count(unresolved, "unresolved")).unionByName(count(weak_dependencies(dependencies), "low_confidence"))
 
 
 def invalid_dependencies(dependencies: DataFrame) -> DataFrame:
@@ -198,32 +205,55 @@ def participation(pairs: DataFrame, conflicts: DataFrame) -> DataFrame:
 
 
 def removal_safety(nodes: DataFrame, all_laws: int = 316) -> DataFrame:
-    """Nodes (id, in_degree, cascade, cycles) with their score of 0 to 100: few citations, a small cascade, few cycles. `all_laws` scales the first two."""
-    most = F.greatest(F.max("cycles").over(Window.partitionBy()), F.lit(1))
-    score = (1 - F.col("in_degree") / all_laws) * 50 + (1 - F.col("cascade") / (all_laws + 1)) * 35 + (1 - F.col("cycles") / most) * 15
-    return nodes.select("id", F.bround(score, 1).alias("safety"))
+    """Nodes (id, in_degree, out_degree, cascade, cycles) with their score of 0 to 100 and what speaks for it: few citations, a small cascade, few cycles. `all_laws` scales the first two."""
+    most = F.broadcast(nodes.agg(F.greatest(F.max("cycles"), F.lit(1)).alias("most")))  # one row
+    score = (1 - F.col("in_degree") / all_laws) * 50 + (1 - F.col("cascade") / (all_laws + 1)) * 35 + (1 - F.col("cycles") / F.col("most")) * 15
+    reasons = _reasons(
+        F.when(F.col("in_degree") == 0, "nobody cites it").when(F.col("in_degree") <= 3, F.concat(F.lit("cited by only "), F.col("in_degree").cast("string"))),
+        F.when(F.col("cascade") <= 5, "small cascade"), F.when(F.col("cycles") == 0, "in no cycle"), F.when(F.col("out_degree") <= 5, F.concat(F.lit("cites only "), F.col("out_degree").cast("string"))),
+    )
+    return nodes.crossJoin(most).select("id", F.bround(score, 1).alias("safety"), F.coalesce(F.nullif(reasons, F.lit("")), F.lit("little activity")).alias("rationale"))
+
+
+def _reasons(*parts: Column) -> Column:
+    """The parts that hold, as one text."""
+    return F.concat_ws("; ", *parts)
 
 
 def merger_candidates(pairs: DataFrame, nodes: DataFrame, top: int = 40) -> DataFrame:
     """Mutual pairs by how well they would merge: same sector, small outputs, small inputs, both in cycles."""
     side = lambda p: nodes.select(F.col("id").alias(p), F.col("in_degree").alias(f"in_{p}"), F.col("out_degree").alias(f"out_{p}"), F.col("sector").alias(f"sector_{p}"), F.col("cycles").alias(f"cycles_{p}"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b")
+    same = F.col("sector_a") == F.col("sector_b")
     score = (
-        F.when(F.col("sector_a") == F.col("sector_b"), 30.0).otherwise(0.0)
+        F.when(same, 30.0).otherwise(0.0)
         + F.least(F.lit(40.0), 800.0 / F.greatest(F.col("out_a") + F.col("out_b"), F.lit(1)))
         + F.greatest(F.lit(0), 20 - F.expr("(in_a + in_b) div 4"))
         + F.when((F.col("cycles_a") > 0) & (F.col("cycles_b") > 0), 10.0).otherwise(0.0)
     )
-    return rows.select("a", "b", F.bround(score, 1).alias("score")).orderBy(F.desc("score"), "a", "b").limit(top)
+    reasons = _reasons(F.lit("cite each other"), F.when(same, "one sector"), F.when(F.col("in_a") + F.col("in_b") < 20, "seldom cited"))
+    return rows.select("a", "b", F.bround(score, 1).alias("score"), reasons.alias("rationale")).orderBy(F.desc("score"), "a", "b").limit(top)
 
 
 def reform_priority(nodes: DataFrame, top: int = 40, least: int = 10) -> DataFrame:
     """Nodes (id, in_degree, cascade, cycles, conflicts) by the problems they take part in and what hangs on them."""
     score = 15 * F.col("cycles") + 20 * F.col("conflicts") + F.least(F.lit(30), F.expr("(in_degree + cascade div 10) div 5"))
-    reasons = F.concat_ws(
-        "; ",
+    reasons = _reasons(
         F.when(F.col("cycles") > 0, F.concat(F.col("cycles").cast("string"), F.lit(" cycles"))),
         F.when(F.col("conflicts") > 0, F.concat(F.col("conflicts").cast("string"), F.lit(" conflicts"))),
         F.when(F.col("in_degree") > 0, F.concat(F.lit("cited by "), F.col("in_degree").cast("string"))),
     )
     return nodes.select("id", score.cast("long").alias("score"), reasons.alias("rationale")).where(F.col("score") >= least).orderBy(F.desc("score"), "id").limit(top)
+
+
+def simplification_summary(nodes: DataFrame, pairs: DataFrame, safe: int = 80) -> DataFrame:
+    """One row: nodes, those safe to remove and their percentage, isolated ones, candidates to merge and to reform, and nodes in cycles."""
+    rows = nodes.join(removal_safety(nodes).select("id", "safety"), "id")
+    removable = F.count_if(F.col("safety") >= safe)
+    counts = rows.agg(
+        F.count("*").alias("total"), removable.alias("removable"), F.count_if((F.col("in_degree") == 0) & (F.col("out_degree") <= 2)).alias("isolated"), F.count_if(F.col("cycles") > 0).alias("in_cycles"),
+        F.bround(100.0 * removable / F.count("*"), 0).alias("removable_percent"),
+    )
+    mergers = merger_candidates(pairs, nodes).agg(F.count("*").alias("mergers"))
+    reforms = reform_priority(nodes).agg(F.count("*").alias("reforms"))
+    return counts.crossJoin(mergers).crossJoin(reforms)  # a row each

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,13 +19,13 @@ from lexmill.plans.relations import (
     LAWS_SQL,
     LINES_SQL,
     RANK_SQL,
+    SUPPLIER_DEFINITIONS_SQL,
     VERTICES_SQL,
-    WHOLE_LINES_SQL,
-    all_supplier_edges,
     article_edges,
     current_citations,
     current_laws,
     law_edges,
+    supplier_definitions,
     supplier_edges,
     supplier_lines,
 )
@@ -84,27 +83,27 @@ def density_summary(spark, folder):
     return graph.density(law_edges(spark, folder))
 
 
-@query(f"""WITH {LINES_SQL} SELECT x.src AS a, x.dst AS b, x.weight AS a_to_b, y.weight AS b_to_a FROM strong x JOIN strong y ON x.src = y.dst AND x.dst = y.src WHERE x.src < x.dst""")
-def mutual_pairs(spark, folder, edges=supplier_edges):
-    return graph.mutual_pairs(edges(spark, folder))
+@query(f"""WITH {LINES_SQL} SELECT x.src AS a, x.dst AS b, x.weight AS a_to_b, y.weight AS b_to_a FROM links x JOIN links y ON x.src = y.dst AND x.dst = y.src WHERE x.src < x.dst""")
+def mutual_pairs(spark, folder):
+    return graph.mutual_pairs(supplier_edges(spark, folder))
 
 
 _LINE_CITATIONS_SQL = """lc AS (SELECT src, dst, CASE l_returnflag WHEN 'R' THEN 'high' WHEN 'A' THEN 'medium' ELSE 'low' END AS confidence,
   l_linenumber AS char_offset, l_orderkey AS citation_id, l_returnflag || '-' || CAST(l_partkey AS VARCHAR) AS t FROM pairs)"""
 
 
-@query(f"""WITH {LINES_SQL}, {_LINE_CITATIONS_SQL}, m AS (SELECT x.src, x.dst FROM strong x JOIN strong y ON x.src = y.dst AND x.dst = y.src),
+@query(f"""WITH {LINES_SQL}, {_LINE_CITATIONS_SQL}, m AS (SELECT x.src, x.dst FROM links x JOIN links y ON x.src = y.dst AND x.dst = y.src),
 r AS (SELECT lc.*, {RANK_SQL.format(c='confidence')} AS k FROM lc JOIN m USING (src, dst)),
 once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src, dst, t ORDER BY k DESC, char_offset, citation_id) AS n FROM r) WHERE n = 1),
 top AS (SELECT src, dst, CAST(row_number() OVER (PARTITION BY src, dst ORDER BY k DESC, char_offset, citation_id) AS INTEGER) AS rank, citation_id, confidence FROM once)
 SELECT * FROM top WHERE rank <= 3""")
-def mutual_pairs_evidence_top3(spark, folder, edges=supplier_edges):
+def mutual_pairs_evidence_top3(spark, folder):
     flag = F.col("l_returnflag")
     lines = supplier_lines(spark, folder).select(
         F.col("src").alias("source_law"), F.col("dst").alias("target_law_id"), F.when(flag == "R", "high").when(flag == "A", "medium").otherwise("low").alias("confidence"),
         F.col("l_linenumber").alias("char_offset"), F.col("l_orderkey").alias("citation_id"), F.concat_ws("-", flag, F.col("l_partkey").cast("string")).alias("citation_text"),
     )
-    return graph.mutual_evidence(graph.mutual_pairs(edges(spark, folder)), lines)
+    return graph.mutual_evidence(graph.mutual_pairs(supplier_edges(spark, folder)), lines)
 
 
 @query(f"""WITH {EDGES_SQL} SELECT src, dst, citation_count, CASE WHEN name IS NULL THEN 'unknown' ELSE 'withdrawn' END AS kind
@@ -242,12 +241,6 @@ def definition_conflicts(spark, folder):
     return reports.definition_conflicts(table(spark, folder, "definitions"))
 
 
-@query(f"""WITH {CITATIONS_SQL} SELECT trim(target_law_raw, ' ') AS raw_name, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (confidence = 'low') AS BIGINT) AS n_low
-FROM cit WHERE target_law_id = 'unresolved' GROUP BY 1 ORDER BY 2 DESC, 1 NULLS FIRST LIMIT 150""")
-def fragility(spark, folder):
-    return reports.fragility(current_citations(spark, folder, "target_law_id", "target_law_raw", "confidence"))
-
-
 # --- dependency classes
 
 
@@ -289,6 +282,19 @@ def corpus_layers(spark, folder):
     return current_laws(spark, folder, "name", "short_name").groupBy(X.corpus_layer(F.col("name"), F.col("short_name")).alias("layer")).agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {_DEPENDENCIES_SQL}, u AS (SELECT trim(target_law_raw, ' ') AS raw_name, CAST(count(*) AS BIGINT) AS n FROM cit WHERE target_law_id = 'unresolved' AND coalesce(target_law_raw, '') <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 150)
+SELECT 'raw_name' AS kind, raw_name AS name, n FROM u UNION ALL SELECT 'unresolved', NULL, CAST(count(*) AS BIGINT) FROM cit WHERE coalesce(target_law_id, 'unresolved') = 'unresolved'
+UNION ALL SELECT 'low_confidence', NULL, CAST(count(*) AS BIGINT) FROM dep WHERE dependency_type = 'generic_unresolved'""")
+def fragility(spark, folder):
+    """Unresolved names by frequency, and the numbers of unresolved citations and of weak dependencies."""
+    return reports.fragility(current_citations(spark, folder, "target_law_id", "target_law_raw"), _dependencies(spark, folder))
+
+
+@query(f"""WITH {_DEPENDENCIES_SQL} SELECT citation_id, source_law, target_law_id, dependency_type FROM dep WHERE dependency_type = 'generic_unresolved' ORDER BY citation_id LIMIT 300""")
+def fragility_sample(spark, folder):
+    return reports.weak_dependencies(_dependencies(spark, folder)).select("citation_id", "source_law", "target_law_id", "dependency_type").orderBy("citation_id").limit(300)
+
+
 @query(f"""WITH {_DEPENDENCIES_SQL}, i AS (SELECT target_law_id AS law_id, count(*) AS inbound, count(DISTINCT source_article) AS touchpoints FROM dep GROUP BY 1),
 o AS (SELECT source_law AS law_id, count(*) AS outbound FROM dep GROUP BY 1), c AS (SELECT target_law_id AS law_id, dependency_type, count(*) AS n FROM dep GROUP BY 1, 2),
 m AS (SELECT law_id, string_agg(dependency_type || '=' || n, ',' ORDER BY dependency_type) AS type_mix FROM c GROUP BY 1)
@@ -513,22 +519,22 @@ def incremental_skip(spark, folder):
     return reports.new_rows(table(spark, folder, "laws"), seen, "id", "doc_checksum").select("id").distinct()
 
 
-# --- graph algorithms, on the graph of suppliers; those with `edges` on its strong edges, and on all of them as NAME_whole
+# --- graph algorithms, on the graph of suppliers
 
 
-@query(f"""WITH RECURSIVE {LINES_SQL}, {VERTICES_SQL}, reach(id, reached) AS (SELECT src, dst FROM strong UNION SELECT r.id, s.dst FROM reach r JOIN strong s ON r.reached = s.src)
+@query(f"""WITH RECURSIVE {LINES_SQL}, {VERTICES_SQL}, reach(id, reached) AS (SELECT src, dst FROM links UNION SELECT r.id, s.dst FROM reach r JOIN links s ON r.reached = s.src)
 SELECT vs.id, CAST(count(r.id) AS BIGINT) AS cascade FROM vs LEFT JOIN (SELECT * FROM reach WHERE id <> reached) r ON r.reached = vs.id GROUP BY 1""")
-def cascade_scores(spark, folder, edges=supplier_edges):
-    return graph.cascade_scores(edges(spark, folder))
+def cascade_scores(spark, folder):
+    return graph.cascade_scores(supplier_edges(spark, folder))
 
 
 @query()
 def cascade_top(spark, folder):
-    return graph.cascade_top(all_supplier_edges(spark, folder))
+    return graph.cascade_top(supplier_edges(spark, folder))
 
 
 def _pagerank_sql(steps: int, alpha: float = 0.85) -> str:
-    out = f"WITH {LINES_SQL}, {VERTICES_SQL}, d AS (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS p FROM strong), c AS (SELECT count(*)::DOUBLE AS n FROM vs), r0 AS (SELECT id, 1.0::DOUBLE / n AS r FROM vs, c)"
+    out = f"WITH {LINES_SQL}, {VERTICES_SQL}, d AS (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS p FROM links), c AS (SELECT count(*)::DOUBLE AS n FROM vs), r0 AS (SELECT id, 1.0::DOUBLE / n AS r FROM vs, c)"
     for i in range(1, steps + 1):
         out += f""", r{i} AS MATERIALIZED (SELECT vs.id, {1 - alpha}::DOUBLE / n + {alpha}::DOUBLE * (coalesce(m.m, 0) + (SELECT coalesce(sum(r), 0) FROM r{i - 1} WHERE id NOT IN (SELECT src FROM d)) / n) AS r
           FROM vs CROSS JOIN c LEFT JOIN (SELECT dst AS id, sum(r * p) AS m FROM r{i - 1} JOIN d ON r{i - 1}.id = d.src GROUP BY 1) m ON m.id = vs.id)"""
@@ -536,8 +542,8 @@ def _pagerank_sql(steps: int, alpha: float = 0.85) -> str:
 
 
 @query(_pagerank_sql(10))
-def pagerank_fixed_iters(spark, folder, edges=supplier_edges):
-    return graph.pagerank(edges(spark, folder), iterations=10).select("id", F.round("pagerank", 8).alias("pagerank"))
+def pagerank_fixed_iters(spark, folder):
+    return graph.pagerank(supplier_edges(spark, folder), iterations=10).select("id", F.round("pagerank", 8).alias("pagerank"))
 
 
 @query()
@@ -554,38 +560,38 @@ def hub_top(spark, folder):
 def _hits_sql(steps: int) -> str:
     out = f"WITH {LINES_SQL}, {VERTICES_SQL}, h0 AS (SELECT id, 1.0::DOUBLE AS hub FROM vs)"
     for i in range(1, steps + 2):
-        out += f", a{i} AS MATERIALIZED (SELECT id, a / sum(a) OVER () AS authority FROM (SELECT dst AS id, sum(hub) AS a FROM strong JOIN h{i - 1} ON src = id GROUP BY 1))"
+        out += f", a{i} AS MATERIALIZED (SELECT id, a / sum(a) OVER () AS authority FROM (SELECT dst AS id, sum(hub) AS a FROM links JOIN h{i - 1} ON src = id GROUP BY 1))"
         if i <= steps:
-            out += f", h{i} AS MATERIALIZED (SELECT id, h / sum(h) OVER () AS hub FROM (SELECT src AS id, sum(authority) AS h FROM strong JOIN a{i} ON dst = id GROUP BY 1))"
+            out += f", h{i} AS MATERIALIZED (SELECT id, h / sum(h) OVER () AS hub FROM (SELECT src AS id, sum(authority) AS h FROM links JOIN a{i} ON dst = id GROUP BY 1))"
     return out + f" SELECT vs.id, round(coalesce(hub, 0), 8) AS hub, round(coalesce(authority, 0), 8) AS authority FROM vs LEFT JOIN h{steps} h ON h.id = vs.id LEFT JOIN a{steps + 1} a ON a.id = vs.id"
 
 
 @query(_hits_sql(6))
-def hits_fixed_iters(spark, folder, edges=supplier_edges):
-    return graph.hits(edges(spark, folder), 6).select("id", F.round("hub", 8).alias("hub"), F.round("authority", 8).alias("authority"))
+def hits_fixed_iters(spark, folder):
+    return graph.hits(supplier_edges(spark, folder), 6).select("id", F.round("hub", 8).alias("hub"), F.round("authority", 8).alias("authority"))
 
 
-@query(f"""WITH RECURSIVE {LINES_SQL}, {VERTICES_SQL}, reach(id, reached) AS (SELECT id, id FROM vs UNION SELECT r.id, s.dst FROM reach r JOIN strong s ON r.reached = s.src)
+@query(f"""WITH RECURSIVE {LINES_SQL}, {VERTICES_SQL}, reach(id, reached) AS (SELECT id, id FROM vs UNION SELECT r.id, s.dst FROM reach r JOIN links s ON r.reached = s.src)
 SELECT x.id, min(x.reached) AS component FROM reach x JOIN reach y ON x.id = y.reached AND x.reached = y.id GROUP BY 1""")
-def scc(spark, folder, edges=supplier_edges):
-    return graph.components(edges(spark, folder))
+def scc(spark, folder):
+    return graph.components(supplier_edges(spark, folder))
 
 
-@query(f"""WITH {LINES_SQL}, f AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM strong), d AS (SELECT id, count(*) AS degree FROM (SELECT a AS id FROM f UNION ALL SELECT b FROM f) GROUP BY 1),
+@query(f"""WITH {LINES_SQL}, f AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM links), d AS (SELECT id, count(*) AS degree FROM (SELECT a AS id FROM f UNION ALL SELECT b FROM f) GROUP BY 1),
 t AS (SELECT x.a, x.b, y.b AS c FROM f x JOIN f y ON x.b = y.a JOIN f z ON z.a = x.a AND z.b = y.b), n AS (SELECT id, count(*) AS triangles FROM (SELECT unnest([a, b, c]) AS id FROM t) GROUP BY 1)
 SELECT id, CAST(degree AS BIGINT) AS degree, CAST(coalesce(triangles, 0) AS BIGINT) AS triangles, CASE WHEN degree > 1 THEN round(2.0::DOUBLE * coalesce(triangles, 0) / (degree * (degree - 1)), 6) ELSE 0 END AS clustering FROM d LEFT JOIN n USING (id)""")
-def clustering_coefficient(spark, folder, edges=supplier_edges):
-    return graph.clustering(edges(spark, folder))
+def clustering_coefficient(spark, folder):
+    return graph.clustering(supplier_edges(spark, folder))
 
 
 @query()
 def betweenness(spark, folder):
-    return graph.betweenness(all_supplier_edges(spark, folder)).select("id", F.round("betweenness", 8).alias("betweenness"))
+    return graph.betweenness(supplier_edges(spark, folder)).select("id", F.round("betweenness", 8).alias("betweenness"))
 
 
 @query()
 def betweenness_sampled(spark, folder):
-    return graph.betweenness(all_supplier_edges(spark, folder), sources=50).select("id", F.round("betweenness", 8).alias("betweenness"))
+    return graph.betweenness(supplier_edges(spark, folder), sources=50).select("id", F.round("betweenness", 8).alias("betweenness"))
 
 
 @query()
@@ -595,7 +601,7 @@ def communities(spark, folder):
 
 @query()
 def communities_propagated(spark, folder):
-    return graph.label_propagation(law_edges(spark, folder), 4)
+    return graph.label_propagation(law_edges(spark, folder))
 
 
 @query()
@@ -607,22 +613,30 @@ def community_analysis(spark, folder):
 
 # --- scores from several measures, on the graph of suppliers
 
-_NODES_SQL = f"""{LINES_SQL}, {VERTICES_SQL}, reach(id, reached) AS (SELECT src, dst FROM strong UNION SELECT r.id, s.dst FROM reach r JOIN strong s ON r.reached = s.src),
+_CONFLICT_SQL = """terms AS (SELECT term FROM {source} GROUP BY 1 HAVING count(*) > 1 AND count(DISTINCT lower(trim(regexp_replace(substring(definition_text, 1, 100), '\\s+', ' ', 'g'), ' '))) > 1),
+dc AS (SELECT law_id AS id, count(*) AS conflicts FROM {source} WHERE term IN (SELECT term FROM terms) GROUP BY 1)"""
+_NODES_SQL = f"""{LINES_SQL}, {VERTICES_SQL}, {SUPPLIER_DEFINITIONS_SQL}, {_CONFLICT_SQL.format(source="sdef")}, reach(id, reached) AS (SELECT src, dst FROM links UNION SELECT r.id, s.dst FROM reach r JOIN links s ON r.reached = s.src),
 ca AS (SELECT vs.id, CAST(count(r.id) AS BIGINT) AS cascade FROM vs LEFT JOIN (SELECT * FROM reach WHERE id <> reached) r ON r.reached = vs.id GROUP BY 1),
-de AS (SELECT id, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree FROM (SELECT src AS id, 1 AS o, 0 AS i FROM strong UNION ALL SELECT dst, 0, 1 FROM strong) GROUP BY 1),
-mp AS (SELECT x.src AS a, x.dst AS b FROM strong x JOIN strong y ON x.src = y.dst AND x.dst = y.src WHERE x.src < x.dst), cy AS (SELECT id, count(*) AS cycles FROM (SELECT a AS id FROM mp UNION ALL SELECT b FROM mp) GROUP BY 1),
-nodes AS (SELECT id, in_degree, out_degree, cascade, CAST(coalesce(cycles, 0) AS BIGINT) AS cycles, CAST(0 AS BIGINT) AS conflicts, r_name AS sector
-  FROM de JOIN ca USING (id) LEFT JOIN cy USING (id) JOIN supplier ON s_suppkey = id JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey)"""
+de AS (SELECT id, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree FROM (SELECT src AS id, 1 AS o, 0 AS i FROM links UNION ALL SELECT dst, 0, 1 FROM links) GROUP BY 1),
+mp AS (SELECT x.src AS a, x.dst AS b FROM links x JOIN links y ON x.src = y.dst AND x.dst = y.src WHERE x.src < x.dst), cy AS (SELECT id, count(*) AS cycles FROM (SELECT a AS id FROM mp UNION ALL SELECT b FROM mp) GROUP BY 1),
+nodes AS (SELECT id, in_degree, out_degree, cascade, CAST(coalesce(cycles, 0) AS BIGINT) AS cycles, CAST(coalesce(conflicts, 0) AS BIGINT) AS conflicts, r_name AS sector
+  FROM de JOIN ca USING (id) LEFT JOIN cy USING (id) LEFT JOIN dc USING (id) JOIN supplier ON s_suppkey = id JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey)"""
 
 
-def _nodes(spark: SparkSession, folder: str, edges: Query = supplier_edges) -> DataFrame:
-    edges = edges(spark, folder)
-    none = spark.createDataFrame([], f"id {edges.schema['src'].dataType.simpleString()}")
+def _nodes(spark: SparkSession, folder: str) -> DataFrame:
+    edges = checkpointed(supplier_edges(spark, folder))
     region = table(spark, folder, "nation").join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     sector = table(spark, folder, "supplier").join(region, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("id"), F.col("r_name").alias("sector"))
-    parts = reports.participation(graph.mutual_pairs(edges), none)
-    rows = graph.degree_metrics(edges).join(graph.cascade_scores(edges), "id").join(parts, "id", "left").fillna(0, ["cycles", "conflicts"]).join(sector, "id")
-    return rows.select("id", "in_degree", "out_degree", "cascade", "cycles", "conflicts", "sector")
+    return _measured(edges, supplier_definitions(spark, folder)).join(sector, "id").select(*NODE_COLUMNS)
+
+
+NODE_COLUMNS = ("id", "in_degree", "out_degree", "cascade", "cycles", "conflicts", "sector")
+
+
+def _measured(edges: DataFrame, definitions: DataFrame) -> DataFrame:
+    """Degrees, cascades, mutual pairs and definition conflicts of the nodes of `edges`."""
+    parts = reports.participation(graph.mutual_pairs(edges), reports.conflicting_definitions(definitions).select(F.col("law_id").alias("id")))
+    return graph.degree_metrics(edges).join(graph.cascade_scores(edges), "id").join(parts, "id", "left").fillna(0, ["cycles", "conflicts"])
 
 
 @query(f"WITH RECURSIVE {_NODES_SQL} SELECT * FROM nodes")
@@ -632,8 +646,7 @@ def node_measures(spark, folder):
 
 # The same on the law graph, where laws have definitions.
 
-_CONFLICTS_SQL = """terms AS (SELECT term FROM definitions GROUP BY 1 HAVING count(*) > 1 AND count(DISTINCT lower(trim(regexp_replace(substring(definition_text, 1, 100), '\\s+', ' ', 'g'), ' '))) > 1),
-dc AS (SELECT law_id AS id, count(*) AS conflicts FROM definitions WHERE term IN (SELECT term FROM terms) GROUP BY 1)"""
+_CONFLICTS_SQL = _CONFLICT_SQL.format(source="definitions")
 _LAW_NODES_SQL = f"""{_DEGREES_SQL}, {_CONFLICTS_SQL}, reach(id, reached) AS (SELECT src, dst FROM edges UNION SELECT r.id, e.dst FROM reach r JOIN edges e ON r.reached = e.src),
 ca AS (SELECT reached AS id, count(*) AS cascade FROM reach WHERE id <> reached GROUP BY 1),
 mp AS (SELECT x.src AS a, x.dst AS b FROM edges x JOIN edges y ON x.src = y.dst AND x.dst = y.src WHERE x.src < x.dst), cy AS (SELECT id, count(*) AS cycles FROM (SELECT a AS id FROM mp UNION ALL SELECT b FROM mp) GROUP BY 1),
@@ -644,9 +657,7 @@ nodes AS (SELECT d.id, in_degree, out_degree, CAST(coalesce(cascade, 0) AS BIGIN
 def _law_nodes(spark: SparkSession, folder: str) -> DataFrame:
     edges = checkpointed(law_edges(spark, folder))
     sector = table(spark, folder, "law_registry").select(F.col("law_id").alias("id"), "sector")
-    parts = reports.participation(graph.mutual_pairs(edges), reports.conflicting_definitions(table(spark, folder, "definitions")).select(F.col("law_id").alias("id")))
-    rows = graph.degree_metrics(edges).join(graph.cascade_scores(edges), "id").join(parts, "id", "left").fillna(0, ["cycles", "conflicts"]).join(sector, "id", "left").fillna("unknown", ["sector"])
-    return rows.select("id", "in_degree", "out_degree", "cascade", "cycles", "conflicts", "sector")
+    return _measured(edges, table(spark, folder, "definitions")).join(sector, "id", "left").fillna("unknown", ["sector"]).select(*NODE_COLUMNS)
 
 
 @query(f"WITH RECURSIVE {_LAW_NODES_SQL} SELECT * FROM nodes")
@@ -664,40 +675,43 @@ def law_reform_priority(spark, folder):
     return reports.reform_priority(_law_nodes(spark, folder))
 
 
-@query(f"""WITH RECURSIVE {_NODES_SQL} SELECT id, round_even((1 - in_degree / 316.0::DOUBLE) * 50 + (1 - cascade / 317.0::DOUBLE) * 35 + (1 - cycles / greatest((SELECT max(cycles) FROM nodes), 1)::DOUBLE) * 15, 1) AS safety FROM nodes""")
-def removal_safety(spark, folder, edges=supplier_edges):
-    return reports.removal_safety(_nodes(spark, folder, edges))
+_SAFETY_SQL = """sf AS (SELECT *, round_even((1 - in_degree / 316.0::DOUBLE) * 50 + (1 - cascade / 317.0::DOUBLE) * 35 + (1 - cycles / greatest((SELECT max(cycles) FROM nodes), 1)::DOUBLE) * 15, 1) AS safety FROM nodes)"""
+_MERGER_SQL = """mg AS (SELECT a, b, round_even(CASE WHEN x.sector = y.sector THEN 30.0::DOUBLE ELSE 0 END + least(40.0::DOUBLE, 800.0::DOUBLE / greatest(x.out_degree + y.out_degree, 1)) + greatest(0, 20 - (x.in_degree + y.in_degree) // 4)
+  + CASE WHEN x.cycles > 0 AND y.cycles > 0 THEN 10.0::DOUBLE ELSE 0 END, 1) AS score,
+  concat_ws('; ', 'cite each other', CASE WHEN x.sector = y.sector THEN 'one sector' END, CASE WHEN x.in_degree + y.in_degree < 20 THEN 'seldom cited' END) AS rationale
+  FROM mp JOIN nodes x ON x.id = a JOIN nodes y ON y.id = b ORDER BY score DESC, a, b LIMIT 40)"""
+_REFORM_ROWS_SQL = "rf AS (SELECT id FROM (SELECT *, CAST(15 * cycles + 20 * conflicts + least(30, (in_degree + cascade // 10) // 5) AS BIGINT) AS score FROM nodes) WHERE score >= 10 ORDER BY score DESC, id LIMIT 40)"
 
 
-@query(f"""WITH RECURSIVE {_NODES_SQL} SELECT a, b, round_even(CASE WHEN x.sector = y.sector THEN 30.0::DOUBLE ELSE 0 END + least(40.0::DOUBLE, 800.0::DOUBLE / greatest(x.out_degree + y.out_degree, 1)) + greatest(0, 20 - (x.in_degree + y.in_degree) // 4)
-  + CASE WHEN x.cycles > 0 AND y.cycles > 0 THEN 10.0::DOUBLE ELSE 0 END, 1) AS score FROM mp JOIN nodes x ON x.id = a JOIN nodes y ON y.id = b ORDER BY score DESC, a, b LIMIT 40""")
-def merger_candidates(spark, folder, edges=supplier_edges):
-    return reports.merger_candidates(graph.mutual_pairs(edges(spark, folder)), _nodes(spark, folder, edges))
+@query(f"""WITH RECURSIVE {_NODES_SQL}, {_SAFETY_SQL} SELECT id, safety, coalesce(nullif(concat_ws('; ', CASE WHEN in_degree = 0 THEN 'nobody cites it' WHEN in_degree <= 3 THEN 'cited by only ' || in_degree END,
+  CASE WHEN cascade <= 5 THEN 'small cascade' END, CASE WHEN cycles = 0 THEN 'in no cycle' END, CASE WHEN out_degree <= 5 THEN 'cites only ' || out_degree END), ''), 'little activity') AS rationale FROM sf""")
+def removal_safety(spark, folder):
+    return reports.removal_safety(_nodes(spark, folder))
 
 
-@query(f"""WITH RECURSIVE {_NODES_SQL}, s AS (SELECT *, CAST(15 * cycles + 20 * conflicts + least(30, (in_degree + cascade // 10) // 5) AS BIGINT) AS score FROM nodes)
-SELECT id, score, concat_ws('; ', CASE WHEN cycles > 0 THEN cycles || ' cycles' END, CASE WHEN conflicts > 0 THEN conflicts || ' conflicts' END, CASE WHEN in_degree > 0 THEN 'cited by ' || in_degree END) AS rationale
-FROM s WHERE score >= 10 ORDER BY score DESC, id LIMIT 40""")
+@query(f"WITH RECURSIVE {_NODES_SQL}, {_MERGER_SQL} SELECT * FROM mg")
+def merger_candidates(spark, folder):
+    nodes = checkpointed(_nodes(spark, folder))
+    return reports.merger_candidates(graph.mutual_pairs(supplier_edges(spark, folder)), nodes)
+
+
+@query(f"WITH RECURSIVE {_NODES_SQL}, {_REFORM_SQL}")
 def reform_priority(spark, folder):
     return reports.reform_priority(_nodes(spark, folder))
 
 
-@query(f"""WITH RECURSIVE {_NODES_SQL}, s AS (SELECT *, (1 - in_degree / 316.0::DOUBLE) * 50 + (1 - cascade / 317.0::DOUBLE) * 35 + (1 - cycles / greatest((SELECT max(cycles) FROM nodes), 1)::DOUBLE) * 15 AS safety FROM nodes)
-SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (round_even(safety, 1) >= 60) AS BIGINT) AS removable, CAST(count(*) FILTER (in_degree = 0 AND out_degree <= 2) AS BIGINT) AS isolated,
-  CAST(count(*) FILTER (cycles > 0) AS BIGINT) AS in_cycles FROM s""")
-def simplification_summary(spark, folder, edges=supplier_edges):
-    nodes = _nodes(spark, folder, edges)
-    safe = reports.removal_safety(nodes)
-    return nodes.join(safe, "id").agg(
-        F.count("*").alias("total"), F.count_if(F.col("safety") >= 60).alias("removable"), F.count_if((F.col("in_degree") == 0) & (F.col("out_degree") <= 2)).alias("isolated"),
-        F.count_if(F.col("cycles") > 0).alias("in_cycles"),
-    )
+@query(f"""WITH RECURSIVE {_NODES_SQL}, {_SAFETY_SQL}, {_MERGER_SQL}, {_REFORM_ROWS_SQL}
+SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (safety >= 80) AS BIGINT) AS removable, CAST(count(*) FILTER (in_degree = 0 AND out_degree <= 2) AS BIGINT) AS isolated,
+  CAST((SELECT count(*) FROM mg) AS BIGINT) AS mergers, CAST((SELECT count(*) FROM rf) AS BIGINT) AS reforms, CAST(count(*) FILTER (cycles > 0) AS BIGINT) AS in_cycles,
+  round_even(100.0::DOUBLE * count(*) FILTER (safety >= 80) / count(*), 0) AS removable_percent FROM sf""")
+def simplification_summary(spark, folder):
+    return reports.simplification_summary(checkpointed(_nodes(spark, folder)), graph.mutual_pairs(supplier_edges(spark, folder)))
 
 
 @query()
 def metric_suite(spark, folder):
     """All measures of the nodes in one table; PageRank and HITS until they hardly change."""
-    edges = checkpointed(all_supplier_edges(spark, folder))
+    edges = checkpointed(supplier_edges(spark, folder))
     parts = [
         graph.degree_metrics(edges), graph.pagerank(edges, weighted=True, tolerance=1e-9), graph.hits(edges, None), graph.clustering(edges).drop("degree"), graph.cascade_scores(edges),
         graph.components(edges), graph.betweenness(edges), graph.louvain(edges),
@@ -708,14 +722,6 @@ def metric_suite(spark, folder):
     return out.withColumns({c: F.round(c, 8) for c in ("pagerank", "hub", "authority", "betweenness")})
 
 
-for _run in (
-    mutual_pairs, mutual_pairs_evidence_top3, cascade_scores, pagerank_fixed_iters, hits_fixed_iters, scc, clustering_coefficient,
-    removal_safety, merger_candidates, simplification_summary,
-):
-    _QUERIES[f"{_run.__name__}_whole"] = partial(_run, edges=all_supplier_edges)
-    _SQL[f"{_run.__name__}_whole"] = _SQL[_run.__name__].replace(LINES_SQL, WHOLE_LINES_SQL)
-
-
 def queries() -> dict[str, Query]:
     return core_problems.queries() | _QUERIES
 

@@ -24,11 +24,10 @@ aedges AS (SELECT src, dst, CAST(count(*) AS BIGINT) AS weight, arg_min(c, (char
 LINES_SQL = """lines AS (SELECT l_orderkey, l_linenumber, l_suppkey AS src, l_partkey, l_returnflag,
   lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_returnflag) AS dst FROM lineitem),
 pairs AS (SELECT * FROM lines WHERE dst IS NOT NULL AND dst <> src),
-counted AS (SELECT src, dst, CAST(count(*) AS BIGINT) AS weight FROM pairs GROUP BY 1, 2),
-strong AS (SELECT * FROM counted WHERE weight >= 1.5 * (SELECT avg(weight) FROM counted))"""
-#: The same relations with all edges in place of the strong ones.
-WHOLE_LINES_SQL = LINES_SQL[: LINES_SQL.index("strong AS")] + "strong AS (SELECT * FROM counted)"
-VERTICES_SQL = "vs AS (SELECT src AS id FROM strong UNION SELECT dst FROM strong)"
+links AS (SELECT src, dst, CAST(count(*) AS BIGINT) AS weight FROM pairs GROUP BY 1, 2)"""
+VERTICES_SQL = "vs AS (SELECT src AS id FROM links UNION SELECT dst FROM links)"
+#: What suppliers call their parts, as definitions.
+SUPPLIER_DEFINITIONS_SQL = "sdef AS (SELECT DISTINCT l_suppkey AS law_id, p_name AS term, p_brand || ' ' || p_type AS definition_text FROM lineitem JOIN part ON p_partkey = l_partkey)"
 
 
 def current_citations(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
@@ -58,12 +57,12 @@ def supplier_lines(spark: SparkSession, folder: str) -> DataFrame:
     return rows.where("dst is not null and dst <> src")
 
 
-def all_supplier_edges(spark: SparkSession, folder: str) -> DataFrame:
+def supplier_edges(spark: SparkSession, folder: str) -> DataFrame:
     return supplier_lines(spark, folder).groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
-def supplier_edges(spark: SparkSession, folder: str) -> DataFrame:
-    """The edges of at least 1.5 times the mean weight."""
-    counted = all_supplier_edges(spark, folder)
-    mean = counted.agg(F.avg("weight").alias("mean"))
-    return counted.crossJoin(F.broadcast(mean)).where("weight >= 1.5 * mean").drop("mean")  # one row
+def supplier_definitions(spark: SparkSession, folder: str) -> DataFrame:
+    """What suppliers call their parts, as definitions: law_id, term, definition_text."""
+    lines = table(spark, folder, "lineitem").select(F.col("l_suppkey").alias("law_id"), F.col("l_partkey").alias("p_partkey")).distinct()
+    part = table(spark, folder, "part").select("p_partkey", F.col("p_name").alias("term"), F.concat_ws(" ", "p_brand", "p_type").alias("definition_text"))
+    return lines.join(part, "p_partkey").select("law_id", "term", "definition_text").distinct()

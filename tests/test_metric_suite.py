@@ -28,7 +28,7 @@ def test_hits_converges(spark):
 
 @tables
 def test_suite_is_whole(spark):
-    edges = catalogue.all_supplier_edges(spark, FOLDER)
+    edges = catalogue.supplier_edges(spark, FOLDER)
     rows = {r.id: r for r in catalogue.queries()["metric_suite"](spark, FOLDER).collect()}
     for column, df in {
         "betweenness": graph.betweenness(edges), "community": graph.louvain(edges), "pagerank": graph.pagerank(edges, weighted=True, tolerance=1e-9),
