@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -338,3 +339,50 @@ def _one_level(near: list[dict[int, float]]) -> list[int]:
             if best != own[v]:
                 own[v], moved = best, True
     return own
+
+
+def label_propagation(g: Graph) -> np.ndarray:
+    """Labels that no node has more weight against than for; nodes in order, again and again, each to the heaviest label, the smallest of equals."""
+    keep = g.src != g.dst
+    a, b = np.concatenate([g.src[keep], g.dst[keep]]), np.concatenate([g.dst[keep], g.src[keep]])
+    order = np.argsort(a, kind="stable")
+    b, w = b[order], np.concatenate([g.weight[keep], g.weight[keep]])[order]
+    first = np.searchsorted(a[order], np.arange(g.n + 1))
+    label, moved = np.arange(g.n), True
+    while moved:
+        moved = False
+        for v in range(g.n):
+            near = label[b[first[v] : first[v + 1]]]
+            if not len(near):
+                continue
+            names, inverse = np.unique(near, return_inverse=True)
+            held = np.bincount(inverse, w[first[v] : first[v + 1]])
+            best = int(np.argmax(held))
+            own = held[names == label[v]]
+            if held[best] > (own[0] if len(own) else 0.0) + 1e-9:
+                label[v], moved = names[best], True
+    return label
+
+
+def ranks_within(batches: Iterator[pa.RecordBatch], alpha: float, tolerance: float, most: int) -> Iterator[pa.RecordBatch]:
+    """PageRank in each community of rows (src, dst, w, community); only the rows of members, from a node to itself, name the community."""
+    table = pa.Table.from_batches(list(batches))
+    own = table.filter(pa.compute.is_valid(table["community"]))
+    inner = table.filter(pa.compute.is_null(table["community"]))
+    ids = own["src"].combine_chunks()
+    place = {v: i for i, v in enumerate(ids.to_pylist())}
+    codes = own["community"].combine_chunks().dictionary_encode()
+    group, n_groups = codes.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(codes.dictionary)
+    src, dst = (np.array([place[v] for v in inner[c].to_pylist()], np.int64) for c in ("src", "dst"))
+    w, n = inner["w"].to_numpy().astype(float), len(ids)
+    out, size = np.bincount(src, w, n), np.bincount(group, minlength=n_groups).astype(float)
+    p, ranks = w / out[src], 1.0 / size[group]
+    for _ in range(most):
+        lost = np.bincount(group, np.where(out == 0, ranks, 0.0), n_groups) / size
+        new = (1 - alpha) / size[group] + alpha * (np.bincount(dst, ranks[src] * p, n) + lost[group])
+        change = (np.bincount(group, np.abs(new - ranks), n_groups) / size).max(initial=0.0)
+        ranks = new
+        if change < tolerance:
+            yield pa.RecordBatch.from_arrays([ids, own["community"].combine_chunks(), pa.array(ranks)], ["id", "community", "pagerank"])
+            return
+    raise ArithmeticError(f"ranks still change after {most} steps")

@@ -23,8 +23,9 @@ def test_central_and_sectors(spark):
     for c in (0, 1):
         nodes = [n for n in COMMUNITY if COMMUNITY[n] == c]
         wanted |= brute(nodes, [e for e in EDGES if e[0] in nodes and e[1] in nodes])
-    got = {r.id: r.pagerank for r in graph.pagerank_within(members, edges, tolerance=1e-10).collect()}
-    assert got == pytest.approx(wanted, abs=1e-7)
+    for most, near in ((10**6, 1e-10), (0, 1e-4)):
+        got = {r.id: r.pagerank for r in graph.pagerank_within(members, edges, tolerance=near, most_local=most).collect()}
+        assert got == pytest.approx(wanted, abs=10 * near)
     sectors = spark.createDataFrame([("hub", "b"), ("far", "b"), ("n0", "a"), ("n1", "a"), ("n2", "a"), ("n3", "c"), ("n4", "d"), ("n5", "e")], "id string, sector string")
     rows = {r.community: r for r in graph.community_analysis(members, edges, sectors).collect()}
     best = max((n for n in COMMUNITY if COMMUNITY[n] == 0), key=wanted.get)
