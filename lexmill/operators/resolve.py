@@ -7,6 +7,7 @@ resolved once however often it is cited.
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from lexmill.session import spread
 UNRESOLVED = "unresolved"
 FUZZY, FUZZY_HIGH, PREFIX_SCORE = 0.75, 0.90, 0.85
 PREFIX_LENGTH, LEAST_ALIAS = 15, 10
-#: Aliases that may travel to every executor for the fuzzy step.
+#: Aliases that may travel to every executor at once for the fuzzy step.
 MOST_BROADCAST_ALIASES = 200_000
 
 
@@ -95,14 +96,18 @@ def best_ratio(name: str, own: np.ndarray, aliases: list[str], bags: np.ndarray,
     return best, score
 
 
-def resolve_fuzzy(names: DataFrame, aliases: DataFrame, least: float = FUZZY) -> DataFrame:
+def resolve_fuzzy(names: DataFrame, aliases: DataFrame, least: float = FUZZY, most_aliases: int = MOST_BROADCAST_ALIASES) -> DataFrame:
     """(raw, law_id, matched_alias, score) of the most similar alias by matcher ratio, for names that reach `least`.
 
-    The aliases must be within MOST_BROADCAST_ALIASES, which is checked before they are sent.
+    Aliases travel in blocks of at most `most_aliases`; of the best of each block the best is kept, the first of equals.
     """
     count = aliases.count()
-    if count > MOST_BROADCAST_ALIASES:
-        raise ValueError(f"{count} aliases; use the set-similarity join for lists beyond {MOST_BROADCAST_ALIASES}")
+    blocks = max(1, -(-count // most_aliases))
+    if blocks > 1:
+        part = F.pmod(F.xxhash64("alias"), F.lit(blocks))
+        found = [resolve_fuzzy(names, aliases.where(part == i), least, count).join(aliases.select(F.col("alias").alias("matched_alias"), "ord"), "matched_alias") for i in range(blocks)]
+        best = reduce(DataFrame.unionByName, found).groupBy("raw").agg(F.min(F.struct((-F.col("score")).alias("far"), "ord", "law_id", "matched_alias")).alias("m"))
+        return best.select("raw", "m.law_id", "m.matched_alias", (-F.col("m.far")).alias("score"))
     rows = [(r["alias"], r["law_id"]) for r in aliases.orderBy("ord").collect()]
     sent = names.sparkSession.sparkContext.broadcast((rows, _bag([a for a, _ in rows]), [_masks(a) for a, _ in rows]))
     kind = T.StructType([T.StructField("law_id", T.StringType()), T.StructField("matched_alias", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -126,15 +131,17 @@ def resolve_prefix(names: DataFrame, aliases: DataFrame) -> DataFrame:
     The two sides of the rule are equi-joins: on the first 15 characters where both have them, else on each shorter length.
     """
     clean = names.select("raw", cleaned_name(F.col("raw")).alias("c")).where("c <> ''")
-    listed = aliases.where(F.length("alias") >= LEAST_ALIAS).select("alias", "law_id", "ord")
+    listed = aliases.where(F.length("alias") >= LEAST_ALIAS).select("alias", F.struct("ord", "alias", "law_id").alias("f"))
     lengths = F.sequence(F.lit(1), F.lit(PREFIX_LENGTH))
+    # only the first alias of a beginning can be the first of all, so each beginning has one row, and a common one multiplies nothing
+    first_of = lambda df: df.groupBy("k").agg(F.min("f").alias("f"))
     # name begins with the alias's first 15 characters, which may be fewer
-    left = clean.select("raw", F.explode(F.filter(lengths, lambda n: n >= LEAST_ALIAS)).alias("n"), "c").where(F.length("c") >= F.col("n")).select("raw", F.expr("substring(c, 1, n)").alias("k"))
-    a = left.join(listed.withColumn("k", F.substring("alias", 1, PREFIX_LENGTH)), "k").select("raw", "alias", "law_id", "ord")
+    own = clean.select("raw", F.explode(F.filter(lengths, lambda n: n >= LEAST_ALIAS)).alias("n"), "c").where(F.length("c") >= F.col("n")).select("raw", F.expr("substring(c, 1, n)").alias("k"))
+    a = own.join(first_of(listed.select(F.substring("alias", 1, PREFIX_LENGTH).alias("k"), "f")), "k").select("raw", "f")
     # alias begins with the name's first 15 characters, which may be fewer
-    right = listed.select("alias", "law_id", "ord", F.explode(lengths).alias("n")).where(F.length("alias") >= F.col("n")).select("alias", "law_id", "ord", F.expr("substring(alias, 1, n)").alias("k"))
-    b = clean.withColumn("k", F.substring("c", 1, PREFIX_LENGTH)).join(right, "k").select("raw", "alias", "law_id", "ord")
-    first = a.unionByName(b).groupBy("raw").agg(F.min(F.struct("ord", "alias", "law_id")).alias("f"))
+    begun = listed.select("alias", "f", F.explode(lengths).alias("n")).where(F.length("alias") >= F.col("n")).select(F.expr("substring(alias, 1, n)").alias("k"), "f")
+    b = clean.withColumn("k", F.substring("c", 1, PREFIX_LENGTH)).join(first_of(begun), "k").select("raw", "f")
+    first = a.unionByName(b).groupBy("raw").agg(F.min("f").alias("f"))
     return first.select("raw", F.col("f.law_id").alias("law_id"), F.col("f.alias").alias("matched_alias"))
 
 

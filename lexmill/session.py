@@ -30,14 +30,21 @@ def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage of `df` through a reliable checkpoint.
 
     The folder is the one the session names in spark.checkpoint.dir, which all
-    executors share. Only where that is unset (tests, one machine) a local
-    folder is set.
+    executors share. Only on one machine (tests) a local folder is set where that is unset; on a cluster it is an error.
     """
-    context = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, set as the checkpoint folder."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "lexmill-checkpoints"))
-    return df.checkpoint(eager)
+    return context.getCheckpointDir()
 
 
 def spread(df: DataFrame, *columns: str) -> DataFrame:

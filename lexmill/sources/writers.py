@@ -12,9 +12,15 @@ from pyspark.sql import functions as F
 MOST_ROWS = 2_000_000
 
 
-def write_by_law(df: DataFrame, path: str, key: str = "law_id", form: str = "parquet") -> None:
-    """A folder per law, overwritten as a whole and never in place: read from one path, write to another."""
-    df.repartition(F.col(key)).write.mode("overwrite").partitionBy(key).format(form).save(path)
+def write_by_law(df: DataFrame, path: str, key: str = "law_id", form: str = "parquet", per_file: int = 1_000_000) -> None:
+    """A folder per law, overwritten as a whole and never in place: read from one path, write to another.
+
+    A law of more than `per_file` rows is written by several tasks.
+    """
+    parts = df.groupBy(F.col(key).alias("__k")).agg(F.ceil(F.count("*") / per_file).cast("int").alias("__parts"))
+    own = [F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and kind != "variant"]
+    salted = df.join(parts, df[key].eqNullSafe(F.col("__k"))).withColumn("__part", F.pmod(F.xxhash64(*own), F.col("__parts")))
+    salted.repartition(F.col(key), F.col("__part")).select(*df.columns).write.mode("overwrite").partitionBy(key).format(form).save(path)
 
 
 def _rows(df: DataFrame, order: list[str]) -> list[dict]:

@@ -31,17 +31,42 @@ def counts_by_period(stream: DataFrame, time: str, by: list[str], period: str =
     return counted.select(F.col("window.start").alias("period"), *by, "n")
 
 
+#: Parts by hash of the key that a table of last versions is kept in; a batch rewrites only those that it touches.
+PARTS = 256
+
+
+def _newest(spark: SparkSession, target: str, below: int | None = None) -> dict[int, int]:
+    """The newest version of each part of `target`, of versions under `below` where given."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/v=*/part=*")
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where) or []
+    newest: dict[int, int] = {}
+    for status in found:
+        version, part = (int(x.split("=")[1]) for x in status.getPath().toString().rstrip("/").split("/")[-2:])
+        if below is None or version < below:
+            newest[part] = max(version, newest.get(part, -1))
+    return newest
+
+
+def read_latest(spark: SparkSession, target: str, schema: T.StructType, parts: list[int] | None = None, below: int | None = None) -> DataFrame:
+    """The rows that upsert_latest keeps, of all parts or those named."""
+    paths = [f"{target}/v={v}/part={p}" for p, v in sorted(_newest(spark, target, below).items()) if parts is None or p in parts]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
 def upsert_latest(spark: SparkSession, source: str, schema: T.StructType, key: str, order: str, target: str, checkpoint: str) -> None:
-    """Keep one row per key, the last by `order`, in versions under `target`: each batch is merged with the newest version into the next."""
+    """Keep one row per key, the last by `order`: the parts of `target` that a batch touches are merged with it into a new version of their own.
+
+    A batch that runs again writes its version again; an empty one writes nothing.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
-        if batch.isEmpty():
+        part = F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int")
+        touched = [r[0] for r in batch.select(part.alias("p")).distinct().collect()]  # at most PARTS
+        if not touched:
             return
-        if number:
-            before = spark.read.schema(batch.schema).option("recursiveFileLookup", False).parquet(f"{target}/v={number - 1}")
-            batch = before.unionByName(batch)
-        last = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
-        last.write.mode("overwrite").parquet(f"{target}/v={number}")
+        rows = read_latest(spark, target, batch.schema, touched, number).unionByName(batch)
+        last = rows.groupBy(key).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
+        last.withColumn("part", part).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{target}/v={number}")
 
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(source)
     rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -68,3 +68,11 @@ def test_sectors(spark):
     got = {r.id: (r.sector, r.how) for r in resolve.sector_lookup(nodes, registry(spark), [("agua", ["agua"])]).collect()}
     assert got["ley-de-aguas"] == ("agua", "exact") and got["ley-aguas"] == ("agua", "stripped") and got["codigo-fiscal-x"] == ("fiscal", "fuzzy")
     assert got["ley-del-agua-de-riego"][1] in ("keyword", "fuzzy") and got["zzz"] == ("unknown", "unknown")
+
+
+def test_fuzzy_in_blocks(spark):
+    """Aliases that travel in several blocks give what one block gives, ties to the first included."""
+    aliases = spark.createDataFrame([(f"ley de faros {c}", f"l{i}", f"{i:03d}") for i, c in enumerate("abcdefgh")], "alias string, law_id string, ord string")
+    names = spark.createDataFrame([("ley de faros",), ("ley de faros h",), ("ley de faro e",), ("zzz",)], "raw string")
+    one, many = (sorted(map(tuple, resolve.resolve_fuzzy(names, aliases, most_aliases=n).select("raw", "law_id", "matched_alias", "score").collect())) for n in (100, 3))
+    assert one == many and len(one) == 3

@@ -74,4 +74,12 @@ def test_incremental(spark, tmp_path):
     incremental.upsert_latest(spark, source, first.schema, "id", "at", str(tmp_path / "v"), str(tmp_path / "mark2"))
     spark.createDataFrame([(2, 30, "d")], first.schema).write.mode("append").parquet(source)
     incremental.upsert_latest(spark, source, first.schema, "id", "at", str(tmp_path / "v"), str(tmp_path / "mark2"))
-    assert sorted((r.id, r.v) for r in spark.read.parquet(str(tmp_path / "v" / "v=1")).collect()) == [(1, "c"), (2, "d")]
+    kept = lambda: sorted((r.id, r.v) for r in incremental.read_latest(spark, str(tmp_path / "v"), first.schema).collect())
+    assert kept() == [(1, "c"), (2, "d")]
+    # a batch without rows writes no version, and the next one still finds the last
+    first.limit(0).coalesce(1).write.mode("append").parquet(source)
+    incremental.upsert_latest(spark, source, first.schema, "id", "at", str(tmp_path / "v"), str(tmp_path / "mark2"))
+    assert kept() == [(1, "c"), (2, "d")]
+    spark.createDataFrame([(2, 40, "e"), (3, 40, "f")], first.schema).write.mode("append").parquet(source)
+    incremental.upsert_latest(spark, source, first.schema, "id", "at", str(tmp_path / "v"), str(tmp_path / "mark2"))
+    assert kept() == [(1, "c"), (2, "e"), (3, "f")]
