@@ -591,6 +591,16 @@ def community_analysis(members: DataFrame, edges: DataFrame, sectors: DataFrame,
     return out.join(sector, "community").join(named, "community").select("community", "size", "dominant_sector", "sectors", F.col("m.id").alias("central"), "members")
 
 
+def articles_of_laws(citations: DataFrame, laws: DataFrame, confidences: tuple[str, ...] = ("high", "medium")) -> DataFrame:
+    """Article edges into `laws` (id) from citations of the given confidences, with weight and whether the citing law is one of them; no self loops."""
+    laws = F.broadcast(checkpointed(laws))  # a top list
+    held = citations.where(F.col("confidence").isin(*confidences)).join(laws.withColumnRenamed("id", "target_law_id"), "target_law_id", "left_semi")
+    marked = held.join(laws.select(F.col("id").alias("source_law"), F.lit(True).alias("own")), "source_law", "left")
+    ends = [article_id(F.col("source_law"), F.col("source_article")).alias("src"), article_id(F.col("target_law_id"), F.col("target_article")).alias("dst")]
+    rows = marked.select(*ends, "own").where("src <> dst").groupBy("src", "dst")
+    return rows.agg(F.count("*").alias("weight"), F.coalesce(F.max("own"), F.lit(False)).alias("source_in_top"))
+
+
 def neighbourhood(edges: DataFrame, node) -> DataFrame:
     """The node and its neighbours either way."""
     near = edges.where((F.col("src") == F.lit(node)) | (F.col("dst") == F.lit(node)))

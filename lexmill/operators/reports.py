@@ -190,6 +190,76 @@ def bipartite_summary(edges: DataFrame, groups: DataFrame) -> DataFrame:
     return edges.join(groups, "dst").groupBy("group").agg(F.count("*").alias("n_edges"), F.countDistinct("src").alias("n_sources"), F.countDistinct("dst").alias("n_targets"))
 
 
+def law_vertices(laws: DataFrame, registry: DataFrame, cited: DataFrame) -> DataFrame:
+    """(id, name, short, sector, stub) of the laws (id, name, short_name, sector) of the corpus, of registry laws outside it, and of ids that are cited without being either.
+
+    The latter two are stubs. Without a short name the first 20 characters of the id stand for it.
+    """
+    row = lambda df, key, name, short, sector, stub: df.select(
+        F.col(key).alias("id"), name.alias("name"), F.coalesce(short, F.substring(F.col(key), 1, 20)).alias("short"), F.coalesce(F.nullif(sector, F.lit("")), F.lit("unknown")).alias("sector"), F.lit(stub).alias("stub")
+    )
+    none = F.lit(None).cast("string")
+    own = row(laws, "id", F.col("name"), F.col("short_name"), F.col("sector"), False)
+    listed = row(registry.join(laws.select(F.col("id").alias("law_id")), "law_id", "left_anti"), "law_id", F.col("name"), F.col("short"), F.col("sector"), True)
+    known = own.unionByName(listed)
+    return known.unionByName(row(cited.join(known.select("id"), "id", "left_anti"), "id", none, none, none, True))
+
+
+def typed(edges: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Edges with the dependency class that `kinds` (src, dst, dependency_type) has for them, else the generic one."""
+    return edges.join(kinds, ["src", "dst"], "left").fillna(GENERIC, ["dependency_type"])
+
+
+def article_types(dependencies: DataFrame) -> DataFrame:
+    """(src, dst, dependency_type, type_mix) by articles: the class of the last citation by id, and the counts of all classes."""
+    node = lambda law, article: F.concat_ws("::", law, F.coalesce(F.nullif(F.trim(article), F.lit("")), F.lit("?")))
+    rows = dependencies.select(node("source_law", "source_article").alias("src"), node("target_law_id", "target_article").alias("dst"), "dependency_type", "citation_id")
+    counts = rows.groupBy("src", "dst", "dependency_type").agg(F.count("*").alias("n"), F.max("citation_id").alias("last"))
+    return counts.groupBy("src", "dst").agg(F.max_by("dependency_type", "last").alias("dependency_type"), map_text(F.col("dependency_type"), F.col("n")).alias("type_mix"))
+
+
+def article_tab(edges: DataFrame, registry: DataFrame, top: int = 100) -> DataFrame:
+    """The most cited specific articles with the names of their laws, and their citations as a percentage of the most cited one's."""
+    into = edges.where(~F.col("dst").endswith("::?")).groupBy(F.col("dst").alias("node_id")).agg(F.sum("weight").alias("cited")).orderBy(F.desc("cited"), "node_id").limit(top)
+    most = F.max("cited").over(Window.partitionBy(F.lit(0)))  # over `top` rows
+    rows = into.select("node_id", F.split("node_id", "::")[0].alias("law_id"), "cited", F.bround(100.0 * F.col("cited") / most, 0).cast("long").alias("percent_of_most"))
+    names = registry.select("law_id", F.col("name").alias("law_name"), F.col("short").alias("law_short"), "sector")
+    joined = rows.join(names, "law_id", "left")
+    return joined.select(
+        "node_id", "law_id", F.coalesce("law_name", "law_id").alias("law_name"), F.coalesce("law_short", F.substring("law_id", 1, 12)).alias("law_short"), F.coalesce("sector", F.lit("unknown")).alias("sector"), "cited", "percent_of_most",
+    )
+
+
+def article_totals(edges: DataFrame) -> DataFrame:
+    """One row: articles, citations, and the laws that are cited and that cite."""
+    law = lambda c: F.split(c, "::")[0]
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("id")).agg(F.countDistinct("id").alias("article_nodes"))
+    sums = edges.agg(F.sum("weight").alias("citations"), F.countDistinct(law("dst")).alias("cited_laws"), F.countDistinct(law("src")).alias("citing_laws"))
+    return nodes.crossJoin(sums)  # a row each
+
+
+def workflow_summary(dependencies: DataFrame, citations: DataFrame) -> DataFrame:
+    """(kind, name, n): the law whose reform spills over most, the law whose definitions most depend on, and the number of unresolved citations."""
+    impact = reform_impact(dependencies, 1).select(F.lit("reform_impact").alias("kind"), F.col("law_id").alias("name"), F.col("spillover").alias("n"))
+    defined = definition_trace(dependencies).orderBy(F.desc("n"), "target_law_id").limit(1).select(F.lit("definitions").alias("kind"), F.col("target_law_id").alias("name"), "n")
+    open_ = citations.agg(F.count_if(F.col("target_law_id") == "unresolved").alias("n")).select(F.lit("unresolved").alias("kind"), F.lit(None).cast("string").alias("name"), "n")
+    return impact.unionByName(defined).unionByName(open_)
+
+
+def norm_summary(citations: DataFrame, norms: DataFrame, top: int = 20) -> DataFrame:
+    """(kind, name, n): explicit, resolved and unresolved citations of norms, the norms cited by most laws, the laws that cite most norms, and edges by ministry."""
+    explicit = citations.where("pattern_name = 'explicit_nom_code'")
+    resolved = explicit.where("target_nom_id <> 'unresolved'")
+    edges = resolved.select("source_law", "target_nom_id").distinct()
+    row = lambda df, kind, name: df.select(F.lit(kind).alias("kind"), name.cast("string").alias("name"), "n")
+    totals = explicit.agg(F.count("*").alias("explicit"), F.count_if(F.col("target_nom_id") != "unresolved").alias("resolved"), F.count_if(F.col("target_nom_id") == "unresolved").alias("unresolved"))
+    totals = totals.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(None).cast("string").alias("name"), F.col(k).alias("n")) for k in ("explicit", "resolved", "unresolved")])).alias("r")).select("r.*")
+    first = lambda by: edges.groupBy(by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), by).limit(top)
+    ministry = edges.join(norms.select(F.col("id").alias("target_nom_id"), "ministry"), "target_nom_id", "left").groupBy(F.coalesce("ministry", F.lit("unknown")).alias("m")).agg(F.count("*").alias("n"))
+    parts = (row(first("target_nom_id"), "norm", F.col("target_nom_id")), row(first("source_law"), "law", F.col("source_law")), row(ministry, "ministry", F.col("m")))
+    return totals.unionByName(parts[0]).unionByName(parts[1]).unionByName(parts[2])
+
+
 def search(nodes: DataFrame, query: str, fields: list[str], most: int = 8) -> DataFrame:
     """The first nodes by id that hold the query in one of the fields, without regard to case."""
     hit = F.lit(False)

@@ -216,6 +216,17 @@ def strip_id(column: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(out, "-+", "-"), "^-|-$", "")
 
 
+def keyword_sector(column: Column, keywords: list[tuple[str, list[str]]]) -> Column:
+    """The first sector one of whose words the id holds, or null; the table of words is the caller's."""
+    word = F.lit(None).cast("string")
+    for sector, words in reversed(keywords):
+        hit = F.lit(False)
+        for w in words:
+            hit = hit | column.contains(w)
+        word = F.when(hit, F.lit(sector)).otherwise(word)
+    return word
+
+
 def sector_lookup(nodes: DataFrame, registry: DataFrame, keywords: list[tuple[str, list[str]]], least: float = FUZZY) -> DataFrame:
     """(id, sector, how) of nodes (id): the registry's sector for the same id, the same id without small words, the most similar id, a keyword in the id, or unknown."""
     known = registry.where("sector is not null").select(F.col("law_id").alias("alias"), F.col("sector"))
@@ -226,11 +237,6 @@ def sector_lookup(nodes: DataFrame, registry: DataFrame, keywords: list[tuple[st
     open_ = step.where("s1 is null and s2 is null").select(F.col("bare").alias("raw")).distinct()
     near = resolve_fuzzy(open_, bare.select("alias", F.col("sector").alias("law_id"), F.col("alias").alias("ord")), least)
     step = step.join(near.select(F.col("raw").alias("bare"), F.col("law_id").alias("s3")), "bare", "left")
-    word = F.lit(None).cast("string")
-    for sector, words in reversed(keywords):
-        hit = F.lit(False)
-        for w in words:
-            hit = hit | F.col("id").contains(w)
-        word = F.when(hit, F.lit(sector)).otherwise(word)
+    word = keyword_sector(F.col("id"), keywords)
     how = F.when(F.col("s1").isNotNull(), "exact").when(F.col("s2").isNotNull(), "stripped").when(F.col("s3").isNotNull(), "fuzzy").when(word.isNotNull(), "keyword").otherwise("unknown")
     return step.select("id", F.coalesce("s1", "s2", "s3", word, F.lit("unknown")).alias("sector"), how.alias("how"))

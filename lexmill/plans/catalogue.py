@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +9,7 @@ from lexmill.functions import patterns as P
 from lexmill.functions import text as X
 from lexmill.operators import extract, graph, reports, resolve, segment
 from lexmill.plans import core_problems
+from lexmill.plans.register import QUERIES, SQL, Query, query
 from lexmill.plans.relations import (
     ARTICLE_EDGE_COLUMNS,
     ARTICLE_EDGES_SQL,
@@ -32,23 +31,6 @@ from lexmill.plans.relations import (
 from lexmill.session import checkpointed
 from lexmill.sources.tables import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a function of (spark, folder) under its name, and its SQL where SQL can say it."""
-
-    def register(run: Query) -> Query:
-        _QUERIES[run.__name__] = run
-        if sql:
-            _SQL[run.__name__] = sql
-        return run
-
-    return register
-
-
 # --- edges, degrees and other counts on graphs
 
 
@@ -251,28 +233,28 @@ def _rules_sql() -> str:
     return "CASE " + " ".join(out) + " ELSE 'generic_unresolved' END"
 
 
-_DEPENDENCIES_SQL = f"""{CITATIONS_SQL}, x AS (SELECT *, regexp_replace(trim(citation_text || ' ' || target_law_raw || ' ' || pattern_name, ' '), '[\\s\\p{{Z}}]+', ' ', 'g') AS t FROM cit WHERE target_law_id <> 'unresolved'),
+DEPENDENCIES_SQL = f"""{CITATIONS_SQL}, x AS (SELECT *, regexp_replace(trim(citation_text || ' ' || target_law_raw || ' ' || pattern_name, ' '), '[\\s\\p{{Z}}]+', ' ', 'g') AS t FROM cit WHERE target_law_id <> 'unresolved'),
 dep AS (SELECT *, {_rules_sql()} AS dependency_type FROM x)"""
 
 
-def _dependencies(spark: SparkSession, folder: str) -> DataFrame:
+def dependencies(spark: SparkSession, folder: str) -> DataFrame:
     return reports.classified(current_citations(spark, folder, "source_law", "source_article", "target_law_id", "target_article", "target_law_raw", "citation_text", "pattern_name", "confidence", "resolution_method"))
 
 
-@query(f"WITH {_DEPENDENCIES_SQL} SELECT citation_id, dependency_type FROM dep")
+@query(f"WITH {DEPENDENCIES_SQL} SELECT citation_id, dependency_type FROM dep")
 def dependency_classification(spark, folder):
-    return _dependencies(spark, folder).select("citation_id", "dependency_type")
+    return dependencies(spark, folder).select("citation_id", "dependency_type")
 
 
-@query(f"WITH {_DEPENDENCIES_SQL} SELECT dependency_type, CAST(count(*) AS BIGINT) AS n FROM dep GROUP BY 1")
+@query(f"WITH {DEPENDENCIES_SQL} SELECT dependency_type, CAST(count(*) AS BIGINT) AS n FROM dep GROUP BY 1")
 def dependency_type_counts(spark, folder):
-    return _dependencies(spark, folder).groupBy("dependency_type").agg(F.count("*").alias("n"))
+    return dependencies(spark, folder).groupBy("dependency_type").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {_DEPENDENCIES_SQL}, n AS (SELECT source_law, target_law_id, dependency_type, count(*) AS n FROM dep GROUP BY ALL)
+@query(f"""WITH {DEPENDENCIES_SQL}, n AS (SELECT source_law, target_law_id, dependency_type, count(*) AS n FROM dep GROUP BY ALL)
 SELECT source_law, target_law_id, arg_min(dependency_type, (-n, dependency_type)) AS dependency_type FROM n GROUP BY 1, 2""")
 def dependency_by_pair(spark, folder):
-    return reports.dependency_by_pair(_dependencies(spark, folder))
+    return reports.dependency_by_pair(dependencies(spark, folder))
 
 
 @query(f"""WITH {LAWS_SQL}, l AS (SELECT lower(coalesce(name, '')) || ' ' || lower(coalesce(short_name, '')) AS f FROM law)
@@ -282,49 +264,49 @@ def corpus_layers(spark, folder):
     return current_laws(spark, folder, "name", "short_name").groupBy(X.corpus_layer(F.col("name"), F.col("short_name")).alias("layer")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {_DEPENDENCIES_SQL}, u AS (SELECT trim(target_law_raw, ' ') AS raw_name, CAST(count(*) AS BIGINT) AS n FROM cit WHERE target_law_id = 'unresolved' AND coalesce(target_law_raw, '') <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 150)
+@query(f"""WITH {DEPENDENCIES_SQL}, u AS (SELECT trim(target_law_raw, ' ') AS raw_name, CAST(count(*) AS BIGINT) AS n FROM cit WHERE target_law_id = 'unresolved' AND coalesce(target_law_raw, '') <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 150)
 SELECT 'raw_name' AS kind, raw_name AS name, n FROM u UNION ALL SELECT 'unresolved', NULL, CAST(count(*) AS BIGINT) FROM cit WHERE coalesce(target_law_id, 'unresolved') = 'unresolved'
 UNION ALL SELECT 'low_confidence', NULL, CAST(count(*) AS BIGINT) FROM dep WHERE dependency_type = 'generic_unresolved'""")
 def fragility(spark, folder):
     """Unresolved names by frequency, and the numbers of unresolved citations and of weak dependencies."""
-    return reports.fragility(current_citations(spark, folder, "target_law_id", "target_law_raw"), _dependencies(spark, folder))
+    return reports.fragility(current_citations(spark, folder, "target_law_id", "target_law_raw"), dependencies(spark, folder))
 
 
-@query(f"""WITH {_DEPENDENCIES_SQL} SELECT citation_id, source_law, target_law_id, dependency_type FROM dep WHERE dependency_type = 'generic_unresolved' ORDER BY citation_id LIMIT 300""")
+@query(f"""WITH {DEPENDENCIES_SQL} SELECT citation_id, source_law, target_law_id, dependency_type FROM dep WHERE dependency_type = 'generic_unresolved' ORDER BY citation_id LIMIT 300""")
 def fragility_sample(spark, folder):
-    return reports.weak_dependencies(_dependencies(spark, folder)).select("citation_id", "source_law", "target_law_id", "dependency_type").orderBy("citation_id").limit(300)
+    return reports.weak_dependencies(dependencies(spark, folder)).select("citation_id", "source_law", "target_law_id", "dependency_type").orderBy("citation_id").limit(300)
 
 
-@query(f"""WITH {_DEPENDENCIES_SQL}, i AS (SELECT target_law_id AS law_id, count(*) AS inbound, count(DISTINCT source_article) AS touchpoints FROM dep GROUP BY 1),
+@query(f"""WITH {DEPENDENCIES_SQL}, i AS (SELECT target_law_id AS law_id, count(*) AS inbound, count(DISTINCT source_article) AS touchpoints FROM dep GROUP BY 1),
 o AS (SELECT source_law AS law_id, count(*) AS outbound FROM dep GROUP BY 1), c AS (SELECT target_law_id AS law_id, dependency_type, count(*) AS n FROM dep GROUP BY 1, 2),
 m AS (SELECT law_id, string_agg(dependency_type || '=' || n, ',' ORDER BY dependency_type) AS type_mix FROM c GROUP BY 1)
 SELECT law_id, CAST(inbound AS BIGINT) AS inbound, CAST(touchpoints AS BIGINT) AS touchpoints, type_mix, CAST(coalesce(outbound, 0) AS BIGINT) AS outbound,
   CAST(2 * inbound + coalesce(outbound, 0) AS BIGINT) AS spillover FROM i JOIN m USING (law_id) LEFT JOIN o USING (law_id) ORDER BY inbound DESC, law_id LIMIT 100""")
 def reform_impact(spark, folder):
-    return reports.reform_impact(_dependencies(spark, folder))
+    return reports.reform_impact(dependencies(spark, folder))
 
 
-@query(f"""WITH {_DEPENDENCIES_SQL} SELECT target_law_id, CAST(count(*) AS BIGINT) AS n, count(DISTINCT source_law) AS n_laws, min(source_law) AS first_law FROM dep WHERE dependency_type = 'definitional' GROUP BY 1""")
+@query(f"""WITH {DEPENDENCIES_SQL} SELECT target_law_id, CAST(count(*) AS BIGINT) AS n, count(DISTINCT source_law) AS n_laws, min(source_law) AS first_law FROM dep WHERE dependency_type = 'definitional' GROUP BY 1""")
 def definition_trace(spark, folder):
-    return reports.definition_trace(_dependencies(spark, folder))
+    return reports.definition_trace(dependencies(spark, folder))
 
 
-@query(f"""WITH {_DEPENDENCIES_SQL} SELECT target_law_id, citation_id, source_law, source_article, target_article,
+@query(f"""WITH {DEPENDENCIES_SQL} SELECT target_law_id, citation_id, source_law, source_article, target_article,
   'term_definition_reference' AS dependency_subtype, 'high' AS confidence FROM dep WHERE dependency_type = 'definitional'""")
 def definition_provisions(spark, folder):
-    return reports.dependent_provisions(_dependencies(spark, folder))
+    return reports.dependent_provisions(dependencies(spark, folder))
 
 
-@query(f"""WITH {_DEPENDENCIES_SQL}, b AS (SELECT least(source_law, target_law_id) AS a, greatest(source_law, target_law_id) AS b, dependency_type, count(*) AS n FROM dep WHERE source_law <> target_law_id GROUP BY 1, 2, 3),
+@query(f"""WITH {DEPENDENCIES_SQL}, b AS (SELECT least(source_law, target_law_id) AS a, greatest(source_law, target_law_id) AS b, dependency_type, count(*) AS n FROM dep WHERE source_law <> target_law_id GROUP BY 1, 2, 3),
 r AS (SELECT a, b, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_types, string_agg(dependency_type || '=' || n, ',' ORDER BY dependency_type || '=' || n) AS by_type FROM b GROUP BY 1, 2 HAVING sum(n) >= 2 ORDER BY 3 DESC, 1, 2 LIMIT 100)
 SELECT *, round(n + 1.5 * n_types, 2) AS priority FROM r""")
 def harmonization(spark, folder):
-    return reports.harmonization(_dependencies(spark, folder))
+    return reports.harmonization(dependencies(spark, folder))
 
 
-@query(f"WITH {_DEPENDENCIES_SQL} SELECT 'target_law_id' AS field, CAST(count(*) AS BIGINT) AS n FROM dep WHERE coalesce(target_law_id, '') = '' HAVING count(*) > 0")
-def validate_dependencies(spark, folder):
-    return reports.invalid_dependencies(_dependencies(spark, folder))
+@query(f"WITH {DEPENDENCIES_SQL} SELECT 'target_law_id' AS field, CAST(count(*) AS BIGINT) AS n FROM dep WHERE coalesce(target_law_id, '') = '' HAVING count(*) > 0")
+def validatedependencies(spark, folder):
+    return reports.invalid_dependencies(dependencies(spark, folder))
 
 
 # --- text
@@ -378,7 +360,7 @@ def segment_sections(spark, folder):
 
 @query(f"""WITH {CITATIONS_SQL}, n AS (SELECT DISTINCT target_law_raw AS raw FROM cit) SELECT raw, nullif(regexp_extract(raw, '(?i)art[ií]culos?\\s+([0-9]+[\\p{{L}}\\p{{N}}_\\-]*)', 1), '') AS article FROM n WHERE raw IS NOT NULL""")
 def first_article(spark, folder):
-    return _names(spark, folder).withColumn("article", X.first_article(F.col("raw")))
+    return raw_names(spark, folder).withColumn("article", X.first_article(F.col("raw")))
 
 
 def _re2(expression: str) -> str:
@@ -396,7 +378,7 @@ def _clean_name_sql() -> str:
 
 @query(_clean_name_sql())
 def clean_name(spark, folder):
-    return _names(spark, folder).select("raw", X.clean_law_name(F.col("raw")).alias("name"), X.strip_trailing_junk(F.col("raw")).alias("trimmed"))
+    return raw_names(spark, folder).select("raw", X.clean_law_name(F.col("raw")).alias("name"), X.strip_trailing_junk(F.col("raw")).alias("trimmed"))
 
 
 # --- extraction
@@ -458,43 +440,43 @@ def extract_norm_citations(spark, folder):
 
 # --- resolution
 
-_ALIASES_SQL = """al AS (SELECT lower(trim(a, ' ')) AS alias, law_id, i FROM (SELECT law_id, unnest(list_concat([name, short], coalesce(aliases, []))) AS a, generate_subscripts(list_concat([name, short], coalesce(aliases, [])), 1) - 1 AS i FROM law_registry) WHERE a IS NOT NULL AND a <> ''),
+ALIASES_SQL = """al AS (SELECT lower(trim(a, ' ')) AS alias, law_id, i FROM (SELECT law_id, unnest(list_concat([name, short], coalesce(aliases, []))) AS a, generate_subscripts(list_concat([name, short], coalesce(aliases, [])), 1) - 1 AS i FROM law_registry) WHERE a IS NOT NULL AND a <> ''),
 am AS (SELECT alias, arg_max(law_id, (law_id, i)) AS law_id, min((law_id, i)) AS place FROM al GROUP BY 1)"""
 
 
-def _names(spark: SparkSession, folder: str) -> DataFrame:
+def raw_names(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "citations").where("target_law_raw is not null").select(F.col("target_law_raw").alias("raw")).distinct()
 
 
-def _aliases(spark: SparkSession, folder: str) -> DataFrame:
+def aliases(spark: SparkSession, folder: str) -> DataFrame:
     return resolve.alias_map(table(spark, folder, "law_registry"))
 
 
-@query(f"WITH {_ALIASES_SQL} SELECT alias, law_id FROM am")
+@query(f"WITH {ALIASES_SQL} SELECT alias, law_id FROM am")
 def alias_map(spark, folder):
-    return _aliases(spark, folder).select("alias", "law_id")
+    return aliases(spark, folder).select("alias", "law_id")
 
 
-@query(f"WITH {_ALIASES_SQL}, n AS (SELECT DISTINCT target_law_raw AS raw FROM citations WHERE target_law_raw IS NOT NULL) SELECT raw, law_id, alias AS matched_alias FROM n JOIN am ON lower(trim(raw, ' ')) = alias")
+@query(f"WITH {ALIASES_SQL}, n AS (SELECT DISTINCT target_law_raw AS raw FROM citations WHERE target_law_raw IS NOT NULL) SELECT raw, law_id, alias AS matched_alias FROM n JOIN am ON lower(trim(raw, ' ')) = alias")
 def resolve_exact(spark, folder):
-    return resolve.resolve_exact(_names(spark, folder), _aliases(spark, folder))
+    return resolve.resolve_exact(raw_names(spark, folder), aliases(spark, folder))
 
 
-@query(f"""WITH {_ALIASES_SQL}, n AS (SELECT DISTINCT target_law_raw AS raw, lower(trim(target_law_raw, ' ')) AS c FROM citations WHERE target_law_raw IS NOT NULL),
+@query(f"""WITH {ALIASES_SQL}, n AS (SELECT DISTINCT target_law_raw AS raw, lower(trim(target_law_raw, ' ')) AS c FROM citations WHERE target_law_raw IS NOT NULL),
 j AS (SELECT raw, alias, law_id, place FROM n, am WHERE c <> '' AND length(alias) >= 10 AND (starts_with(c, substring(alias, 1, 15)) OR starts_with(alias, substring(c, 1, 15))))
 SELECT raw, arg_min(law_id, place) AS law_id, arg_min(alias, place) AS matched_alias FROM j GROUP BY 1""")
 def resolve_prefix(spark, folder):
-    return resolve.resolve_prefix(_names(spark, folder), _aliases(spark, folder))
+    return resolve.resolve_prefix(raw_names(spark, folder), aliases(spark, folder))
 
 
 @query()
 def resolve_fuzzy(spark, folder):
-    return resolve.resolve_fuzzy(_names(spark, folder), _aliases(spark, folder))
+    return resolve.resolve_fuzzy(raw_names(spark, folder), aliases(spark, folder))
 
 
 @query()
 def resolve_cascade(spark, folder):
-    return resolve.resolve_names(_names(spark, folder), _aliases(spark, folder), resolve.corpus_map(current_laws(spark, folder, "name", "short_name")))
+    return resolve.resolve_names(raw_names(spark, folder), aliases(spark, folder), resolve.corpus_map(current_laws(spark, folder, "name", "short_name")))
 
 
 @query()
@@ -528,35 +510,20 @@ def cascade_scores(spark, folder):
     return graph.cascade_scores(supplier_edges(spark, folder))
 
 
-@query()
-def cascade_top(spark, folder):
-    return graph.cascade_top(supplier_edges(spark, folder))
-
-
-def _pagerank_sql(steps: int, alpha: float = 0.85) -> str:
-    out = f"WITH {LINES_SQL}, {VERTICES_SQL}, d AS (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS p FROM links), c AS (SELECT count(*)::DOUBLE AS n FROM vs), r0 AS (SELECT id, 1.0::DOUBLE / n AS r FROM vs, c)"
+def pagerank_sql(steps: int, relations: str, result: str, weight: str = "1.0::DOUBLE", alpha: float = 0.85) -> str:
+    """PageRank step by step over `links` and `vs` of the relations; `r<k>` holds the ranks after k steps."""
+    out = f"WITH {relations}, d AS (SELECT src, dst, {weight}::DOUBLE / sum({weight}) OVER (PARTITION BY src) AS p FROM links), c AS (SELECT count(*)::DOUBLE AS n FROM vs), r0 AS (SELECT id, 1.0::DOUBLE / n AS r FROM vs, c)"
     for i in range(1, steps + 1):
         out += f""", r{i} AS MATERIALIZED (SELECT vs.id, {1 - alpha}::DOUBLE / n + {alpha}::DOUBLE * (coalesce(m.m, 0) + (SELECT coalesce(sum(r), 0) FROM r{i - 1} WHERE id NOT IN (SELECT src FROM d)) / n) AS r
           FROM vs CROSS JOIN c LEFT JOIN (SELECT dst AS id, sum(r * p) AS m FROM r{i - 1} JOIN d ON r{i - 1}.id = d.src GROUP BY 1) m ON m.id = vs.id)"""
-    return out + f" SELECT id, round(r, 8) AS pagerank FROM r{steps}"
+    return f"{out} {result}"
 
 
-@query(_pagerank_sql(10))
+@query(pagerank_sql(10, f"{LINES_SQL}, {VERTICES_SQL}", "SELECT id, round(r, 8) AS pagerank FROM r10"))
 def pagerank_fixed_iters(spark, folder):
     return graph.pagerank(supplier_edges(spark, folder), iterations=10).select("id", F.round("pagerank", 8).alias("pagerank"))
 
 
-@query()
-def pagerank_converged(spark, folder):
-    """The weighted law graph, until the ranks hardly change."""
-    return graph.pagerank(law_edges(spark, folder), weighted=True).select("id", F.round("pagerank", 6).alias("pagerank"))
-
-
-@query()
-def hub_top(spark, folder):
-    return pagerank_converged(spark, folder).orderBy(F.desc("pagerank"), "id").limit(20)
-
-
 def _hits_sql(steps: int) -> str:
     out = f"WITH {LINES_SQL}, {VERTICES_SQL}, h0 AS (SELECT id, 1.0::DOUBLE AS hub FROM vs)"
     for i in range(1, steps + 2):
@@ -584,16 +551,6 @@ def clustering_coefficient(spark, folder):
     return graph.clustering(supplier_edges(spark, folder))
 
 
-@query()
-def betweenness(spark, folder):
-    return graph.betweenness(supplier_edges(spark, folder)).select("id", F.round("betweenness", 8).alias("betweenness"))
-
-
-@query()
-def betweenness_sampled(spark, folder):
-    return graph.betweenness(supplier_edges(spark, folder), sources=50).select("id", F.round("betweenness", 8).alias("betweenness"))
-
-
 @query()
 def communities(spark, folder):
     return graph.louvain(law_edges(spark, folder))
@@ -723,8 +680,15 @@ def metric_suite(spark, folder):
 
 
 def queries() -> dict[str, Query]:
-    return core_problems.queries() | _QUERIES
+    _others()
+    return core_problems.queries() | QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return core_problems.oracle_sql() | _SQL
+    _others()
+    return core_problems.oracle_sql() | SQL
+
+
+def _others() -> None:
+    """Modules whose queries build on those above."""
+    from lexmill.plans import ingest, views  # noqa: F401
