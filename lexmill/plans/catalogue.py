@@ -349,30 +349,25 @@ t AS (SELECT id, pos, arg_min(line, i) AS first, regexp_replace(string_agg(line,
 n AS (SELECT *, regexp_extract(first, '(?i)^(?:art[ií]culo|art\\.){_W}+([0-9]+[\\p{{L}}\\p{{M}}\\p{{N}}_\\-]*)', 1) AS number,
   regexp_replace(regexp_extract(first, '(?i)^(?:art[ií]culo|art\\.){_W}+[0-9]+[\\p{{L}}\\p{{M}}\\p{{N}}_\\-]*(?:[.\\-–]|{_W})*(.*)$', 1), '^{_W}+|{_W}+$', '', 'g') AS rest FROM t)
 SELECT id, pos, number, 'Artículo ' || number || CASE WHEN rest <> '' THEN ' — ' || rest ELSE '' END AS title, segment_text FROM n""")
-def segment_articles(spark, folder):
+def segmentlaw_articles(spark, folder):
     return segment.segmented(current_laws(spark, folder, "full_text"), "id", "full_text")
 
 
-@query()
-def segment_sections(spark, folder):
-    return segment.segmented(current_laws(spark, folder, "full_text"), "id", "full_text", "sections")
-
-
 @query(f"""WITH {CITATIONS_SQL}, n AS (SELECT DISTINCT target_law_raw AS raw FROM cit) SELECT raw, nullif(regexp_extract(raw, '(?i)art[ií]culos?\\s+([0-9]+[\\p{{L}}\\p{{N}}_\\-]*)', 1), '') AS article FROM n WHERE raw IS NOT NULL""")
 def first_article(spark, folder):
     return raw_names(spark, folder).withColumn("article", X.first_article(F.col("raw")))
 
 
-def _re2(expression: str) -> str:
+def re2(expression: str) -> str:
     return "(?i)" + expression.replace(r"\s", _W).replace(r"\w", r"[\p{L}\p{M}\p{N}_]")
 
 
 def _clean_name_sql() -> str:
     name = "trim(raw, ' ')"
     for tail in P.NAME_TAILS:
-        name = f"regexp_replace({name}, '{_re2(tail)}', '', 'g')"
+        name = f"regexp_replace({name}, '{re2(tail)}', '', 'g')"
     name = f"rtrim({name}, '.,;: ' || chr(9) || chr(10))"
-    trimmed = f"trim(regexp_replace(raw, '{_re2(P.TRAILING_JUNK)}', '', 'g'), ' ')"
+    trimmed = f"trim(regexp_replace(raw, '{re2(P.TRAILING_JUNK)}', '', 'g'), ' ')"
     return f"WITH n AS (SELECT DISTINCT target_law_raw AS raw FROM citations WHERE target_law_raw IS NOT NULL) SELECT raw, {name} AS name, {trimmed} AS trimmed FROM n"
 
 
@@ -384,38 +379,25 @@ def clean_name(spark, folder):
 # --- extraction
 
 
-def _articles(spark: SparkSession, folder: str) -> DataFrame:
+def law_articles(spark: SparkSession, folder: str) -> DataFrame:
     return extract.articles_or_text(current_laws(spark, folder, "articles", "full_text"))
 
 
-def _contexts(spark: SparkSession, folder: str) -> DataFrame:
+def contexts(spark: SparkSession, folder: str) -> DataFrame:
     """The texts around citations as articles: the laws of the test tables cite only themselves."""
     return current_citations(spark, folder, "source_law", "source_article", "citation_text").select("source_law", "source_article", F.col("citation_text").alias("text"))
 
 
-@query()
-def extract_citations(spark, folder):
-    return extract.extract_citations(_contexts(spark, folder).unionByName(_articles(spark, folder))).drop("pattern_order")
-
-
 _MENTION_SQL = r"(?i)(?:^|[^\p{L}\p{N}_])(?:la|el)\s+((?:Ley|Código|Reglamento|Decreto)\s+(?:Federal|General|Nacional|Orgánica|Orgánico|de|del|para|sobre|en)\s+[A-ZÁÉÍÓÚÜÑ][^,;.()]{5,120}?)(?:[,;.()\n]|$)"
 
 
 @query(f"""WITH {CITATIONS_SQL}, m AS (SELECT unnest(regexp_extract_all(citation_text, '{_MENTION_SQL}', 1)) AS name FROM cit) SELECT name, CAST(count(*) AS BIGINT) AS n FROM m GROUP BY 1""")
 def direct_mentions(spark, folder):
     expression = {name: expression for name, _, _, expression in P.CITATION_PATTERNS}["direct_mention"]
-    found = _contexts(spark, folder).select(F.explode(extract.find_all(F.col("text"), P.FLAGS + expression)).alias("m"))
+    found = contexts(spark, folder).select(F.explode(extract.find_all(F.col("text"), P.FLAGS + expression)).alias("m"))
     return found.groupBy(F.col("m.g1").alias("name")).agg(F.count("*").alias("n"))
 
 
-@query()
-def extract_pipeline(spark, folder):
-    """Extraction, deduplication and removal of self references, one after the other."""
-    found = extract.extract_citations(_contexts(spark, folder).unionByName(_articles(spark, folder)))
-    once = extract.deduplicate_citations(found, ["pattern_order", "char_offset", "citation_text"]).drop("pattern_order")
-    return extract.drop_self_references(once, current_laws(spark, folder, "name", "short_name"))
-
-
 @query(f"""WITH {CITATIONS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY source_law, source_article, substring(lower(target_law_raw), 1, 50) ORDER BY {RANK_SQL.format(c='confidence')} DESC, char_offset, citation_id) AS n FROM cit)
 SELECT citation_id, source_law, source_article, target_law_raw, confidence FROM r WHERE n = 1""")
 def citation_dedup(spark, folder):
@@ -428,16 +410,6 @@ def self_reference_filter(spark, folder):
     return extract.drop_self_references(current_citations(spark, folder, "source_law", "target_law_raw"), current_laws(spark, folder, "name", "short_name")).select("citation_id")
 
 
-@query()
-def extract_definitions(spark, folder):
-    return extract.extract_definitions(_articles(spark, folder))
-
-
-@query()
-def extract_norm_citations(spark, folder):
-    return extract.extract_norm_citations(_articles(spark, folder))
-
-
 # --- resolution
 
 ALIASES_SQL = """al AS (SELECT lower(trim(a, ' ')) AS alias, law_id, i FROM (SELECT law_id, unnest(list_concat([name, short], coalesce(aliases, []))) AS a, generate_subscripts(list_concat([name, short], coalesce(aliases, [])), 1) - 1 AS i FROM law_registry) WHERE a IS NOT NULL AND a <> ''),

@@ -59,6 +59,16 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return both.select(F.inline("nodes")), edges
 
 
+def read_graph_folder(spark: SparkSession, path: str, link: str = "source string, target string, citation_count long, confidence string") -> tuple[DataFrame, DataFrame]:
+    """Vertices and edges of folders `nodes` and `links`."""
+    edges = spark.read.schema(link).json(f"{path}/links").withColumnsRenamed({"source": "src", "target": "dst"})
+    return spark.read.schema("id string").json(f"{path}/nodes"), edges
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(schema).csv(path, header=True, quote='"', escape='"', multiLine=True)
+
+
 def _fields(ddl: str) -> str:
     return ", ".join(f"{name}:{kind}" for name, kind in (part.strip().split(" ", 1) for part in ddl.split(", ")))
 

@@ -30,6 +30,17 @@ def _rows(df: DataFrame, order: list[str]) -> list[dict]:
     return [r.asDict() for r in rows]
 
 
+def write_graph(vertices: DataFrame, edges: DataFrame, path: str) -> None:
+    """A graph of any size as two folders of JSON lines, `nodes` and `links` (source, target and all other attributes)."""
+    vertices.write.mode("overwrite").json(f"{path}/nodes")
+    edges.withColumnsRenamed({"src": "source", "dst": "target"}).write.mode("overwrite").json(f"{path}/links")
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """A table with a header; line ends, quotes and empty texts come back as they were."""
+    df.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', quoteAll=True, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
 def graph_document(vertices: DataFrame, edges: DataFrame) -> dict:
     """Nodes and links for drawing; floats are rounded to six places, and all attributes of the edges are kept."""
     short = lambda r: {k: round(v, 6) if isinstance(v, float) else v for k, v in r.items()}
