@@ -181,8 +181,23 @@ def _copies_sql() -> str:
 g AS (SELECT k, min(id) AS keep_id, CAST(count(*) AS BIGINT) AS copies FROM k GROUP BY 1 HAVING count(*) > 1)"""
 
 
+def _leaks_sql() -> str:
+    """Passages of both sides as text, by their number of words: 20, or all of a shorter item."""
+    words = r"regexp_extract_all(regexp_replace(strip_accents(lower(nfc_normalize(text))), '[\p{M}\p{Cf}]', '', 'g'), '[\p{L}\p{N}]+')"
+    return f"""WITH i AS (SELECT item_id, {words} AS ws FROM eval_items WHERE text IS NOT NULL), iw AS (SELECT *, least(len(ws), 20) AS k FROM i WHERE len(ws) > 0),
+ip AS (SELECT DISTINCT item_id, k, array_to_string(ws[p:p + k - 1], ' ') AS passage FROM (SELECT *, unnest(range(1, len(ws) - k + 2)) AS p FROM iw)),
+firsts AS (SELECT DISTINCT k, split_part(passage, ' ', 1) || ' ' || split_part(passage, ' ', 2) AS w FROM ip),
+d AS (SELECT doc_id, {words} AS ws FROM documents WHERE text IS NOT NULL), dp AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS p FROM d),
+c AS (SELECT doc_id, k, array_to_string(ws[p:p + k - 1], ' ') AS passage FROM dp JOIN firsts ON w = ws[p] || ' ' || coalesce(ws[p + 1], '') WHERE p + k - 1 <= len(ws)),
+leaks AS (SELECT DISTINCT doc_id, item_id FROM c JOIN ip USING (k, passage))"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p5_found": f"{_copies_sql()} SELECT DISTINCT keep_id, id AS dup_id FROM k JOIN g USING (k) WHERE id <> keep_id",
         "p5_collapsed": f"{_copies_sql()} SELECT keep_id, copies FROM g",
+        "p7_found": f"{_leaks_sql()} SELECT * FROM leaks",
+        "p7_items": f"{_leaks_sql()} SELECT item_id, CAST(count(*) AS BIGINT) AS n_documents FROM leaks GROUP BY 1",
+        # sizes keep so far from the limit that words and signs are as good a measure as tokens
+        "p9_found": r"SELECT DISTINCT doc_id FROM documents WHERE len(regexp_extract_all(text, '[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}\s]')) > 2048",
     }

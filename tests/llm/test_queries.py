@@ -1,0 +1,71 @@
+"""Queries with SQL give the same rows as DuckDB on the smallest test tables; the others run and keep what they promise."""
+
+import glob
+import os
+
+import duckdb
+import pytest
+
+from lexmill.llm import queries
+
+FOLDER = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
+
+
+@pytest.fixture(scope="module")
+def sql():
+    con = duckdb.connect()
+    for path in glob.glob(f"{FOLDER}/*.parquet"):
+        con.execute(f"create view {os.path.basename(path)[:-8]} as select * from '{path}'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_as_sql(spark, sql, name):
+    df = queries.queries()[name](spark, FOLDER)
+    result = sql.execute(queries.oracle_sql()[name])
+    columns = [c[0] for c in result.description]
+    assert sorted(df.columns) == sorted(columns)
+    assert sorted(map(tuple, df.select(*columns).collect())) == sorted(map(tuple, result.fetchall()))
+
+
+def test_found_records_are_the_restored_ones(spark):
+    found = {tuple(r) for r in queries.p1_found(spark, FOLDER).collect()}
+    restored = queries.p1_restored(spark, FOLDER).collect()
+    assert {(r.table_name, r.record_id) for r in restored} == found and all(r.garbled_places > 0 for r in restored)
+
+
+def test_names(spark):
+    named = {r.target_law_raw: r.matched for r in queries.p2_names(spark, FOLDER).collect()}
+    raw = {r.citation_id: r.target_law_raw for r in queries._doubtful(spark, FOLDER).collect()}
+    found = {tuple(r) for r in queries.p2_found(spark, FOLDER).collect()}
+    assert found == {(i, named.get(n, "unmatched") if n is not None else "unmatched") for i, n in raw.items()}
+
+
+def test_unified_texts_need_no_change(spark):
+    mixed = {tuple(r) for r in queries.p6_found(spark, FOLDER).collect()}
+    texts = queries.p6_unified(spark, FOLDER).collect()
+    from lexmill.llm.unify import unify
+
+    assert mixed <= {(r.table_name, r.record_id) for r in texts}
+    assert all(r.text is None or unify(r.text) == r.text for r in texts)
+
+
+def test_mixtures(spark):
+    shares = queries.p8_shares(spark, FOLDER).collect()
+    assert abs(sum(r.reached_share for r in shares) - 1) < 1e-9
+    budgets = queries.p8_deep_budgets(spark, FOLDER).collect()
+    assert all(0 <= r.budget <= r.tokens * r.cap * (1 + 1e-9) for r in budgets)
+    assert any(abs(r.budget - r.tokens * r.cap) < 1e-6 for r in budgets)  # some leaf runs short, and its siblings get what it lacks
+    used = {}
+    for r in queries.p8_deep_mixture(spark, FOLDER).collect():
+        used.setdefault((r.source, r.lang, r.domain), []).append(r.n_tokens)
+    for r in budgets:
+        own = used.get((r.source, r.lang, r.domain), [])
+        assert abs(sum(own) - r.budget) <= max([*own, r.tokens])
+
+
+def test_pieces_cover_their_documents(spark):
+    found = {r.doc_id for r in queries.p9_found(spark, FOLDER).collect()}
+    pieces = queries.p9_pieces(spark, FOLDER).collect()
+    assert {r.doc_id for r in pieces if r.n_pieces > 1} == found and all(r.n_tokens <= 2048 for r in pieces)
