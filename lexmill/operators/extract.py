@@ -2,11 +2,13 @@
 
 Offsets come from the text between the matches: the pieces of a split and the
 matches of the same expression alternate, so running sums of their lengths
-give where each match starts.
+give where each match starts. Each expression is run once over a text for its
+matches, once for the pieces between and once for each group.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,19 +23,31 @@ CONTEXT, NORM_CONTEXT = 150, 200
 LEAST_NAME = 5
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once, however often the body and the lambdas in it use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def find_all(text: Column, expression: str, groups: int = 1) -> Column:
     """Array of (offset, found, g1..gn) for all matches; offsets count code points from 0. Null text gives null."""
     pattern = F.lit(expression)
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    captured = [F.regexp_extract_all(text, pattern, F.lit(i + 1)) for i in range(groups)]
-    gaps = F.split(text, expression, -1)
-    sums = lambda parts, n: F.aggregate(F.slice(parts, 1, n), F.lit(0), lambda a, x: a + F.length(x))
-    return F.transform(
-        F.when(F.size(found) > 0, F.sequence(F.lit(1), F.size(found))).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct(
-            (sums(gaps, i) + sums(found, i - 1)).alias("offset"), F.get(found, i - 1).alias("found"), *[F.get(c, i - 1).alias(f"g{k + 1}") for k, c in enumerate(captured)]
-        ),
-    )
+    captured = [F.regexp_extract_all(text, pattern, F.lit(i + 1)).alias(f"g{i + 1}") for i in range(groups)]
+    parts = F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("found"), F.split(text, expression, -1).alias("gaps"), *captured)
+    kind = ", ".join(["offset: int", "found: string", *(f"g{i + 1}: string" for i in range(groups))])
+
+    def matches(x: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+
+        def step(so_far: Column, i: Column) -> Column:
+            here = so_far["at"] + F.length(F.get(x["gaps"], i))
+            return F.struct((here + F.length(F.get(x["found"], i))).alias("at"), F.concat(so_far["starts"], F.array(here)).alias("starts"))
+
+        starts = F.aggregate(F.sequence(F.lit(0), F.size(x["found"]) - 1), start, step, lambda s: s["starts"])
+        one = lambda s: F.transform(x["found"], lambda m, i: F.struct(F.get(s, i).alias("offset"), m.alias("found"), *[F.get(x[f"g{k + 1}"], i).alias(f"g{k + 1}") for k in range(groups)]))
+        return _bound(starts, one)
+
+    # most texts have no match of most expressions: they are searched once, and that is all
+    return F.when(text.rlike(expression), _bound(parts, matches)).when(text.isNotNull(), F.array().cast(f"array<struct<{kind}>>"))
 
 
 def _context(text: Column, offset: Column, found: Column, width: int) -> Column:
