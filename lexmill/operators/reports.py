@@ -127,6 +127,12 @@ def invalid_dependencies(dependencies: DataFrame) -> DataFrame:
     return dependencies.select(F.explode(F.array_compact(lacking)).alias("field")).groupBy("field").agg(F.count("*").alias("n"))
 
 
+def field_checks(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """(field, n, n_lacking): of all rows, how many have nothing in each field."""
+    each = F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f).cast("string"), F.lit("")).alias("v")) for f in fields])
+    return rows.select(F.explode(each).alias("r")).groupBy("r.field").agg(F.count("*").alias("n"), F.count_if(F.col("r.v") == "").alias("n_lacking"))
+
+
 def article_stats_top(edges: DataFrame, top: int = 100, citing: int = 8) -> DataFrame:
     """Specific articles (not the unknown one) by citations, with the laws that cite each most."""
     into = edges.where(~F.col("dst").endswith("::?")).groupBy("dst", F.split("src", "::")[0].alias("law")).agg(F.sum("weight").alias("n"))

@@ -304,9 +304,12 @@ def harmonization(spark, folder):
     return reports.harmonization(dependencies(spark, folder))
 
 
-@query(f"WITH {DEPENDENCIES_SQL} SELECT 'target_law_id' AS field, CAST(count(*) AS BIGINT) AS n FROM dep WHERE coalesce(target_law_id, '') = '' HAVING count(*) > 0")
-def validatedependencies(spark, folder):
-    return reports.invalid_dependencies(dependencies(spark, folder))
+@query(f"""WITH {DEPENDENCIES_SQL}, f AS (SELECT unnest([{{'field': 'source_law', 'v': source_law}}, {{'field': 'target_law_id', 'v': target_law_id}}, {{'field': 'dependency_type', 'v': dependency_type}},
+  {{'field': 'source_article', 'v': source_article}}, {{'field': 'target_article', 'v': target_article}}]) AS r FROM dep)
+SELECT r.field AS field, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (coalesce(r.v, '') = '') AS BIGINT) AS n_lacking FROM f GROUP BY 1""")
+def validate_dependencies(spark, folder):
+    """Dependencies that lack a field, by field."""
+    return reports.field_checks(dependencies(spark, folder), ["source_law", "target_law_id", "dependency_type", "source_article", "target_article"])
 
 
 # --- text
@@ -349,7 +352,7 @@ t AS (SELECT id, pos, arg_min(line, i) AS first, regexp_replace(string_agg(line,
 n AS (SELECT *, regexp_extract(first, '(?i)^(?:art[ií]culo|art\\.){_W}+([0-9]+[\\p{{L}}\\p{{M}}\\p{{N}}_\\-]*)', 1) AS number,
   regexp_replace(regexp_extract(first, '(?i)^(?:art[ií]culo|art\\.){_W}+[0-9]+[\\p{{L}}\\p{{M}}\\p{{N}}_\\-]*(?:[.\\-–]|{_W})*(.*)$', 1), '^{_W}+|{_W}+$', '', 'g') AS rest FROM t)
 SELECT id, pos, number, 'Artículo ' || number || CASE WHEN rest <> '' THEN ' — ' || rest ELSE '' END AS title, segment_text FROM n""")
-def segmentlaw_articles(spark, folder):
+def segment_articles(spark, folder):
     return segment.segmented(current_laws(spark, folder, "full_text"), "id", "full_text")
 
 
