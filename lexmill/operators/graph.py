@@ -212,13 +212,23 @@ def hits(edges: DataFrame, iterations: int | None = 20, tolerance: float = 1e-8,
     return nodes.join(hub, "id", "left").join(authority, "id", "left").fillna(0.0)
 
 
-def clustering(edges: DataFrame) -> DataFrame:
-    """Degree, triangles and local clustering coefficient on the undirected graph.
+def clustering(edges: DataFrame, most_local: int = MOST_LOCAL_EDGES) -> DataFrame:
+    """Degree, triangles and local clustering coefficient on the undirected graph; a node with no edge but to itself has zeros.
 
     Edges point from the node of lower degree to that of higher degree, so that
     a hub's neighbours are never paired with one another.
     """
-    flat = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    c = F.when(F.col("degree") > 1, F.round(2.0 * F.col("triangles") / (F.col("degree") * (F.col("degree") - 1)), 6)).otherwise(F.lit(0.0))
+    e = checkpointed(edges.select("src", "dst").distinct())
+    if e.count() <= most_local:
+
+        def run(g: whole.Graph, shares: set[int], parts: int):
+            degree, triangles = whole.triangles(g)
+            yield g.rows(degree=degree, triangles=triangles)
+
+        return whole.on_graph(e, run, f"id {_kind(e)}, degree long, triangles long").withColumn("clustering", c)
+    alone = vertices_of(e)
+    flat = e.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     degree = flat.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
     d = degree.select(F.col("id"), F.struct("degree", "id").alias("o"))
     rows = flat.join(d.select(F.col("id").alias("a"), F.col("o").alias("oa")), "a").join(d.select(F.col("id").alias("b"), F.col("o").alias("ob")), "b")
@@ -227,8 +237,7 @@ def clustering(edges: DataFrame) -> DataFrame:
     closed = up.select(F.col("oa").alias("v"), F.col("ob").alias("w"))
     triples = x.join(y, "u").where("v < w").join(closed, ["v", "w"])
     triangles = triples.select(F.explode(F.array("u.id", "v.id", "w.id")).alias("id")).groupBy("id").agg(F.count("*").alias("triangles"))
-    c = F.when(F.col("degree") > 1, F.round(2.0 * F.col("triangles") / (F.col("degree") * (F.col("degree") - 1)), 6)).otherwise(F.lit(0.0))
-    return degree.join(triangles, "id", "left").fillna(0, ["triangles"]).withColumn("clustering", c)
+    return alone.join(degree, "id", "left").join(triangles, "id", "left").fillna(0, ["degree", "triangles"]).withColumn("clustering", c)
 
 
 def reachability(edges: DataFrame, most: int = 100) -> DataFrame:

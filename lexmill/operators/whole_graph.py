@@ -222,6 +222,35 @@ def cascades(g: Graph, shares: set[int], parts: int, block_bytes: int = BLOCK_BY
     return total[component]
 
 
+# --- triangles
+
+
+def triangles(g: Graph) -> tuple[np.ndarray, np.ndarray]:
+    """Degree and number of triangles of each node on the undirected graph; edges point to the node of higher degree."""
+    keep = g.src != g.dst
+    a, b = np.minimum(g.src[keep], g.dst[keep]), np.maximum(g.src[keep], g.dst[keep])
+    a, b = np.unique(np.stack([a, b]), axis=1) if len(a) else (a, b)
+    degree = np.bincount(a, minlength=g.n) + np.bincount(b, minlength=g.n)
+    rank = np.empty(g.n, np.int64)
+    rank[np.lexsort((np.arange(g.n), degree))] = np.arange(g.n)
+    up = rank[a] < rank[b]
+    tails, heads = np.where(up, a, b), np.where(up, b, a)
+    order = np.argsort(tails, kind="stable")
+    heads, first = heads[order], np.searchsorted(tails[order], np.arange(g.n + 1))
+    found, near = np.zeros(g.n, np.int64), np.zeros(g.n, bool)
+    for u in np.flatnonzero(np.diff(first) > 1).tolist():
+        own = heads[first[u] : first[u + 1]]
+        near[own] = True
+        at, counts = places(own, first)
+        closed = near[heads[at]]
+        near[own] = False
+        if closed.any():
+            found[u] += closed.sum()
+            np.add.at(found, np.repeat(own, counts)[closed], 1)
+            np.add.at(found, heads[at][closed], 1)
+    return degree, found
+
+
 # --- betweenness
 
 

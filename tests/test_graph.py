@@ -151,7 +151,11 @@ def test_betweenness_chain_and_star(spark):
 
 def test_clustering(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "d")], "src string, dst string")
-    assert {r.id: (r.degree, r.triangles, r.clustering) for r in graph.clustering(e).collect()} == {"a": (2, 1, 1.0), "b": (2, 1, 1.0), "c": (3, 1, 0.333333), "d": (1, 0, 0.0)}
+    for most in (0, 10**6):
+        assert {r.id: (r.degree, r.triangles, r.clustering) for r in graph.clustering(e, most).collect()} == {"a": (2, 1, 1.0), "b": (2, 1, 1.0), "c": (3, 1, 0.333333), "d": (1, 0, 0.0)}
+    dense = spark.createDataFrame([(i, j) for i in range(40) for j in range(40) if (i * j + i) % 3 == 1], "src int, dst int")
+    one, many = (sorted(map(tuple, graph.clustering(dense, most).select("id", "degree", "triangles", "clustering").collect())) for most in (10**6, 0))
+    assert one == many
 
 
 def test_communities(spark):
