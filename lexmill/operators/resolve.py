@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import arrow_udf
 
 from lexmill.functions.text import strip_trailing_junk
-from lexmill.session import spread
+from lexmill.session import checkpointed, spread
 
 UNRESOLVED = "unresolved"
 FUZZY, FUZZY_HIGH, PREFIX_SCORE = 0.75, 0.90, 0.85
@@ -157,21 +157,20 @@ def resolve_names(names: DataFrame, aliases: DataFrame, corpus: DataFrame | None
     A corpus match replaces a fuzzy, prefix or missing one if its score is not lower. With `prefix_first` a
     prefix keeps its fixed score against the corpus; else it counts with the true ratio of the two names. Names that nothing resolves come back as unresolved.
     """
-    names = names.select("raw").where("raw is not null").distinct().persist()
+    names = checkpointed(names.select("raw").where("raw is not null").distinct())
     kind = "raw string, law_id string, confidence string, score double, matched_alias string, method string"
     by_hand = F.create_map(*[F.lit(x) for k, v in (manual or {"": ""}).items() for x in (k, v)])
     row = lambda df, confidence, score, method: df.select("raw", "law_id", confidence.alias("confidence"), score.alias("score"), "matched_alias", F.lit(method).alias("method"))
     hand = names.withColumn("law_id", F.try_element_at(by_hand, cleaned_name(F.col("raw")))).where("law_id is not null and law_id <> ''").withColumn("matched_alias", cleaned_name(F.col("raw")))
     done = row(hand, F.lit("high"), F.lit(1.0), "manual")
     exact = resolve_exact(names.join(done, "raw", "left_anti"), aliases)
-    done = done.unionByName(row(exact, F.lit("high"), F.lit(1.0), "exact"))
-    done = done.persist()
-    rest = names.join(done, "raw", "left_anti").persist()
+    done = checkpointed(done.unionByName(row(exact, F.lit("high"), F.lit(1.0), "exact")))
+    rest = checkpointed(names.join(done, "raw", "left_anti"))
     fuzzy = resolve_fuzzy(rest, aliases)
-    fuzzy = row(fuzzy, F.when(F.col("score") >= FUZZY_HIGH, "high").otherwise("medium"), F.col("score"), "fuzzy").persist()
+    fuzzy = checkpointed(row(fuzzy, F.when(F.col("score") >= FUZZY_HIGH, "high").otherwise("medium"), F.col("score"), "fuzzy"))
     prefix = resolve_prefix(rest.join(fuzzy, "raw", "left_anti"), aliases)
     prefix = row(prefix, F.lit("low"), F.lit(PREFIX_SCORE), "prefix")
-    found = done.unionByName(fuzzy).unionByName(prefix).persist()
+    found = checkpointed(done.unionByName(fuzzy).unionByName(prefix))
     if corpus is not None:
         weak = names.join(found.where("confidence = 'high'"), "raw", "left_anti")
         own = row(resolve_exact(weak, corpus), F.lit("high"), F.lit(1.0), "corpus_exact")
@@ -180,7 +179,7 @@ def resolve_names(names: DataFrame, aliases: DataFrame, corpus: DataFrame | None
         again = resolve_exact(left.select(F.col("t").alias("raw")).distinct(), corpus).withColumnRenamed("raw", "t")
         own = own.unionByName(row(left.join(again, "t"), F.lit("high"), F.lit(1.0), "corpus_exact"))
         near = resolve_fuzzy(left.select(F.col("t").alias("raw")).distinct().join(again.select(F.col("t").alias("raw")), "raw", "left_anti"), corpus).withColumnRenamed("raw", "t")
-        near = near.persist()
+        near = checkpointed(near)
         own = own.unionByName(row(left.join(near, "t"), F.when(F.col("score") >= FUZZY_HIGH, "high").otherwise("medium"), F.col("score"), "corpus_fuzzy"))
         first = Window.partitionBy("raw").orderBy(F.col("score").desc(), F.col("stage").desc(), "law_id")
         both = found.withColumn("stage", F.lit(0)).unionByName(own.withColumn("stage", F.lit(1)))
