@@ -18,9 +18,11 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +31,8 @@ from pyspark.sql import types as T
 WINDOW, SHINGLE = 20, 5
 #: Words of all items that may travel to every executor: 8 bytes each and as much for fingerprints.
 MOST_BROADCAST_WORDS = 2_000_000
+#: Blocks of that size that travel at once: some 60 MB each.
+BLOCKS_PER_PASS = 4
 #: Characters of documents that are worked on at once.
 BLOCK_CHARACTERS = 1_500_000
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -213,7 +217,7 @@ def contained_items(
     pair comes once for each document row; other columns don't come back. The
     items must be within MOST_BROADCAST_WORDS words; that is checked before
     anything is sent, and beyond it the items are worked through in blocks of
-    that size, each against all documents.
+    that size, BLOCKS_PER_PASS of them in each pass over the documents, whose words are hashed once for all of these.
     """
     held = items.where(F.col(item_text).isNotNull()).select(F.col(item_id).alias("i"), F.col(item_text).alias("t"))
     size = F.length("t") / 2 + 1  # no text has more words than that
@@ -221,14 +225,15 @@ def contained_items(
     blocks = int(total // MOST_BROADCAST_WORDS) + 1
     source = docs.where(F.col(doc_text).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(doc_text).alias("text"))
     schema = T.StructType([T.StructField("doc", docs.schema[doc_id].dataType), T.StructField("item", items.schema[item_id].dataType)])
-    out = None
+    context, sent, parts = docs.sparkSession.sparkContext, [], []
     for block in range(blocks):
         own = held.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block) if blocks > 1 else held
-        rows = own.toPandas()  # within the bound just checked
-        index = build_index(rows["i"].tolist(), rows["t"].tolist(), window, shingle)
-        part = _probe(source, index, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+        rows = own.toArrow()  # within the bound just checked
+        sent.append(context.broadcast(build_index(rows.column("i").to_pylist(), rows.column("t").to_pylist(), window, shingle)))
+        if len(sent) == BLOCKS_PER_PASS or block == blocks - 1:
+            parts.append(_probe(source, sent, schema))
+            sent = []
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -243,19 +248,19 @@ def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def _probe(source: DataFrame, index: ItemIndex, schema: T.StructType) -> DataFrame:
-    sent = source.sparkSession.sparkContext.broadcast(index)
+def _probe(source: DataFrame, sent: list[Broadcast], schema: T.StructType) -> DataFrame:
     kinds = [pa.int64() if isinstance(f.dataType, T.LongType) else None for f in schema.fields]
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for start, end in _blocks(texts):
                 hashes, counts = word_hashes(texts[start:end])
-                pairs = sorted(find_items(own, hashes, np.concatenate([[0], np.cumsum(counts)])))
-                if pairs:
-                    ids = batch.column(0).take(pa.array([start + d for d, _ in pairs], pa.int64()))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array([own.ids[i] for _, i in pairs], kinds[1])], ["doc", "item"])
+                bounds = np.concatenate([[0], np.cumsum(counts)])
+                for own in (x.value for x in sent):
+                    pairs = sorted(find_items(own, hashes, bounds))
+                    if pairs:
+                        ids = batch.column(0).take(pa.array([start + d for d, _ in pairs], pa.int64()))
+                        yield pa.RecordBatch.from_arrays([ids, pa.array([own.ids[i] for _, i in pairs], kinds[1])], ["doc", "item"])
 
     return source.mapInArrow(probe, schema)
