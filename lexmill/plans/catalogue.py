@@ -121,12 +121,6 @@ def article_metrics(spark, folder):
     return graph.article_metrics(article_edges(spark, folder))
 
 
-@query()
-def article_pagerank(spark, folder):
-    """The weighted article graph, until the ranks hardly change."""
-    return graph.pagerank(article_edges(spark, folder), weighted=True, tolerance=1e-9).select(F.col("id").alias("node_id"), F.round("pagerank", 8).alias("pagerank"))
-
-
 @query()
 def article_betweenness(spark, folder):
     """From 100 sources, with weights as lengths."""

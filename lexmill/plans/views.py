@@ -167,6 +167,12 @@ def hub_top(spark, folder):
     return pagerank_converged(spark, folder).orderBy(F.desc("pagerank"), "id").limit(20)
 
 
+@query(pagerank_sql(_STEPS, _WEIGHTED_LINKS_SQL, f"SELECT id AS node_id, round(r, 8) AS pagerank FROM r{_STEPS}", "weight"))
+def article_pagerank(spark, folder):
+    """The weighted article graph, until the ranks hardly change."""
+    return graph.pagerank(article_edges(spark, folder), weighted=True, tolerance=1e-14).select(F.col("id").alias("node_id"), F.round("pagerank", 8).alias("pagerank"))
+
+
 # --- resolution in parts
 
 
