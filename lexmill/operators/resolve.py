@@ -24,6 +24,8 @@ FUZZY, FUZZY_HIGH, PREFIX_SCORE = 0.75, 0.90, 0.85
 PREFIX_LENGTH, LEAST_ALIAS = 15, 10
 #: Aliases that may travel to every executor at once for the fuzzy step.
 MOST_BROADCAST_ALIASES = 200_000
+#: Texts under which each is compared for itself rather than as an array.
+FEW = 50
 
 
 def alias_map(registry: DataFrame, name: str = "name", short: str = "short", aliases: str = "aliases", key: str = "law_id") -> DataFrame:
@@ -49,7 +51,7 @@ def resolve_exact(names: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def _bag(texts: list[str]) -> np.ndarray:
     """Counts of the characters of each text, in 64 classes; characters that share one only raise the bound."""
-    out = np.zeros((len(texts), 64), np.int16)
+    out = np.zeros((len(texts), 64), np.int32)
     for i, t in enumerate(texts):
         codes, n = np.unique(np.frombuffer(t.encode("utf-32-le"), np.uint32) % 64, return_counts=True)
         out[i, codes] = n
@@ -75,25 +77,94 @@ def common_length(name: str, masks: dict[str, int], length: int) -> int:
     return length - row.bit_count()
 
 
-def best_ratio(name: str, own: np.ndarray, aliases: list[str], bags: np.ndarray, masks: list[dict[str, int]], least: float) -> tuple[int, float]:
-    """Place of the alias with the largest matcher ratio of at least `least`, the first of equals; -1 if there is none.
+class Listed:
+    """Texts by length, as arrays over which bounds of the matcher ratio are worked out for many of them at once.
 
-    Two bounds come before the matcher, and neither can be under its ratio: the characters in common, by
-    which the aliases are ordered, and the longest common subsequence.
+    Their characters lie by place: all first ones, all second ones, and so on, so a long text takes only its own room.
     """
-    bound = 2.0 * np.minimum(bags, own).sum(1) / np.maximum(bags.sum(1) + own.sum(), 1)
-    open_ = np.flatnonzero(bound >= least - 1e-12)
-    best, score = -1, 0.0
-    for i in open_[np.lexsort((open_, -bound[open_]))]:
-        if bound[i] < score - 1e-12:
-            break
-        alias = aliases[i]
-        if 2.0 * common_length(name, masks[i], len(alias)) / (len(name) + len(alias)) < max(least, score) - 1e-12:
-            continue
-        ratio = SequenceMatcher(None, name, alias).ratio()
-        if ratio >= least and (ratio > score or (ratio == score and i < best)):
-            best, score = int(i), ratio
-    return best, score
+
+    def __init__(self, texts: list[str]):
+        self.texts, length = texts, np.array([len(t) for t in texts], np.int64)
+        self.order = np.argsort(length, kind="stable")
+        self.length = length[self.order]
+        kind = np.int16 if self.length.max(initial=0) < 32_768 else np.int32
+        self.bags = np.ascontiguousarray(_bag(texts)[self.order].T.astype(kind))
+        flat = np.frombuffer("".join(texts[i] for i in self.order).encode("utf-32-le"), np.uint32)
+        self.letters, codes = np.unique(flat, return_inverse=True)
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(self.length) - self.length, self.length)
+        self.codes = codes[np.argsort(place, kind="stable")].astype(np.uint16 if len(self.letters) < 65_536 else np.uint32)
+        #: How many texts are too short to have the place, and where the place begins in the codes.
+        self.short = np.searchsorted(self.length, np.arange(self.length.max(initial=0)), side="right")
+        self.begin = np.cumsum(len(texts) - self.short) - (len(texts) - self.short)
+
+    def alike(self, name: str, own: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Places by length of the texts whose characters in common allow a ratio of `least`, and that bound."""
+        n = len(name)
+        low, high = np.searchsorted(self.length, [least * n / (2 - least) - 1e-6, n * (2 - least) / least + 1e-6]) if least > 0 else (0, len(self.texts))
+        common, own = np.zeros(high - low, self.bags.dtype), np.minimum(own, np.iinfo(self.bags.dtype).max).astype(self.bags.dtype)
+        for c in np.flatnonzero(own):
+            common += np.minimum(self.bags[c, low:high], own[c])
+        bound = 2.0 * common / np.maximum(self.length[low:high] + n, 1)
+        open_ = np.flatnonzero(bound >= least - 1e-12)
+        return low + open_, bound[open_]
+
+    def common_lengths(self, name: str, at: np.ndarray) -> np.ndarray:
+        """Lengths of the longest common subsequences of the name with the texts at ascending places by length, by bit-parallel addition over all of them."""
+        if len(at) < FEW:
+            masks = _masks(name)
+            return np.array([common_length(self.texts[i], masks, len(name)) for i in self.order[at].tolist()], np.int64)
+        words = -(-len(name) // 64)
+        masks = np.zeros((words, len(self.letters)), np.uint64)
+        codes = np.frombuffer(name.encode("utf-32-le"), np.uint32)
+        found = np.minimum(np.searchsorted(self.letters, codes), len(self.letters) - 1)
+        for i in np.flatnonzero(self.letters[found] == codes).tolist():
+            masks[i // 64, found[i]] |= np.uint64(1 << i % 64)
+        rows = np.full((words, len(at)), np.uint64(2**64 - 1))
+        for j, first in enumerate(np.searchsorted(at, self.short[: self.length[at[-1]]]).tolist()):
+            letter = self.codes[self.begin[j] :].take(at[first:] - self.short[j])
+            over = None
+            for w in range(words):
+                row = rows[w, first:]
+                hit = masks[w].take(letter)
+                hit &= row
+                total = row + hit
+                if w + 1 < words or over is not None:
+                    carry, over = over, total < hit
+                    if carry is not None:
+                        total += carry
+                        over |= carry & (total == 0)
+                row ^= hit
+                row |= total
+        used = np.array([(1 << min(64, len(name) - 64 * w)) - 1 for w in range(words)], np.uint64)
+        return len(name) - np.bitwise_count(rows & used[:, None]).sum(0, dtype=np.int64)
+
+    def best_ratio(self, name: str, own: np.ndarray, least: float) -> tuple[int, float]:
+        """Place in the list of the text with the largest matcher ratio of at least `least`, the first of equals; -1 if there is none.
+
+        Two bounds come before the matcher, and neither can be under its ratio: the characters in common, and of the
+        texts that these leave open the longest common subsequence. The text with most in common is matched first, so that its ratio closes others.
+        """
+        at, bound = self.alike(name, own, least)
+        best, score = -1, 0.0
+
+        def match(k: int) -> None:
+            nonlocal best, score
+            i = int(self.order[k])
+            ratio = SequenceMatcher(None, name, self.texts[i]).ratio()
+            if ratio >= least and (ratio > score or (ratio == score and i < best)):
+                best, score = i, ratio
+
+        if len(at):
+            top = at[np.argmax(bound)]
+            if 2.0 * self.common_lengths(name, at[at == top])[0] >= least * (len(name) + self.length[top]) - 1e-9:
+                match(top)
+            at = at[(bound >= score - 1e-12) & (at != top)]
+        bound = 2.0 * self.common_lengths(name, at) / np.maximum(self.length[at] + len(name), 1)
+        for k in np.lexsort((self.order[at], -bound)).tolist():
+            if bound[k] < max(least, score) - 1e-12:
+                break
+            match(at[k])
+        return best, score
 
 
 def resolve_fuzzy(names: DataFrame, aliases: DataFrame, least: float = FUZZY, most_aliases: int = MOST_BROADCAST_ALIASES) -> DataFrame:
@@ -109,15 +180,14 @@ def resolve_fuzzy(names: DataFrame, aliases: DataFrame, least: float = FUZZY, mo
         best = reduce(DataFrame.unionByName, found).groupBy("raw").agg(F.min(F.struct((-F.col("score")).alias("far"), "ord", "law_id", "matched_alias")).alias("m"))
         return best.select("raw", "m.law_id", "m.matched_alias", (-F.col("m.far")).alias("score"))
     rows = [(r["alias"], r["law_id"]) for r in aliases.orderBy("ord").collect()]
-    sent = names.sparkSession.sparkContext.broadcast((rows, _bag([a for a, _ in rows]), [_masks(a) for a, _ in rows]))
+    sent = names.sparkSession.sparkContext.broadcast((rows, Listed([a for a, _ in rows])))
     kind = T.StructType([T.StructField("law_id", T.StringType()), T.StructField("matched_alias", T.StringType()), T.StructField("score", T.DoubleType())])
 
     @arrow_udf(kind)
     def match(values: pa.Array) -> pa.Array:
-        entries, bags, masks = sent.value
-        listed = [a for a, _ in entries]
+        entries, listed = sent.value
         texts = values.to_pylist()
-        found = [best_ratio(t, b, listed, bags, masks, least) if entries else (-1, 0.0) for t, b in zip(texts, _bag(texts), strict=True)]
+        found = [listed.best_ratio(t, b, least) for t, b in zip(texts, _bag(texts), strict=True)]
         columns = [[entries[i][1] if i >= 0 else None for i, _ in found], [entries[i][0] if i >= 0 else None for i, _ in found], [s if i >= 0 else None for i, s in found]]
         return pa.StructArray.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.float64())], kind.names)
 

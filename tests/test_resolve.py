@@ -1,6 +1,8 @@
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
+
 from lexmill.operators import resolve
 
 REGISTRY = [
@@ -76,3 +78,22 @@ def test_fuzzy_in_blocks(spark):
     names = spark.createDataFrame([("ley de faros",), ("ley de faros h",), ("ley de faro e",), ("zzz",)], "raw string")
     one, many = (sorted(map(tuple, resolve.resolve_fuzzy(names, aliases, most_aliases=n).select("raw", "law_id", "matched_alias", "score").collect())) for n in (100, 3))
     assert one == many and len(one) == 3
+
+
+def test_best_ratio_among_many_texts():
+    """Arrays of bounds give what the matcher gives over all texts, first of equals, whatever the lengths."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdeñ ") for _ in range(n))
+    texts = [word(rng.randrange(60, 75)) for _ in range(400)] + [word(rng.randrange(1, 230)) for _ in range(100)] + ["", "a"]
+    texts += texts[:5]
+    listed = resolve.Listed(texts)
+    names = ["x", word(63), word(64), word(65), word(130)] + ["".join(c if rng.random() > 0.2 else rng.choice(["", "xy", "e"]) for c in rng.choice(texts)) for _ in range(25)]
+    for name, own in zip(names, resolve._bag(names)):
+        ratios = [SequenceMatcher(None, name, t).ratio() for t in texts]
+        most = max(ratios)
+        assert listed.best_ratio(name, own, 0.6) == ((ratios.index(most), most) if most >= 0.6 else (-1, 0.0))
+    for at in (range(0, len(texts), 9), range(len(texts))):  # for themselves and as arrays
+        got = listed.common_lengths(names[4], np.array(at))
+        masks = resolve._masks(names[4])
+        assert got.tolist() == [resolve.common_length(texts[listed.order[k]], masks, len(names[4])) for k in at]
+    assert resolve.Listed([]).best_ratio("a", resolve._bag(["a"])[0], 0.75) == (-1, 0.0)
