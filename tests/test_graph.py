@@ -174,3 +174,25 @@ def test_edge_aggregation(spark):
     rows = [("a", "9", "b", "high"), ("a", "10", "b", "medium"), ("a", "1", "b", "medium"), ("a", "2", "b", "medium"), ("a", "1", "a", "high"), ("a", "1", "unresolved", "high"), ("a", "1", "c", "low")]
     df = spark.createDataFrame(rows, "source_law string, source_article string, target_law_id string, confidence string")
     assert [tuple(r) for r in graph.edge_aggregation(df).collect()] == [("a", "b", 4, "high", "1, 10, 2", 4.0)]
+
+
+def copies(spark, n=6, loops=True):
+    """Several components, dense and thin ones, more edges in all than in any of them."""
+    rng = random.Random(11)
+    dense = [(f"{k}d{i}", f"{k}d{j}", 1 + (i + j) % 3) for k in range(n) for i in range(12) for j in range(12) if i != j and rng.random() < 0.5]
+    thin = [(f"{k}t{i}", f"{k}t{rng.randrange(60)}", 1 + i % 4) for k in range(n) for i in range(60)]
+    return spark.createDataFrame(sorted({(a, b): w for a, b, w in dense + thin if loops or a != b}.items()), "e struct<src: string, dst: string>, weight long").select("e.*", "weight").repartition(5)
+
+
+def no_joins(*_, **__):
+    raise AssertionError("components that a task may hold went through joins")
+
+
+def test_clustering_by_components(spark, monkeypatch):
+    """A graph of more edges than a task may hold is worked out by component; only components over that go through joins."""
+    e = copies(spark)
+    rows = lambda most: sorted(map(tuple, graph.clustering(e, most).select("id", "degree", "triangles", "clustering").collect()))
+    wanted = rows(10**6)
+    assert e.count() > 200 and rows(62) == wanted  # some components are larger, some aren't
+    monkeypatch.setattr(graph, "_clustering_by_joins", no_joins)
+    assert rows(200) == wanted
