@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,3 +197,33 @@ def test_clustering_by_components(spark, monkeypatch):
     assert e.count() > 200 and rows(62) == wanted  # some components are larger, some aren't
     monkeypatch.setattr(graph, "_clustering_by_joins", no_joins)
     assert rows(200) == wanted
+
+
+def test_betweenness_by_components(spark, monkeypatch):
+    """The same with all sources, also where one component is given to several tasks; weights as lengths are left to components."""
+    e = copies(spark)
+    rows = lambda most, weighted=False: {r.id: r.betweenness for r in graph.betweenness(e, weighted=weighted, most_local=most).collect()}
+    wanted = rows(10**6)
+    assert rows(62) == pytest.approx(wanted, abs=1e-12)
+    monkeypatch.setattr(graph, "_betweenness_by_levels", no_joins)
+    monkeypatch.setattr(graph, "STEPS_PER_SHARE", 500)
+    assert rows(200) == pytest.approx(wanted, abs=1e-12)
+    assert rows(200, True) == pytest.approx(rows(10**6, True), abs=1e-12)
+
+
+def test_dense_products_as_steps_along_edges():
+    """Triangles and betweenness of a dense graph by matrices are those by its edges, loops and sources without a way out among them."""
+    from lexmill.operators import whole_graph as whole
+
+    rng = np.random.default_rng(2)
+    pairs = np.argwhere(rng.random((40, 40)) < 0.12)
+    pairs = pairs[pairs[:, 0] != 3]
+    g = whole.build([(pairs[:, 0].astype(np.int32), pairs[:, 1].astype(np.int32), np.ones(len(pairs)))], {i: i for i in range(40)}, whole.pa.int64())
+    assert whole.is_dense(g)
+    assert whole._dense(g, np.arange(40), 7) == pytest.approx(sum(whole._unweighted(g, s) for s in range(40)), abs=1e-9)
+    dense, whole.CELLS_AN_EDGE = whole.triangles(g), 0
+    try:
+        thin = whole.triangles(g)
+    finally:
+        whole.CELLS_AN_EDGE = 32
+    assert all((a == b).all() for a, b in zip(dense, thin)) and thin[1].any()
