@@ -227,3 +227,18 @@ def test_dense_products_as_steps_along_edges():
     finally:
         whole.CELLS_AN_EDGE = 32
     assert all((a == b).all() for a, b in zip(dense, thin)) and thin[1].any()
+
+
+def test_suite_by_components(spark, monkeypatch):
+    """A graph beyond a task's size with components within it gets all measures of the whole, without a step by joins, and the same communities."""
+    e = copies(spark)
+    rows = lambda most: {r.id: r for r in graph.suite(e, most).collect()}
+    wanted = rows(10**6)
+    for name in ("_pagerank_steps", "_clustering_by_joins", "_cascades_by_blocks", "_betweenness_by_levels", "_grouped_moves"):
+        monkeypatch.setattr(graph, name, no_joins)
+    monkeypatch.setattr(graph, "STEPS_PER_SHARE", 500)
+    got = rows(200)
+    assert got.keys() == wanted.keys()
+    for c in graph.SUITE_COLUMNS:
+        one, other = ({i: r[c] for i, r in x.items()} for x in (got, wanted))
+        assert one == (pytest.approx(other, abs=1e-9) if isinstance(one["0d0"], float) else other), c
