@@ -199,6 +199,26 @@ def test_clustering_by_components(spark, monkeypatch):
     assert rows(200) == wanted
 
 
+def one_large(spark, loops=True):
+    """A component of a few hundred edges with hubs, ends and edges both ways, and a small one beside it."""
+    rng = random.Random(5)
+    pairs = {(f"n{min(rng.randrange(70), rng.randrange(70))}", f"n{rng.randrange(70)}") for _ in range(500)} | {(f"n{i}", f"m{i}") for i in range(9)} | {("x", "y"), ("y", "z"), ("z", "x")}
+    rows = [(a, b, 1 + (len(a) * 7 + i) % 300) for i, (a, b) in enumerate(sorted(p for p in pairs if loops or p[0] != p[1]))]
+    return spark.createDataFrame(rows, "src string, dst string, weight long").repartition(5)
+
+
+def test_clustering_of_a_large_component(spark, monkeypatch):
+    """A component of more edges than a task may hold as arrays is counted by tasks that hold it as numbers; joins give the same."""
+    e = one_large(spark)
+    rows = lambda most, **k: sorted(map(tuple, graph.clustering(e, most, **k).select("id", "degree", "triangles", "clustering").collect()))
+    wanted = rows(10**6)
+    assert rows(20, most_held=0) == wanted
+    monkeypatch.setattr(graph, "_clustering_by_joins", no_joins)
+    assert rows(20) == rows(0) == wanted and any(r[2] for r in wanted)
+    alone = spark.createDataFrame([("a", "a"), ("b", "b")], "src string, dst string")
+    assert sorted(map(tuple, graph.clustering(alone, 0).select("id", "degree", "triangles").collect())) == [("a", 0, 0), ("b", 0, 0)]
+
+
 def test_betweenness_by_components(spark, monkeypatch):
     """The same with all sources, also where one component is given to several tasks; weights as lengths are left to components."""
     e = copies(spark)
