@@ -231,6 +231,37 @@ def test_betweenness_by_components(spark, monkeypatch):
     assert rows(200, True) == pytest.approx(rows(10**6, True), abs=1e-12)
 
 
+def test_betweenness_of_a_large_component(spark, monkeypatch):
+    """A component of more edges than a task may hold as arrays is followed by tasks that hold it as numbers, from all sources; joins give the same."""
+    e = one_large(spark)
+    rows = lambda most, **k: {r.id: r.betweenness for r in graph.betweenness(e, most_local=most, **k).collect()}
+    wanted = rows(10**6)
+    assert rows(20, most_held=0, normalised=False) == pytest.approx(rows(10**6, normalised=False), abs=1e-9)
+    monkeypatch.setattr(graph, "_betweenness_by_levels", no_joins)
+    assert rows(20) == pytest.approx(wanted, abs=1e-12) and rows(0) == pytest.approx(wanted, abs=1e-12)
+
+
+def test_betweenness_of_rows_either_way():
+    """Levels and dependencies give the same whichever edges they are followed along, few or many at once."""
+    from lexmill.operators import whole_graph as whole
+
+    rng = np.random.default_rng(4)
+    few, many = whole.FEW, whole.FOLLOWED_AT_ONCE
+    try:
+        for n, p in ((5, 0.5), (30, 0.05), (30, 0.2), (40, 0.5)):
+            pairs = np.argwhere(rng.random((n, n)) < p)
+            g = whole.build([(pairs[:, 0].astype(np.int32), pairs[:, 1].astype(np.int32), np.ones(len(pairs)))], {i: i for i in range(n)}, whole.pa.int64())
+            ways = []
+            for a, b in ((pairs[:, 0], pairs[:, 1]), (pairs[:, 1], pairs[:, 0])):
+                keys = np.sort(a * n + b)
+                first = np.searchsorted(keys, np.arange(n + 1) * n)
+                ways.append(whole.Rows(n, first[:-1], first[1:], (keys % n).astype(np.uint16), None))
+            for whole.FEW, whole.FOLLOWED_AT_ONCE in ((0, 3), (1 / 8, 100), (9, 10**6)):
+                assert whole.betweenness_of_rows(*ways, np.arange(n)) == pytest.approx(sum(whole._unweighted(g, s) for s in range(n)), abs=1e-9)
+    finally:
+        whole.FEW, whole.FOLLOWED_AT_ONCE = few, many
+
+
 def test_dense_products_as_steps_along_edges():
     """Triangles and betweenness of a dense graph by matrices are those by its edges, loops and sources without a way out among them."""
     from lexmill.operators import whole_graph as whole
