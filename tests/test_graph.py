@@ -293,3 +293,45 @@ def test_suite_by_components(spark, monkeypatch):
     for c in graph.SUITE_COLUMNS:
         one, other = ({i: r[c] for i, r in x.items()} for x in (got, wanted))
         assert one == (pytest.approx(other, abs=1e-9) if isinstance(one["0d0"], float) else other), c
+
+
+def test_suite_of_a_large_component(spark, monkeypatch):
+    """All measures of the whole, the same communities among them, of a graph with a component of more edges than a task may hold as arrays."""
+    e = one_large(spark)
+    rows = lambda most: {r.id: r for r in graph.suite(e, most).collect()}
+    wanted = rows(10**6)
+    for name in ("_pagerank_steps", "_clustering_by_joins", "_cascades_by_blocks", "_betweenness_by_levels", "_grouped_moves"):
+        monkeypatch.setattr(graph, name, no_joins)
+    got = rows(100)
+    assert got.keys() == wanted.keys()
+    for c in graph.SUITE_COLUMNS:
+        one, other = ({i: r[c] for i, r in x.items()} for x in (got, wanted))
+        assert one == (pytest.approx(other, abs=1e-9) if isinstance(one["x"], float) else other), c
+
+
+def test_measures_of_rows():
+    """Components, cascades and communities on rows are those on arrays, whether communities are looked up or kept in a table, and of several levels."""
+    from lexmill.operators import whole_graph as whole
+
+    rng = np.random.default_rng(6)
+    at_once, cells = whole.FOLLOWED_AT_ONCE, whole.MOST_TABLE_CELLS
+    whole.FOLLOWED_AT_ONCE = 7
+    try:
+        for t in range(40):
+            n = int(rng.integers(3, 60))
+            pairs = np.argwhere(rng.random((n, n)) < rng.random() * (0.03, 0.1, 0.4)[t % 3])
+            weight = rng.integers(1, 5, len(pairs)).astype(np.uint8)
+            g = whole.Graph(list(range(n)), whole.pa.int64(), pairs[:, 0], pairs[:, 1], weight.astype(float))
+            ways = []
+            for a, b in ((pairs[:, 0], pairs[:, 1]), (pairs[:, 1], pairs[:, 0])):
+                keys = a * n + b
+                order = np.argsort(keys)
+                first = np.searchsorted(keys[order], np.arange(n + 1) * n)
+                ways.append(whole.Rows(n, first[:-1], first[1:], (keys[order] % n).astype(np.uint16), weight[order]))
+            for most in (0, 5, 1000):
+                component = whole.components_of_rows(*ways, most)
+                assert (component == whole.components(g)).all() and (whole.cascades_of_rows(ways[0], component) == whole.cascades(g, {0}, 1)).all()
+                for whole.MOST_TABLE_CELLS in (0, 10 * n, 10**6):
+                    assert (whole.louvain_of_rows(*ways, most) == whole.louvain(g)).all()
+    finally:
+        whole.FOLLOWED_AT_ONCE, whole.MOST_TABLE_CELLS = at_once, cells
